@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Fixed value: millilitres of water per millimetre of distance.
 ML_PER_MM = -25.125
 
-# Text that is a number. Spark's cast alone would also take '5d' or a hexadecimal float.
+# Text that is a number. Spark's cast alone would also take '5d' or a hexadecimal float, so text
+# with one of these letters is checked.
 _NUMBER = r"(?i)^\s*[+-]?(?:\d+\.?\d*(?:e[+-]?\d+)?|\.\d+(?:e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
 
@@ -26,7 +27,8 @@ def decode_payload(payload: str | Column) -> Column:
 def cast_value(payload: str | Column, on_error: str = "raise") -> Column:
     """Text payload as DOUBLE. Bad text fails the query, or becomes NULL with ``on_error='null'``."""
     text = _col(payload)
-    number = F.when(text.rlike(_NUMBER), F.trim(text).try_cast("double"))
+    plain = ~text.rlike("[dDfFxX]") | text.rlike(_NUMBER)
+    number = F.when(plain, text.try_cast("double"))
     if on_error == "null":
         return number
     if on_error != "raise":

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.operators.chunks import CHUNK_ROWS, over_groups, shifted
-from gaugeflow.session import materialize
+from gaugeflow.session import materialize, measured
 
 # Fixed values of the analysis.
 PROMINENCE = 5.0
@@ -39,11 +39,11 @@ def turning_points(smooth: DataFrame) -> DataFrame:
     Columns: series, chunk and last_chunk of the run, pos, mid (middle sample), value, kind ('max',
     'min' or 'end').
     """
-    runs = materialize(
+    runs = (
         shifted(smooth, ["smooth"], "ord", "before", forward=False)
         .where(F.col("before").isNull() | (F.col("smooth") != F.col("before.smooth")))
-        .select("series", "chunk", "ord", "pos", "smooth", F.col("before.smooth").alias("left")),
-        "runs")
+        .select("series", "chunk", "ord", "pos", "smooth", F.col("before.smooth").alias("left"))
+    )
     joined = shifted(runs, ["chunk", "pos", "smooth"], "ord", "after", forward=True)
     value, left, right = F.col("smooth"), F.col("left"), F.col("after.smooth")
     kind = (
@@ -132,10 +132,11 @@ def min_distance(peaks: DataFrame, distance: int = DISTANCE, rows: int = CHUNK_R
             .repartition("series", "kind", "zone")
             .sortWithinPartitions("series", "kind", "zone", "mid")
         )
-        current = materialize(spread.mapInArrow(
+        current, seen = measured(spread.mapInArrow(
             _distance_round(distance, rows, halo),
-            "series STRING, kind STRING, mid BIGINT, height DOUBLE, state BIGINT"), "distance")
-        if current.where(F.col("state") == UNDECIDED).isEmpty():
+            "series STRING, kind STRING, mid BIGINT, height DOUBLE, state BIGINT"), "distance",
+            undecided=F.count(F.when(F.col("state") == UNDECIDED, 1)))
+        if not seen["undecided"]:
             return current.where(F.col("state") == KEPT).drop("state")
 
 
@@ -223,18 +224,16 @@ def _floors(samples: DataFrame) -> DataFrame:
     it. Records and the valleys between them are scanned again in larger parts, until a part is a
     whole series.
     """
-    scanned = materialize(
+    scanned, seen = measured(
         samples.repartition("series", "sign", "part")
         .sortWithinPartitions("series", "sign", "part", "pos")
-        .mapInArrow(over_groups(_scan_groups, ("series", "sign", "part")), _SCAN_SCHEMA), "scan")
+        .mapInArrow(over_groups(_scan_groups, ("series", "sign", "part")), _SCAN_SCHEMA), "scan",
+        records=F.count(F.when(~F.col("query"), 1)), last=F.max("part"))
     asked = scanned.where("query")
     records = scanned.where("NOT query")
-    shape = records.groupBy("series", "sign").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("part").alias("last")).agg(
-        F.max("rows").alias("rows"), F.max("last").alias("last")).first()
-    if not shape["last"]:
+    if not seen["last"]:
         return asked.select("series", "sign", "pos", "tag", "height", "left", "right")
-    whole = shape["rows"] <= MAX_RECORDS or shape["last"] < FANOUT
+    whole = seen["records"] <= MAX_RECORDS or seen["last"] < FANOUT
     part = F.lit(0).cast("bigint") if whole else F.floor(F.col("part") / FANOUT).cast("bigint")
     flags = F.col("from_left").cast("bigint") * 2 + F.col("from_right").cast("bigint")
     beyond = _floors(records.select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gaugeflow.functions.times import from_micros, micros
 from gaugeflow.functions.values import cast_value
 from gaugeflow.operators.chunks import over_groups
-from gaugeflow.session import lookup_table
+from gaugeflow.session import lookup_table, measured
 
 # Fixed values of the analysis.
 ROLL_SECONDS = 300
@@ -24,6 +24,9 @@ MAD_MULTIPLE = 6.0
 
 DAY_US = 86_400_000_000
 
+# Up to this many rows per series the built-in percentile is used.
+MAX_PERCENTILE_ROWS = 2_000_000
+
 # A chunk is made shorter than a day when a series is so dense that more rows would fall in it.
 TARGET_CHUNK_ROWS = 500_000
 
@@ -39,16 +42,26 @@ def series_values(messages: DataFrame, on_error: str = "raise") -> DataFrame:
     )
 
 
-def chunk_length(df: DataFrame, half_us: int, target_rows: int = TARGET_CHUNK_ROWS) -> int:
-    """Chunk length in microseconds: a day, or less if the densest half-window forces it.
+def series_density(df: DataFrame, half_us: int) -> tuple[DataFrame, int, int]:
+    """(series, rows) of stored values, the longest series' rows, and a safe chunk length.
 
-    One small aggregate finds the most rows that any series has within ``half_us``; a chunk of k
-    such slots has at most k times as many. The slot itself is the shortest possible chunk.
+    The chunk length is a day in microseconds, or less if the densest half-window forces it: a
+    chunk of k slots has at most k times the rows of the densest slot. The slot itself is the
+    shortest possible chunk.
     """
     slot = F.floor(F.col("us") / half_us)
-    densest = df.groupBy("series", slot.alias("slot")).count().agg(F.max("count")).first()[0] or 1
-    slots = max(1, min(DAY_US // half_us, target_rows // densest))
-    return int(slots * half_us)
+    slots = df.groupBy("series", slot.alias("slot")).agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("n"))
+    counts, seen = measured(
+        slots.groupBy("series").agg(F.sum("n").alias("rows"), F.max("held").alias("densest"),
+                                    F.sum("held").alias("held")),
+        "density", densest=F.max("densest"), longest=F.max("held"))
+    fit = TARGET_CHUNK_ROWS // (seen["densest"] or 1)
+    length = max(1, min(DAY_US // half_us, fit)) * half_us
+    return counts.select("series", "rows"), seen["longest"] or 0, int(length)
+
+
+def chunk_length(df: DataFrame, half_us: int) -> int:
+    return series_density(df, half_us)[2]
 
 
 def weighted_range_medians(
@@ -178,6 +191,17 @@ def exact_median(df: DataFrame, value: str, weight: str = "n") -> DataFrame:
           + F.max(F.expr("CASE WHEN at <= hi AND hi < at + n THEN v END"))) / 2).alias("median"))
 
 
+def group_median(df: DataFrame, value: str, longest: int | None = None) -> DataFrame:
+    """Exact weighted median per series, as (series, median).
+
+    When the longest series is known to have few rows the built-in percentile, which keeps the
+    distinct values of one series in one task, is the cheaper way to the same number.
+    """
+    if longest is not None and longest <= MAX_PERCENTILE_ROWS:
+        return df.groupBy("series").agg(F.percentile(value, F.lit(0.5), F.col("n")).alias("median"))
+    return exact_median(df, value)
+
+
 def _bin(v):
     """Histogram bin of a double: rises with v, about 0.02 % wide."""
     size = F.when(F.abs(v) == float("inf"), F.lit(1 << 40)).otherwise(
@@ -185,18 +209,20 @@ def _bin(v):
     return F.when(v == 0, F.lit(0).cast("bigint")).otherwise(size * F.signum(v).cast("bigint"))
 
 
-def mad_scale(residuals: DataFrame) -> DataFrame:
+def mad_scale(residuals: DataFrame, longest: int | None = None) -> DataFrame:
     """(series, scale): median absolute deviation from the median, or the population deviation
     where that is 0. ``residuals`` has series, residual and n, and should be a stored table."""
-    centre = lookup_table(exact_median(residuals, "residual"), "centre")
-    moved = residuals.join(centre, "series").select(
-        "series", "n", (F.col("residual") - F.col("median")).alias("d"))
-    mad = exact_median(moved.select("series", "n", F.abs("d").alias("deviation")), "deviation")
-    count, first, second = F.sum("n"), F.sum(F.col("n") * F.col("d")), F.sum(F.col("n") * F.col("d") * F.col("d"))
+    narrow = residuals.select("series", "residual", "n")
+    centre = lookup_table(group_median(narrow, "residual", longest), "centre")
+    moved = narrow.join(centre, "series").select(
+        "series", "n", (F.col("residual") - F.col("median")).alias("d"),
+        F.abs(F.col("residual") - F.col("median")).alias("deviation"))
+    mad = group_median(moved, "deviation", longest)
+    count, first, second = F.sum("n"), F.sum(F.expr("n * d")), F.sum(F.expr("n * d * d"))
     spread = moved.groupBy("series").agg(
-        F.sqrt(F.greatest(second / count - (first / count) * (first / count), F.lit(0.0))).alias("deviation"))
+        F.sqrt(F.greatest(second / count - (first / count) * (first / count), F.lit(0.0))).alias("spread"))
     return mad.join(spread, "series").select(
-        "series", F.when(F.col("median") == 0, F.col("deviation")).otherwise(F.col("median")).alias("scale"))
+        "series", F.when(F.col("median") == 0, F.col("spread")).otherwise(F.col("median")).alias("scale"))
 
 
 def residuals(df: DataFrame, width_seconds: float = ROLL_SECONDS, chunk_us: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.times import from_micros
 from gaugeflow.operators.chunks import CHUNK_ROWS, number_rows
-from gaugeflow.session import materialize, sized
+from gaugeflow.session import materialize
 
 # Fixed values of the analysis.
 MIN_POINTS = 20
@@ -30,13 +30,16 @@ def next_max(extrema: DataFrame) -> DataFrame:
     point = F.struct("mid", "ord", "us", "value")
     top = F.when(F.col("kind") == "max", point)
     marked = extrema.withColumn("chunk", F.floor(F.col("mid") / CHUNK_ROWS).cast("bigint")).withColumn("top", top)
-    ahead = Window.partitionBy("series", "chunk").orderBy("mid").rowsBetween(1, Window.unboundedFollowing)
-    later = Window.partitionBy("series").orderBy("chunk").rowsBetween(1, Window.unboundedFollowing)
+    # Ordered backwards, so that "all later rows" is a growing frame.
+    ahead = (Window.partitionBy("series", "chunk").orderBy(F.desc("mid"))
+             .rowsBetween(Window.unboundedPreceding, -1))
+    later = (Window.partitionBy("series").orderBy(F.desc("chunk"))
+             .rowsBetween(Window.unboundedPreceding, -1))
     firsts = marked.groupBy("series", "chunk").agg(F.min("top").alias("top"))
     carried = firsts.select(
-        "series", "chunk", F.first("top", ignorenulls=True).over(later).alias("carried"))
+        "series", "chunk", F.last("top", ignorenulls=True).over(later).alias("carried"))
     return (
-        marked.withColumn("next", F.first("top", ignorenulls=True).over(ahead))
+        marked.withColumn("next", F.last("top", ignorenulls=True).over(ahead))
         .join(carried, ["series", "chunk"])
         .where(F.col("kind") == "min")
         .select("series", point.alias("begin"), F.coalesce("next", "carried").alias("end"))
@@ -58,40 +61,44 @@ def current_spans(extrema: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def long_enough(spans: DataFrame, min_points: int, min_hours: float) -> DataFrame:
-    """Add ``n_points`` and ``duration_hours`` and keep spans that reach both limits."""
-    return spans.withColumn(
-        "n_points", F.col("end.mid") - F.col("begin.mid") + 1
-    ).withColumn(
-        "duration_hours", (F.col("end.us") - F.col("begin.us")) / HOUR_US
-    ).where((F.col("n_points") >= min_points)
-            & (F.col("end.us") - F.col("begin.us") >= round(min_hours * HOUR_US)))
+    """Add ``n_points`` and keep spans that reach both limits."""
+    return spans.withColumn("n_points", F.col("end.mid") - F.col("begin.mid") + 1).where(
+        (F.col("n_points") >= min_points)
+        & (F.col("end.us") - F.col("begin.us") >= round(min_hours * HOUR_US)))
 
 
 def span_slopes(smooth: DataFrame, spans: DataFrame) -> DataFrame:
-    """Least-squares slope of the value over hours since the span's start, per span.
+    """Spans with the least-squares slope of the value over hours since the span's start.
 
     An interval join: rows fall in bins of a few row numbers, spans are repeated for the bins they
     cover, and bins are joined by equality, so work follows the covered rows. Spans may overlap.
     A row that stands for several samples counts as many times as samples lie in the span.
     """
-    bins = F.sequence(F.expr(f"begin.ord div {BIN_ROWS}"), F.expr(f"end.ord div {BIN_ROWS}"))
-    pieces = spans.select("series", "span", "begin", "end", F.explode(bins).alias("bin"))
+    flat = spans.select(
+        "series", "is_current", "id", "n_points",
+        *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("begin", "end")
+          for c in ("mid", "ord", "us", "value")])
+    bins = F.sequence(F.expr(f"begin_ord div {BIN_ROWS}"), F.expr(f"end_ord div {BIN_ROWS}"))
+    pieces = flat.withColumn("bin", F.explode(bins))
     rows = smooth.select("series", "ord", "pos", "until", "us", "smooth",
                          F.expr(f"ord div {BIN_ROWS}").alias("bin"))
+    key = ["series", "begin_mid", "is_current"]
+    rest = [c for c in flat.columns if c not in key]
     inside = rows.join(pieces, ["series", "bin"]).where(
-        (F.col("ord") >= F.col("begin.ord")) & (F.col("ord") <= F.col("end.ord"))
+        (F.col("ord") >= F.col("begin_ord")) & (F.col("ord") <= F.col("end_ord"))
     ).select(
-        "series", "span",
-        (F.least("until", "end.mid") - F.greatest("pos", "begin.mid") + 1).cast("double").alias("w"),
-        ((F.col("us") - F.col("begin.us")) / HOUR_US).alias("x"),
-        (F.col("smooth") - F.col("begin.value")).alias("y"),
+        *flat.columns,
+        (F.least("until", "end_mid") - F.greatest("pos", "begin_mid") + 1).cast("double").alias("w"),
+        ((F.col("us") - F.col("begin_us")) / HOUR_US).alias("x"),
+        (F.col("smooth") - F.col("begin_value")).alias("y"),
     )
-    sums = inside.groupBy("series", "span").agg(
-        F.sum("w").alias("n"),
+    sums = inside.groupBy(*key).agg(
+        *[F.first(c).alias(c) for c in rest],
+        F.sum("w").alias("w"),
         F.sum(F.expr("w * x")).alias("sx"), F.sum(F.expr("w * y")).alias("sy"),
         F.sum(F.expr("w * x * y")).alias("sxy"), F.sum(F.expr("w * x * x")).alias("sxx"))
-    return sums.select("series", "span", F.expr(
-        "try_divide(sxy - sx * sy / n, sxx - sx * sx / n)").alias("slope_mm_per_hr"))
+    return sums.select(*flat.columns, F.expr(
+        "try_divide(sxy - sx * sy / w, sxx - sx * sx / w)").alias("slope_mm_per_hr"))
 
 
 def find_segments(
@@ -112,29 +119,25 @@ def find_segments(
     ).withColumn("at", F.col("begin.mid"))
     done = number_rows(materialize(done, "spans"), "at", {"id": F.lit(1)})
     current = long_enough(current_spans(extrema, series_ends(smooth)), min_points, current_min_hours)
-    spans = (
-        done.select("series", "begin", "end", "n_points", "duration_hours",
-                    (F.col("id") + 1).alias("id"), F.lit(False).alias("is_current"))
-        .unionByName(current.select(
-            "series", "begin", "end", "n_points", "duration_hours",
-            F.lit(None).cast("bigint").alias("id"), F.lit(True).alias("is_current")))
-        .withColumn("span", F.struct("begin.mid", "is_current"))
-    )
-    spans = materialize(spans, "spans")
-    rising = spans.join(span_slopes(smooth, spans), ["series", "span"]).where(
-        F.col("slope_mm_per_hr") > 0).drop("span")
-    rising = materialize(rising, "segments")
-    kept = sized(materialize(rising.groupBy("series").agg(
-        F.count(F.when(~F.col("is_current"), 1)).alias("kept")), "kept"))
+    spans = done.select(
+        "series", "begin", "end", "n_points", (F.col("id") + 1).alias("id"),
+        F.lit(False).alias("is_current"),
+    ).unionByName(current.select(
+        "series", "begin", "end", "n_points", F.lit(None).cast("bigint").alias("id"),
+        F.lit(True).alias("is_current")))
+    rising = materialize(span_slopes(smooth, spans).where(F.col("slope_mm_per_hr") > 0), "segments")
+    kept = rising.groupBy("series").agg(F.count(F.when(~F.col("is_current"), 1)).alias("kept"))
     return rising.join(kept, "series").select(
         "series",
         F.coalesce("id", F.col("kept") + 1).alias("id"),
-        from_micros("begin.us").alias("start_time"),
-        from_micros("end.us").alias("end_time"),
-        F.col("begin.value").alias("start_distance_mm"),
-        F.col("end.value").alias("end_distance_mm"),
-        "slope_mm_per_hr", "duration_hours", "n_points", "is_current",
-        F.col("begin.mid").alias("begin_index"),
+        from_micros("begin_us").alias("start_time"),
+        from_micros("end_us").alias("end_time"),
+        F.col("begin_value").alias("start_distance_mm"),
+        F.col("end_value").alias("end_distance_mm"),
+        "slope_mm_per_hr",
+        ((F.col("end_us") - F.col("begin_us")) / HOUR_US).alias("duration_hours"),
+        "n_points", "is_current",
+        F.col("begin_mid").alias("begin_index"),
     )
 
 

@@ -34,19 +34,18 @@ def clean_values(
     roll_seconds: float = M.ROLL_SECONDS,
     multiple: float = M.MAD_MULTIPLE,
     min_rows: int = MIN_ROWS,
-    chunk_us: int | None = None,
+    density: tuple[DataFrame, int, int] | None = None,
 ) -> DataFrame:
     """(series, us, value, n) without outliers, for series with at least ``min_rows`` rows.
 
     ``values`` should be a stored table of collapsed values.
     """
-    enough = lookup_table(
-        values.groupBy("series").agg(F.sum("n").alias("rows")).where(F.col("rows") >= min_rows)
-        .select("series"), "enough")
-    usable = values.where(~F.isnan("value")).join(enough, "series", "left_semi")
-    measured = materialize(M.residuals(usable, roll_seconds, chunk_us), "residuals")
-    scale = lookup_table(M.mad_scale(measured), "scale")
-    marked = M.mark_outliers(measured, scale, multiple)
+    counts, longest, chunk_us = density or M.series_density(values, round(roll_seconds * 500_000))
+    numbers = values.where(~F.isnan("value"))
+    residuals = materialize(M.residuals(numbers, roll_seconds, chunk_us), "residuals")
+    enough = counts.where(F.col("rows") >= min_rows).select("series")
+    scale = lookup_table(M.mad_scale(residuals, longest).join(enough, "series"), "scale")
+    marked = M.mark_outliers(residuals, scale, multiple)
     return marked.where(~F.col("is_outlier")).select("series", "us", "value", "n")
 
 
@@ -76,9 +75,9 @@ def smooth_from_messages(
 ) -> DataFrame:
     values = materialize(M.series_values(messages, on_error), "values")
     # One chunk length serves both medians: the wider window decides.
-    chunk_us = M.chunk_length(values, round(max(roll_seconds, smooth_seconds) * 500_000))
-    clean = clean_values(values, roll_seconds, multiple, chunk_us=chunk_us)
-    return smooth_series(clean, smooth_seconds, chunk_us=chunk_us)
+    density = M.series_density(values, round(max(roll_seconds, smooth_seconds) * 500_000))
+    clean = clean_values(values, roll_seconds, multiple, density=density)
+    return smooth_series(clean, smooth_seconds, chunk_us=density[2])
 
 
 def analyze_segments(
@@ -97,8 +96,7 @@ def analyze_segments(
     """Segments, extrema and forecast of every topic of a message table."""
     smooth = smooth_from_messages(messages, roll_seconds, smooth_seconds, mad_multiple, on_error)
     found = materialize(X.find_extrema(smooth, prominence, distance), "extrema")
-    segments = materialize(
-        S.find_segments(smooth, found, min_points, min_hours, current_min_hours), "segments")
+    segments = S.find_segments(smooth, found, min_points, min_hours, current_min_hours)
     points = found.select(
         "series", "kind", from_micros("us").alias("timestamp"), F.col("value").alias("distance_mm"),
         "prominence", F.col("mid").alias("index"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A lookup is broadcast only when it has been counted and is at most this long.
@@ -57,30 +57,37 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_root(spark), "gaugeflow", app, f"{label}-{uuid.uuid4().hex}")
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def measured(df: DataFrame, label: str = "table", **metrics: Column) -> tuple[DataFrame, dict]:
+    """Write ``df`` as Parquet to the shared folder and read it back, with metrics of its rows.
 
     Cuts the lineage, so a lost executor costs a re-read and not a re-computation, and gives the
-    following stages a columnar input that can be pruned and filtered.
+    following stages a columnar input that can be pruned and filtered. ``rows`` and the given
+    aggregates are observed while the table is written, without a job of their own.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    watch = Observation()
+    aggregates = [column.alias(name) for name, column in metrics.items()]
+    df.observe(watch, F.count(F.lit(1)).alias("rows"), *aggregates).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), watch.get
+
+
+def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+    return measured(df, label)[0]
 
 
 def lookup_table(df: DataFrame, label: str = "lookup", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Materialise an aggregated side table, and broadcast it only if it is counted to be small.
+    """Materialise an aggregated side table, and broadcast it only if it was counted to be small.
 
     Beyond ``max_rows`` the table is returned without a hint: the join shuffles, and adaptive
     execution splits skewed keys.
     """
-    stored = materialize(df, label)
-    return sized(stored, max_rows)
+    stored, seen = measured(df, label)
+    return F.broadcast(stored) if seen["rows"] <= max_rows else stored
 
 
-def sized(stored: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast for an already stored table of at most ``max_rows`` rows."""
-    if stored.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(stored)
-    return stored
+def sized(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Hint a broadcast for a side table that is cheap to count and has at most ``max_rows`` rows."""
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
