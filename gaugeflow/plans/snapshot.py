@@ -15,6 +15,7 @@ from gaugeflow.operators.buckets import RESOLUTIONS, multires_levels, multires_s
 from gaugeflow.operators.filters import recent_raw
 from gaugeflow.operators.stats import measurement_stats
 from gaugeflow.plans.analysis import Analysis, analyze_segments
+from gaugeflow.schemas import SNAPSHOT
 from gaugeflow.session import materialize
 
 # Fixed values.
@@ -159,7 +160,7 @@ def assemble_snapshot(
     document = rows.join(stats, "series", "left").withColumn("stats", F.struct(*names)).drop(*names)
     for name, minutes, hours in RESOLUTIONS:
         if name not in parts.levels:
-            document = document.withColumn(name, F.lit(None))
+            document = document.withColumn(name, F.lit(None).cast(SNAPSHOT[name].dataType))
             continue
         data = _gather(parts.levels[name], ["series"], ["t"], _level_item(), "data")
         block = data.select("series", _resolution(minutes, hours, F.col("data")).alias(name))
@@ -167,12 +168,12 @@ def assemble_snapshot(
     if parts.analysis is not None:
         document = document.join(_analysis_documents(parts.analysis), "series", "left")
     else:
-        document = document.withColumn("analysis", F.lit(None))
+        document = document.withColumn("analysis", F.lit(None).cast(SNAPSHOT["analysis"].dataType))
     if parts.sensors:
         document = document.withColumn("site", F.lit(1)).join(
             _sensor_document(parts.sensors), "site", "left").drop("site")
     else:
-        document = document.withColumn("yolink_sensors", F.lit(None))
+        document = document.withColumn("yolink_sensors", F.lit(None).cast(SNAPSHOT["yolink_sensors"].dataType))
     season = F.struct(
         F.lit(season_start.isoformat()).alias("start"), F.lit(season_end.isoformat()).alias("end"),
         F.lit(season_start <= as_of.date() <= season_end).alias("is_active"))
