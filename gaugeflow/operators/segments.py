@@ -67,8 +67,8 @@ def long_enough(spans: DataFrame, min_points: int, min_hours: float) -> DataFram
         & (F.col("end.us") - F.col("begin.us") >= round(min_hours * HOUR_US)))
 
 
-def span_slopes(smooth: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans with the least-squares slope of the value over hours since the span's start.
+def segment_points(smooth: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows of the series inside each span, with the weight ``w`` of each.
 
     An interval join: rows fall in bins of a few row numbers, spans are repeated for the bins they
     cover, and bins are joined by equality, so work follows the covered rows. Spans may overlap.
@@ -82,25 +82,48 @@ def span_slopes(smooth: DataFrame, spans: DataFrame) -> DataFrame:
     pieces = flat.withColumn("bin", F.explode(bins))
     rows = smooth.select("series", "ord", "pos", "until", "us", "smooth",
                          F.expr(f"ord div {BIN_ROWS}").alias("bin"))
-    key = ["series", "begin_mid", "is_current"]
-    rest = [c for c in flat.columns if c not in key]
-    inside = rows.join(pieces, ["series", "bin"]).where(
+    weight = F.least("until", "end_mid") - F.greatest("pos", "begin_mid") + 1
+    return rows.join(pieces, ["series", "bin"]).where(
         (F.col("ord") >= F.col("begin_ord")) & (F.col("ord") <= F.col("end_ord"))
-    ).select(
-        *flat.columns,
-        (F.least("until", "end_mid") - F.greatest("pos", "begin_mid") + 1).cast("double").alias("w"),
+    ).select(*flat.columns, "pos", "us", "smooth", weight.cast("double").alias("w"))
+
+
+def span_slopes(smooth: DataFrame, spans: DataFrame) -> DataFrame:
+    """Spans with the least-squares slope of the value over hours since the span's start."""
+    points = segment_points(smooth, spans)
+    spent = [c for c in points.columns if c not in ("pos", "us", "smooth", "w")]
+    inside = points.select(
+        *spent, "w",
         ((F.col("us") - F.col("begin_us")) / HOUR_US).alias("x"),
-        (F.col("smooth") - F.col("begin_value")).alias("y"),
-    )
+        (F.col("smooth") - F.col("begin_value")).alias("y"))
+    key = ["series", "begin_mid", "is_current"]
     sums = inside.groupBy(*key).agg(
-        *[F.first(c).alias(c) for c in rest],
+        *[F.first(c).alias(c) for c in spent if c not in key],
         F.sum("w").alias("w"),
         F.sum(F.expr("w * x")).alias("sx"), F.sum(F.expr("w * y")).alias("sy"),
         F.sum(F.expr("w * x * y")).alias("sxy"), F.sum(F.expr("w * x * x")).alias("sxx"))
-    return sums.select(*flat.columns, F.expr(
+    return sums.select(*spent, F.expr(
         "try_divide(sxy - sx * sy / w, sxx - sx * sx / w)").alias("slope_mm_per_hr"))
 
 
+def candidate_spans(
+    smooth: DataFrame, extrema: DataFrame, min_points: int = MIN_POINTS,
+    min_hours: float = MIN_HOURS, current_min_hours: float = CURRENT_MIN_HOURS,
+) -> DataFrame:
+    """Completed spans (numbered in time order) and current spans that are long enough."""
+    done = long_enough(next_max(extrema), min_points, min_hours).withColumn(
+        "chunk", F.floor(F.col("begin.mid") / CHUNK_ROWS).cast("bigint")
+    ).withColumn("at", F.col("begin.mid"))
+    done = number_rows(materialize(done, "spans"), "at", {"id": F.lit(1)})
+    current = long_enough(current_spans(extrema, series_ends(smooth)), min_points, current_min_hours)
+    return done.select(
+        "series", "begin", "end", "n_points", (F.col("id") + 1).alias("id"),
+        F.lit(False).alias("is_current"),
+    ).unionByName(current.select(
+        "series", "begin", "end", "n_points", F.lit(None).cast("bigint").alias("id"),
+        F.lit(True).alias("is_current")))
+
+
 def find_segments(
     smooth: DataFrame,
     extrema: DataFrame,
@@ -114,17 +137,7 @@ def find_segments(
     numbers may be missing; the current segment's id is one more than the number of completed
     segments kept, and may repeat another id. (series, begin_index, is_current) is unique.
     """
-    done = long_enough(next_max(extrema), min_points, min_hours).withColumn(
-        "chunk", F.floor(F.col("begin.mid") / CHUNK_ROWS).cast("bigint")
-    ).withColumn("at", F.col("begin.mid"))
-    done = number_rows(materialize(done, "spans"), "at", {"id": F.lit(1)})
-    current = long_enough(current_spans(extrema, series_ends(smooth)), min_points, current_min_hours)
-    spans = done.select(
-        "series", "begin", "end", "n_points", (F.col("id") + 1).alias("id"),
-        F.lit(False).alias("is_current"),
-    ).unionByName(current.select(
-        "series", "begin", "end", "n_points", F.lit(None).cast("bigint").alias("id"),
-        F.lit(True).alias("is_current")))
+    spans = candidate_spans(smooth, extrema, min_points, min_hours, current_min_hours)
     rising = materialize(span_slopes(smooth, spans).where(F.col("slope_mm_per_hr") > 0), "segments")
     kept = rising.groupBy("series").agg(F.count(F.when(~F.col("is_current"), 1)).alias("kept"))
     return rising.join(kept, "series").select(
