@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gaugeflow import schemas
 from gaugeflow.functions import topics
@@ -43,36 +44,40 @@ def join_devices(df: DataFrame, devices: DataFrame) -> DataFrame:
 
 
 def parsed(df: DataFrame) -> DataFrame:
-    """Decode the payload and parse it as a report; ``report`` is NULL for malformed JSON."""
+    """Decode the payload and parse it as a report: columns event, data, malformed, device_id.
+
+    The parser is a generator of one row. Predicates on its columns are then not pushed down as
+    copies of the parser expression, so each payload is parsed once.
+    """
     text = df.withColumn("payload", decode_payload("payload")).withColumn(
         "device_id", topics.topic_device("topic"))
-    report = F.from_json("payload", schemas.REPORT, {"mode": "PERMISSIVE"})
-    return text.withColumn("report", report).withColumn(
-        "is_json", F.try_parse_json("payload").isNotNull())
+    schema = StructType([*schemas.REPORT.fields, StructField("_corrupt_record", StringType())])
+    report = F.from_json("payload", schema, {"mode": "PERMISSIVE"})
+    columns = text.columns
+    return text.select(*columns, F.inline(F.array(report))).select(
+        *columns, "event", "data", F.col("_corrupt_record").isNotNull().alias("malformed"))
 
 
 def parse_report(df: DataFrame, devices: DataFrame, event: str = REPORT_EVENT) -> tuple[DataFrame, DataFrame]:
-    """Raw report feed to normalised readings, and the rejected (malformed) rows beside them.
+    """Raw report feed to normalised readings, and the rejected rows beside them.
 
     Kept are rows of known devices with the wanted event and a temperature. Humidity is kept for
-    air devices only. A missing radio block gives a NULL signal. The raw text stays.
+    air devices only. A missing radio block gives a NULL signal. The raw text stays. Rejected are
+    rows whose text is not JSON, or has a value that does not fit its column.
     """
     rows = parsed(df)
-    rejected = rows.where(~F.col("is_json")).select("id", "timestamp", "topic", "payload")
+    rejected = rows.where("malformed").select("id", "timestamp", "topic", "payload")
     good = rows.where(
-        F.col("is_json")
-        & (F.col("report.event") == event)
-        & F.col("report.data.temperature").isNotNull()
-    )
+        ~F.col("malformed") & (F.col("event") == event) & F.col("data.temperature").isNotNull())
     known = join_devices(good, devices)
     readings = known.select(
         "id", "timestamp",
         topics.reading_topic(F.col("device_type"), F.col("device_id")).alias("topic"),
         "device_id", "device_type",
-        F.col("report.data.temperature").alias("temperature"),
-        F.when(F.col("device_type") == "air", F.col("report.data.humidity")).alias("humidity"),
-        F.col("report.data.battery").alias("battery"),
-        F.col("report.data.loraInfo.signal").alias("signal"),
+        F.col("data.temperature").alias("temperature"),
+        F.when(F.col("device_type") == "air", F.col("data.humidity")).alias("humidity"),
+        F.col("data.battery").alias("battery"),
+        F.col("data.loraInfo.signal").alias("signal"),
         F.col("payload").alias("raw_json"),
     )
     return readings, rejected

@@ -340,8 +340,7 @@ def keep_raw(spark, sf):
 @query
 def event_filter(spark, sf):
     rows = routing.parsed(T.report_feed_from_events(_events(spark, sf)))
-    return rows.where(F.col("report.event") == routing.REPORT_EVENT).select(
-        "id", F.col("report.event").alias("event"))
+    return rows.where(F.col("event") == routing.REPORT_EVENT).select("id", "event")
 
 
 @query
