@@ -22,26 +22,6 @@ CHUNK_ROWS = 65_536
 BATCH_ROWS = 200_000
 
 
-def shifted(df: DataFrame, columns: Sequence[str], order: str, name: str, forward: bool) -> DataFrame:
-    """Add ``name``, a struct of ``columns`` from the previous (or next) row of the series.
-
-    ``df`` has ``series`` and ``chunk``; chunk numbers rise with ``order``. NULL at the ends.
-    """
-    packed = F.struct(*columns)
-    step, edge = (F.lead, F.min_by) if forward else (F.lag, F.max_by)
-    inside = Window.partitionBy("series", "chunk").orderBy(order)
-    edges = df.groupBy("series", "chunk").agg(edge(packed, order).alias("_edge"))
-    carried = edges.select(
-        "series", "chunk",
-        step("_edge").over(Window.partitionBy("series").orderBy("chunk")).alias("_carried"))
-    return (
-        df.withColumn(name, step(packed).over(inside))
-        .join(carried, ["series", "chunk"], "left")
-        .withColumn(name, F.coalesce(name, "_carried"))
-        .drop("_carried")
-    )
-
-
 def number_rows(df: DataFrame, order: str, weights: dict[str, Column]) -> DataFrame:
     """Add running positions along each series.
 

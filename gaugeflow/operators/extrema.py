@@ -6,9 +6,9 @@ peaks closer than ``distance`` samples the highest stay; a peak's prominence is
 the higher of the two lowest points between it and the next strictly higher sample on each side
 (or the end of the series). Minima are the maxima of the negated series.
 
-Frames: a smooth series has ``series, chunk, ord, pos, until, us, smooth``, one row per time.
-``ord`` numbers the rows; ``pos`` and ``until`` are the first and last sample at that time, which
-differ when several samples share it; ``chunk`` is ``ord`` divided by the chunk size.
+Frames: a smooth series has one row per time ``us``, with ``ord``, the row's number, and ``pos`` and
+``until``, its first and last sample, which differ when several samples share the time. Runs of
+equal samples are described on their first row, see :data:`RUN_SCHEMA`.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.operators.chunks import CHUNK_ROWS, over_groups, shifted
-from gaugeflow.session import materialize, measured
+from gaugeflow.operators.chunks import CHUNK_ROWS, group_changes, over_groups
+from gaugeflow.session import lookup_table, materialize, measured
 
 # Fixed values of the analysis.
 PROMINENCE = 5.0
@@ -33,28 +33,136 @@ MAX_RECORDS = 2_000_000
 UNDECIDED, KEPT, DROPPED = 0, 1, 2
 
 
+# What is known about a run from its own chunk. ``turn`` is 1 or -1 for a maximum or minimum that lies
+# inside the chunk, 0 for a run that touches the chunk's border, NULL for all other rows. Samples and
+# rows are counted from the chunk's first one.
+RUN_SCHEMA = (
+    ", ord_in BIGINT, pos_in BIGINT, turn INT, run_until BIGINT, before DOUBLE, after DOUBLE, "
+    "mid_in BIGINT, mid_us BIGINT, mid_ord BIGINT"
+)
+
+
+def describe_runs(table: pa.Table) -> pa.Table:
+    """Add the run columns to smooth rows of whole chunks, sorted by chunk and time."""
+    if table.num_rows == 0:
+        first = np.zeros(0, dtype=bool)
+    else:
+        first = group_changes(table, ("series", "chunk"))
+    us, n = table.column("us").to_numpy(), table.column("n").to_numpy()
+    value = table.column("local_median").to_numpy()
+    rows = len(us)
+    sample = np.cumsum(n) - n
+    group = np.flatnonzero(first)
+    origin = group[np.cumsum(first) - 1]
+    ord_in = np.arange(rows) - origin
+    pos_in = sample - sample[origin]
+
+    fresh = first.copy()
+    fresh[1:] |= value[1:] != value[:-1]
+    begin = np.flatnonzero(fresh)
+    end = np.append(begin[1:], rows)[: len(begin)] - 1
+    closes = np.append(first[1:], True)[:rows]
+    border = first[begin] | closes[end]
+    before = np.where(first[begin], np.nan, value[begin - 1])
+    after = np.where(closes[end], np.nan, value[np.minimum(end + 1, rows - 1)])
+    here = value[begin]
+    top, low = (here > before) & (here > after), (here < before) & (here < after)
+    length = sample[end] + n[end] - sample[begin]
+    middle = sample[begin] + (length - 1) // 2
+    holder = np.searchsorted(sample, middle, side="right") - 1
+
+    shown = np.zeros(rows, dtype=bool)
+    shown[begin] = border | top | low
+
+    def on_first_row(values: np.ndarray, dtype, known=None) -> pa.Array:
+        full = np.zeros(rows, dtype=values.dtype)
+        full[begin] = values
+        hidden = ~shown
+        if known is not None:
+            hidden[begin] |= ~known
+        return pa.array(full, dtype, mask=hidden)
+
+    columns = {
+        "ord_in": pa.array(ord_in, pa.int64()), "pos_in": pa.array(pos_in, pa.int64()),
+        "turn": on_first_row(np.where(border, 0, np.where(top, 1, -1)).astype(np.int32), pa.int32()),
+        "run_until": on_first_row(pos_in[begin] + length - 1, pa.int64()),
+        "before": on_first_row(before, pa.float64(), ~first[begin]),
+        "after": on_first_row(after, pa.float64(), ~closes[end]),
+        "mid_in": on_first_row(middle - sample[begin] + pos_in[begin], pa.int64()),
+        "mid_us": on_first_row(us[holder], pa.int64()),
+        "mid_ord": on_first_row(ord_in[holder], pa.int64()),
+    }
+    for name, column in columns.items():
+        table = table.append_column(name, column)
+    return table
+
+
+def place_chunks(instants: DataFrame, min_rows: int = 0) -> DataFrame:
+    """Smooth series from stored chunks: positions along the whole series instead of the chunk.
+
+    Only a table with one row per chunk is summed up and joined back, so rows are not shuffled
+    while it can be broadcast. Series with fewer than ``min_rows`` samples are left out.
+    """
+    sums = instants.groupBy("series", "chunk").agg(
+        F.sum("n").alias("samples"), F.count(F.lit(1)).alias("held"))
+    whole = Window.partitionBy("series")
+    earlier = whole.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = lookup_table(sums.select(
+        "series", "chunk",
+        F.coalesce(F.sum("samples").over(earlier), F.lit(0)).alias("pos_before"),
+        F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("ord_before"),
+        F.sum("samples").over(whole).alias("total"),
+    ).where(F.col("total") >= min_rows).drop("total"), "offsets")
+    pos, row = F.col("pos_before"), F.col("ord_before")
+    return instants.join(offsets, ["series", "chunk"]).select(
+        "series", "chunk", "us", (row + F.col("ord_in")).alias("ord"), (pos + F.col("pos_in")).alias("pos"),
+        (pos + F.col("pos_in") + F.col("n") - 1).alias("until"), F.col("local_median").alias("smooth"),
+        "turn", (pos + F.col("run_until")).alias("run_until"), "before", "after",
+        (pos + F.col("mid_in")).alias("mid"), "mid_us", (row + F.col("mid_ord")).alias("mid_ord"))
+
+
 def turning_points(smooth: DataFrame) -> DataFrame:
     """Runs of equal samples that are local maxima or minima, and the two end runs of a series.
 
-    Columns: series, chunk and last_chunk of the run, pos, mid (middle sample), value, kind ('max',
-    'min' or 'end').
+    Columns: series, pos (first sample), kind ('max', 'min' or 'end'), mid (middle sample), value,
+    and the time and row number of the middle sample, us and ord.
+    """
+    inside = smooth.where(F.col("turn").isin(1, -1)).select(
+        "series", "pos", F.when(F.col("turn") == 1, "max").otherwise("min").alias("kind"), "mid",
+        F.col("smooth").alias("value"), F.col("mid_us").alias("us"), F.col("mid_ord").alias("ord"))
+    return inside.unionByName(_border_points(smooth))
+
+
+def _border_points(smooth: DataFrame) -> DataFrame:
+    """The same for runs that touch a chunk border; there are at most two per chunk.
+
+    A chunk's first run continues the previous chunk's last one if the values are equal. Joined
+    runs are judged by what lies before the first and after the last of them.
     """
-    runs = (
-        shifted(smooth, ["smooth"], "ord", "before", forward=False)
-        .where(F.col("before").isNull() | (F.col("smooth") != F.col("before.smooth")))
-        .select("series", "chunk", "ord", "pos", "smooth", F.col("before.smooth").alias("left"))
-    )
-    joined = shifted(runs, ["chunk", "pos", "smooth"], "ord", "after", forward=True)
-    value, left, right = F.col("smooth"), F.col("left"), F.col("after.smooth")
-    kind = (
+    in_order = Window.partitionBy("series").orderBy("pos")
+    pieces = smooth.where(F.col("turn") == 0).select(
+        "series", "chunk", "pos", "run_until", F.col("smooth").alias("value"), "before", "after",
+        (F.col("before").isNotNull() | ~F.col("smooth").eqNullSafe(F.lag("smooth").over(in_order)))
+        .cast("int").alias("opens"))
+    runs = pieces.withColumn("run", F.sum("opens").over(in_order)).groupBy("series", "run").agg(
+        F.min("pos").alias("pos"), F.max("run_until").alias("run_until"), F.first("value").alias("value"),
+        F.min("chunk").alias("first_chunk"), F.max("chunk").alias("last_chunk"),
+        F.min_by(F.struct("before"), "pos").alias("b"), F.max_by(F.struct("after"), "pos").alias("a"))
+    left = F.coalesce("b.before", F.lag("value").over(in_order))
+    right = F.coalesce("a.after", F.lead("value").over(in_order))
+    value = F.col("value")
+    judged = runs.select(
+        "series", "pos", F.expr("(pos + run_until) div 2").alias("mid"), "value",
+        "first_chunk", "last_chunk",
         F.when(left.isNull() | right.isNull(), "end")
         .when((value > left) & (value > right), "max")
-        .when((value < left) & (value < right), "min")
-    )
-    return joined.select(
-        "series", "chunk", F.col("after.chunk").alias("last_chunk"), "pos",
-        F.expr("(pos + after.pos - 1) div 2").alias("mid"), value.alias("value"), kind.alias("kind"),
-    ).where(F.col("kind").isNotNull())
+        .when((value < left) & (value < right), "min").alias("kind"))
+    points = lookup_table(judged.where(F.col("kind").isNotNull()), "border")
+    rows = smooth.select("series", "chunk", F.col("pos").alias("from"), "until", "us", "ord")
+    near = rows.join(
+        points.withColumn("chunk", F.explode(F.sequence("first_chunk", "last_chunk"))), ["series", "chunk"])
+    return near.where(F.col("mid").between(F.col("from"), F.col("until"))).select(
+        "series", "pos", "kind", "mid", "value", "us", "ord")
 
 
 # -- minimum distance ------------------------------------------------------------------------------
@@ -100,7 +208,7 @@ def _distance_round(distance: int, rows: int, halo: int):
         state = _decide(key, table.column("height").to_numpy(), table.column("state").to_numpy(),
                         exposed, distance)
         core = np.flatnonzero(table.column("core").to_numpy(zero_copy_only=False))
-        kept = table.select(["series", "kind", "mid", "height"]).take(pa.array(core))
+        kept = table.select(["series", "kind", "mid", "height", "us", "ord"]).take(pa.array(core))
         return kept.append_column("state", pa.array(state[core], pa.int64()))
 
     return over_groups(compute, ("series", "kind", "zone"))
@@ -110,7 +218,7 @@ def min_distance(peaks: DataFrame, distance: int = DISTANCE, rows: int = CHUNK_R
                  halo: int | None = None) -> DataFrame:
     """The peaks that stay when of any two closer than ``distance`` the higher is preferred.
 
-    ``peaks`` has series, kind, mid and height. Each zone of ``rows`` samples is settled with a
+    ``peaks`` has series, kind, mid and height, and us and ord to pass on. Each zone of ``rows`` samples is settled with a
     halo of neighbouring peaks, and a decision is taken only if nothing outside the view could
     change it. What stays open is settled in a further round, which sees the decisions of the
     neighbouring zones; so chains of any length are exact, and no task holds a whole series.
@@ -118,8 +226,8 @@ def min_distance(peaks: DataFrame, distance: int = DISTANCE, rows: int = CHUNK_R
     halo = 50 * distance if halo is None else halo
     if not distance <= halo <= rows:
         raise ValueError("need distance <= halo <= rows")
-    columns = ["series", "kind", "mid", "height", "state"]
-    current = peaks.select("series", "kind", "mid", "height", F.lit(UNDECIDED).cast("bigint").alias("state"))
+    columns = ["series", "kind", "mid", "height", "us", "ord", "state"]
+    current = peaks.select(*columns[:-1], F.lit(UNDECIDED).cast("bigint").alias("state"))
 
     def zone(shift: int):
         return F.floor((F.col("mid") + shift) / rows).cast("bigint")
@@ -130,11 +238,12 @@ def min_distance(peaks: DataFrame, distance: int = DISTANCE, rows: int = CHUNK_R
             .where("zone >= 0")
             .select(*columns, "zone", (F.col("zone") == zone(0)).alias("core"))
             .repartition("series", "kind", "zone")
-            .sortWithinPartitions("series", "kind", "zone", "mid")
+            .sortWithinPartitions("zone", "series", "kind", "mid")
         )
         current, seen = measured(spread.mapInArrow(
             _distance_round(distance, rows, halo),
-            "series STRING, kind STRING, mid BIGINT, height DOUBLE, state BIGINT"), "distance",
+            "series STRING, kind STRING, mid BIGINT, height DOUBLE, us BIGINT, ord BIGINT, state BIGINT"),
+            "distance",
             undecided=F.count(F.when(F.col("state") == UNDECIDED, 1)))
         if not seen["undecided"]:
             return current.where(F.col("state") == KEPT).drop("state")
@@ -226,7 +335,7 @@ def _floors(samples: DataFrame) -> DataFrame:
     """
     scanned, seen = measured(
         samples.repartition("series", "sign", "part")
-        .sortWithinPartitions("series", "sign", "part", "pos")
+        .sortWithinPartitions("part", "series", "sign", "pos")
         .mapInArrow(over_groups(_scan_groups, ("series", "sign", "part")), _SCAN_SCHEMA), "scan",
         records=F.count(F.when(~F.col("query"), 1)), last=F.max("part"))
     asked = scanned.where("query")
@@ -254,12 +363,11 @@ def _floors(samples: DataFrame) -> DataFrame:
 def prominences(points: DataFrame) -> DataFrame:
     """(series, kind, mid, value, prominence) of every local extremum of stored turning points."""
     signed = points.select(
-        "series", "chunk", "pos", "mid", "value", "kind",
-        F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"))
+        "series", "pos", "mid", "value", "kind", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"))
     wanted = F.when(F.col("sign") == 1, F.lit("max")).otherwise(F.lit("min"))
     samples = signed.select(
-        "series", "sign", F.col("chunk").alias("part"), "pos",
-        F.coalesce("mid", "pos").alias("tag"), (F.col("value") * F.col("sign")).alias("height"),
+        "series", "sign", F.floor(F.col("pos") / CHUNK_ROWS).cast("bigint").alias("part"), "pos",
+        F.col("mid").alias("tag"), (F.col("value") * F.col("sign")).alias("height"),
         (F.col("kind") == wanted).alias("query"))
     floors = _floors(samples)
     return floors.select(
@@ -268,42 +376,16 @@ def prominences(points: DataFrame) -> DataFrame:
         (F.col("height") - F.greatest("left", "right")).alias("prominence"))
 
 
-def find_extrema(smooth: DataFrame, prominence: float = PROMINENCE, distance: int = DISTANCE) -> DataFrame:
-    """Minima and maxima of a stored smooth series: (series, kind, mid, us, value, prominence)."""
-    points = materialize(turning_points(smooth), "turning")
-    return select_extrema(smooth, points, prominence, distance)
-
-
-def select_extrema(smooth: DataFrame, points: DataFrame, prominence: float = PROMINENCE,
-                   distance: int = DISTANCE) -> DataFrame:
-    peaks = points.where(F.col("kind") != "end").select(
-        "series", "kind", "mid",
-        F.when(F.col("kind") == "max", F.col("value")).otherwise(-F.col("value")).alias("height"))
-    spaced = min_distance(peaks, distance).select("series", "kind", "mid")
-    high = prominences(points).where(F.col("prominence") >= prominence).drop("value")
-    key = ["series", "kind", "mid"]
-    found = points.join(spaced, key).join(high, key)
-    return locate(smooth, found).select("series", "kind", "mid", "ord", "us", "value", "prominence")
+def peaks_of(points: DataFrame) -> DataFrame:
+    """Local extrema with a ``height`` that is the negated value for minima."""
+    height = F.when(F.col("kind") == "max", F.col("value")).otherwise(-F.col("value"))
+    return points.where(F.col("kind") != "end").select(
+        "series", "kind", "mid", height.alias("height"), "us", "ord")
 
 
-def locate(smooth: DataFrame, peaks: DataFrame) -> DataFrame:
-    """Attach the time (``us``) and row number (``ord``) of the row that holds sample ``mid``.
-
-    An as-of lookup inside the chunks that the peak's run of equal samples reaches into: rows and
-    peaks are ordered together and each peak takes the last row before it. No pairs are formed.
-    """
-    asked = peaks.withColumn("chunk", F.explode(F.sequence("chunk", "last_chunk"))).select(
-        "series", "chunk", F.col("mid").alias("at"), F.lit(None).cast(
-            "struct<us:bigint,ord:bigint,until:bigint>").alias("row"),
-        F.struct("kind", "mid", "value", "prominence").alias("peak"))
-    rows = smooth.select(
-        "series", "chunk", F.col("pos").alias("at"), F.struct("us", "ord", "until").alias("row"),
-        F.lit(None).cast(asked.schema["peak"].dataType).alias("peak"))
-    upto = (Window.partitionBy("series", "chunk").orderBy("at", F.col("peak").isNotNull())
-            .rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        rows.unionByName(asked)
-        .withColumn("row", F.last("row", ignorenulls=True).over(upto))
-        .where(F.col("peak").isNotNull() & (F.col("at") <= F.col("row.until")))
-        .select("series", "peak.*", "row.us", "row.ord")
-    )
+def find_extrema(smooth: DataFrame, prominence: float = PROMINENCE, distance: int = DISTANCE) -> DataFrame:
+    """Minima and maxima of a smooth series: (series, kind, mid, us, ord, value, prominence)."""
+    points = materialize(turning_points(smooth), "turning")
+    spaced = min_distance(peaks_of(points), distance)
+    high = prominences(points).where(F.col("prominence") >= prominence)
+    return spaced.select("series", "kind", "mid", "us", "ord").join(high, ["series", "kind", "mid"])

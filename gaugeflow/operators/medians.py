@@ -1,12 +1,14 @@
 """Centred rolling medians, exact medians of large groups, and robust outlier removal.
 
 Series frames have the columns ``series``, ``us`` (microseconds), ``value`` and ``n``, the number of
-equal rows this one stands for. Collapsing equal rows first means that a group of copies, whatever
-its size, is one row in all later shuffles.
+equal rows this one stands for.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from gaugeflow.functions.times import from_micros, micros
 from gaugeflow.functions.values import cast_value
 from gaugeflow.operators.chunks import over_groups
-from gaugeflow.session import lookup_table, measured
+from gaugeflow.session import lookup_table, materialize, measured
 
 # Fixed values of the analysis.
 ROLL_SECONDS = 300
@@ -24,6 +26,9 @@ MAD_MULTIPLE = 6.0
 
 DAY_US = 86_400_000_000
 
+# Up to this many values in every frame they are sorted side by side.
+SHORT_RANGE = 32
+
 # Up to this many rows per series the built-in percentile is used.
 MAX_PERCENTILE_ROWS = 2_000_000
 
@@ -32,36 +37,57 @@ TARGET_CHUNK_ROWS = 500_000
 
 
 def series_values(messages: DataFrame, on_error: str = "raise") -> DataFrame:
-    """Messages with a payload as (series, us, value, n), equal rows collapsed on the map side."""
-    return (
-        messages.where(F.col("payload").isNotNull())
-        .select(F.col("topic").alias("series"), micros("timestamp").alias("us"),
-                cast_value("payload", on_error).alias("value"))
-        .groupBy("series", "us", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Messages with a payload as (series, us, value, n), one row each."""
+    return messages.where(F.col("payload").isNotNull()).select(
+        F.col("topic").alias("series"), micros("timestamp").alias("us"),
+        cast_value("payload", on_error).alias("value"), F.lit(1).cast("bigint").alias("n"))
+
+
+def collapse(values: DataFrame) -> DataFrame:
+    """Equal rows of a series as one, with their number; they combine on the map side."""
+    return values.groupBy("series", "us", "value").agg(F.sum("n").alias("n"))
+
 
+@dataclass
+class Density:
+    """How rows lie on the time axis: ``counts`` is (series, rows), ``longest`` the most rows of one
+    series, ``densest`` the most of one series within half a window, ``chunk_us`` a safe chunk."""
 
-def series_density(df: DataFrame, half_us: int) -> tuple[DataFrame, int, int]:
-    """(series, rows) of stored values, the longest series' rows, and a safe chunk length.
+    counts: DataFrame
+    longest: int
+    densest: int
+    chunk_us: int
 
-    The chunk length is a day in microseconds, or less if the densest half-window forces it: a
-    chunk of k slots has at most k times the rows of the densest slot. The slot itself is the
-    shortest possible chunk.
+
+def series_density(values: DataFrame, half_us: int) -> Density:
+    """One small aggregate over series and time.
+
+    A chunk is a day, or less if the densest half-window forces it: a chunk of k slots has at most
+    k times the rows of the densest slot. The slot itself is the shortest possible chunk.
     """
     slot = F.floor(F.col("us") / half_us)
-    slots = df.groupBy("series", slot.alias("slot")).agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("n"))
+    slots = values.groupBy("series", slot.alias("slot")).agg(
+        F.count(F.lit(1)).alias("held"), F.sum("n").alias("n"))
     counts, seen = measured(
         slots.groupBy("series").agg(F.sum("n").alias("rows"), F.max("held").alias("densest"),
                                     F.sum("held").alias("held")),
         "density", densest=F.max("densest"), longest=F.max("held"))
-    fit = TARGET_CHUNK_ROWS // (seen["densest"] or 1)
-    length = max(1, min(DAY_US // half_us, fit)) * half_us
-    return counts.select("series", "rows"), seen["longest"] or 0, int(length)
+    densest = seen["densest"] or 0
+    slots_per_chunk = max(1, min(DAY_US // half_us, TARGET_CHUNK_ROWS // (densest or 1)))
+    return Density(counts.select("series", "rows"), seen["longest"] or 0, densest, slots_per_chunk * half_us)
+
 
+def prepare_values(values: DataFrame, half_us: int) -> tuple[DataFrame, Density]:
+    """Values ready for chunked work, with their density.
 
-def chunk_length(df: DataFrame, half_us: int) -> int:
-    return series_density(df, half_us)[2]
+    Only when some half-window holds more rows than a chunk should are equal rows collapsed, at
+    the price of one more shuffle; a group of copies, whatever its size, is one row after that.
+    """
+    density = series_density(values, half_us)
+    if density.densest <= TARGET_CHUNK_ROWS:
+        return values, density
+    stored = materialize(collapse(values), "values")
+    return stored, series_density(stored, half_us)
 
 
 def weighted_range_medians(
@@ -73,6 +99,9 @@ def weighted_range_medians(
     split stably into zeros and ones, and prefix sums of the weights tell which half holds the
     wanted rank. The cost is rows x bits, independent of how long the ranges are.
     """
+    longest = int((hi - lo).max(initial=0))
+    if longest <= SHORT_RANGE and (weights == 1).all():
+        return _short_range_medians(values, lo, hi, longest)
     distinct, rank = np.unique(values, return_inverse=True)
     rank = rank.astype(np.int64)
     total = np.concatenate(([0], np.cumsum(weights)))
@@ -101,7 +130,17 @@ def weighted_range_medians(
     return (middle[:half] + middle[half:]) / 2.0
 
 
-def _rolling(half: int, length: int, per_instant: bool):
+def _short_range_medians(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, longest: int) -> np.ndarray:
+    """The same for ranges of a few unweighted values: sort them side by side."""
+    at = lo[:, None] + np.arange(longest)
+    rows = np.where(at < hi[:, None], values[np.minimum(at, len(values) - 1)], np.inf)
+    rows.sort(axis=1)
+    size = hi - lo
+    each = np.arange(len(lo))
+    return (rows[each, (size - 1) // 2] + rows[each, size // 2]) / 2.0
+
+
+def _rolling(half: int, length: int, per_instant: bool, extend):
     """Group function: rolling medians of the rows that belong to their chunk."""
 
     def compute(table: pa.Table, first: np.ndarray) -> pa.Table:
@@ -123,24 +162,31 @@ def _rolling(half: int, length: int, per_instant: bool):
         else:
             rows = core
             out = {"value": value[rows], "n": n[rows], "local_median": median[inverse]}
-        return pa.table({
+        result = pa.table({
             "series": table.column("series").take(pa.array(rows)),
             "chunk": chunk[rows], "us": us[rows], **out,
         })
+        return extend(result) if extend else result
 
     return over_groups(compute, ("series", "chunk"))
 
 
 def rolling_median(
-    df: DataFrame, width_seconds: float, per_instant: bool = False, chunk_us: int | None = None,
+    df: DataFrame,
+    width_seconds: float,
+    per_instant: bool = False,
+    chunk_us: int | None = None,
+    extend: Callable[[pa.Table], pa.Table] | None = None,
+    extra_schema: str = "",
 ) -> DataFrame:
     """Median over the centred frame (t - w/2, t + w/2], equal times included.
 
     Rows within half a window of a chunk border are sent to both chunks, so every frame is whole
     in its chunk. ``per_instant`` returns one row per series and time instead of one per value.
+    ``extend`` may add columns (``extra_schema``) to the result rows of whole chunks.
     """
     half = round(width_seconds * 500_000)
-    length = chunk_us or chunk_length(df, half)
+    length = chunk_us or series_density(df, half).chunk_us
     if length < half:
         raise ValueError("a chunk must be at least half a window long")
 
@@ -154,11 +200,11 @@ def rolling_median(
             .alias("chunk"))
         .select("series", "chunk", "us", "value", "n", (F.col("chunk") == F.col("home")).alias("core"))
         .repartition("series", "chunk")
-        .sortWithinPartitions("series", "chunk", "us")
+        .sortWithinPartitions("chunk", "series", "us")
     )
     value = "" if per_instant else "value DOUBLE, "
-    schema = f"series STRING, chunk BIGINT, us BIGINT, {value}n BIGINT, local_median DOUBLE"
-    return spread.mapInArrow(_rolling(half, length, per_instant), schema)
+    schema = f"series STRING, chunk BIGINT, us BIGINT, {value}n BIGINT, local_median DOUBLE{extra_schema}"
+    return spread.mapInArrow(_rolling(half, length, per_instant, extend), schema)
 
 
 def exact_median(df: DataFrame, value: str, weight: str = "n") -> DataFrame:
@@ -242,7 +288,9 @@ def with_rolling_median(messages: DataFrame, width_seconds: float = ROLL_SECONDS
     """Message rows with a numeric ``value`` and their ``local_median``."""
     rows = messages.where(F.col("payload").isNotNull()).select(
         "id", F.col("topic").alias("series"), "timestamp", cast_value("payload", on_error).alias("value"))
-    values = series_values(messages, on_error).where(~F.isnan("value"))
-    medians = rolling_median(values, width_seconds, per_instant=True).select(
+    values, density = prepare_values(series_values(messages, on_error), round(width_seconds * 500_000))
+    medians = rolling_median(
+        values.where(~F.isnan("value")), width_seconds, per_instant=True, chunk_us=density.chunk_us,
+    ).select(
         "series", from_micros("us").alias("timestamp"), "local_median")
     return rows.join(medians, ["series", "timestamp"], "left")

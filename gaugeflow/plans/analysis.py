@@ -11,7 +11,6 @@ from gaugeflow.functions.times import from_micros
 from gaugeflow.operators import extrema as X
 from gaugeflow.operators import medians as M
 from gaugeflow.operators import segments as S
-from gaugeflow.operators.chunks import CHUNK_ROWS, number_rows
 from gaugeflow.session import lookup_table, materialize
 
 # Fewer rows, or fewer rows after outlier removal, give no analysis.
@@ -31,39 +30,31 @@ class Analysis:
 
 def clean_values(
     values: DataFrame,
+    density: M.Density,
     roll_seconds: float = M.ROLL_SECONDS,
     multiple: float = M.MAD_MULTIPLE,
     min_rows: int = MIN_ROWS,
-    density: tuple[DataFrame, int, int] | None = None,
 ) -> DataFrame:
-    """(series, us, value, n) without outliers, for series with at least ``min_rows`` rows.
-
-    ``values`` should be a stored table of collapsed values.
-    """
-    counts, longest, chunk_us = density or M.series_density(values, round(roll_seconds * 500_000))
+    """(series, us, value, n) without outliers, for series with at least ``min_rows`` rows."""
     numbers = values.where(~F.isnan("value"))
-    residuals = materialize(M.residuals(numbers, roll_seconds, chunk_us), "residuals")
-    enough = counts.where(F.col("rows") >= min_rows).select("series")
-    scale = lookup_table(M.mad_scale(residuals, longest).join(enough, "series"), "scale")
+    residuals = materialize(M.residuals(numbers, roll_seconds, density.chunk_us), "residuals")
+    enough = density.counts.where(F.col("rows") >= min_rows).select("series")
+    scale = lookup_table(M.mad_scale(residuals, density.longest).join(enough, "series"), "scale")
     marked = M.mark_outliers(residuals, scale, multiple)
     return marked.where(~F.col("is_outlier")).select("series", "us", "value", "n")
 
 
 def smooth_series(
     clean: DataFrame,
+    chunk_us: int,
     smooth_seconds: float = M.SMOOTH_SECONDS,
     min_rows: int = MIN_CLEAN_ROWS,
-    chunk_us: int | None = None,
 ) -> DataFrame:
-    """Stored smooth series, one row per time, with row numbers and sample positions."""
-    instants = materialize(
-        M.rolling_median(clean, smooth_seconds, per_instant=True, chunk_us=chunk_us), "instants")
-    placed = number_rows(instants, "us", {"ord": F.lit(1), "pos": F.col("n")})
-    return materialize(
-        placed.where(F.col("pos_total") >= min_rows).select(
-            "series", F.floor(F.col("ord") / CHUNK_ROWS).cast("bigint").alias("chunk"), "ord", "pos",
-            (F.col("pos") + F.col("n") - 1).alias("until"), "us",
-            F.col("local_median").alias("smooth")), "smooth")
+    """Smooth series, one row per time, with row numbers, sample positions and runs."""
+    instants = M.rolling_median(
+        clean, smooth_seconds, per_instant=True, chunk_us=chunk_us,
+        extend=X.describe_runs, extra_schema=X.RUN_SCHEMA)
+    return X.place_chunks(materialize(instants, "smooth"), min_rows)
 
 
 def smooth_from_messages(
@@ -73,11 +64,11 @@ def smooth_from_messages(
     multiple: float = M.MAD_MULTIPLE,
     on_error: str = "raise",
 ) -> DataFrame:
-    values = materialize(M.series_values(messages, on_error), "values")
     # One chunk length serves both medians: the wider window decides.
-    density = M.series_density(values, round(max(roll_seconds, smooth_seconds) * 500_000))
-    clean = clean_values(values, roll_seconds, multiple, density=density)
-    return smooth_series(clean, smooth_seconds, chunk_us=density[2])
+    half_us = round(max(roll_seconds, smooth_seconds) * 500_000)
+    values, density = M.prepare_values(M.series_values(messages, on_error), half_us)
+    clean = clean_values(values, density, roll_seconds, multiple)
+    return smooth_series(clean, density.chunk_us, smooth_seconds)
 
 
 def analyze_segments(

@@ -560,7 +560,8 @@ def rolling_median_10m(spark, sf):
 
 
 def _residuals(spark, sf) -> DataFrame:
-    return materialize(M.residuals(materialize(M.series_values(_messages(spark, sf)), "values")), "residuals")
+    values, density = M.prepare_values(M.series_values(_messages(spark, sf)), M.ROLL_SECONDS * 500_000)
+    return materialize(M.residuals(values, chunk_us=density.chunk_us), "residuals")
 
 
 @query
@@ -583,7 +584,7 @@ def outlier(spark, sf):
 
 @query
 def clean_series(spark, sf):
-    clean = A.clean_values(materialize(M.series_values(_messages(spark, sf)), "values"))
+    clean = A.clean_values(*M.prepare_values(M.series_values(_messages(spark, sf)), M.ROLL_SECONDS * 500_000))
     return rounded(clean.select("series", from_micros("us").alias("timestamp"), "value", "n"), "value")
 
 
@@ -606,9 +607,7 @@ def local_extrema(spark, sf):
 
 @query
 def min_distance(spark, sf):
-    points = materialize(X.turning_points(_smooth(spark, sf)), "turning").where(F.col("kind") != "end")
-    kept = X.min_distance(points.select("series", "kind", "mid", F.when(
-        F.col("kind") == "max", F.col("value")).otherwise(-F.col("value")).alias("height")))
+    kept = X.min_distance(X.peaks_of(X.turning_points(_smooth(spark, sf))))
     return rounded(kept.select("series", "kind", F.col("mid").alias("index"), "height"), "height")
 
 

@@ -13,9 +13,9 @@ from gaugeflow.session import materialize
 START = pd.Timestamp("2024-01-01")
 
 
-@pytest.fixture(params=[64, chunks.CHUNK_ROWS])
+@pytest.fixture(params=[7, 64, chunks.CHUNK_ROWS])
 def chunk_rows(request, monkeypatch):
-    for module in (chunks, extrema, segments, analysis):
+    for module in (chunks, extrema, segments):
         monkeypatch.setattr(module, "CHUNK_ROWS", request.param)
     return request.param
 
@@ -43,13 +43,17 @@ def messages(spark, series):
 
 
 def smooth_frame(spark, series, rows):
-    """Ready-made smooth series, one sample a minute."""
+    """Ready-made smooth series in chunks of ``rows``, one sample a minute."""
     data = []
     for name, values in series.items():
         for i, v in enumerate(values):
-            data.append((name, i // rows, i, i, i, i * 60_000_000, float(v)))
-    return materialize(spark.createDataFrame(
-        data, "series STRING, chunk BIGINT, ord BIGINT, pos BIGINT, until BIGINT, us BIGINT, smooth DOUBLE"))
+            data.append((name, i // rows, i * 60_000_000, 1, float(v)))
+    frame = spark.createDataFrame(
+        data, "series STRING, chunk BIGINT, us BIGINT, n BIGINT, local_median DOUBLE")
+    described = frame.repartition("series", "chunk").sortWithinPartitions("chunk", "series", "us").mapInArrow(
+        chunks.over_groups(lambda table, first: extrema.describe_runs(table), ("series", "chunk")),
+        "series STRING, chunk BIGINT, us BIGINT, n BIGINT, local_median DOUBLE" + extrema.RUN_SCHEMA)
+    return extrema.place_chunks(materialize(described))
 
 
 def random_series(rng):
@@ -88,7 +92,7 @@ def test_frame_edges(spark):
 def test_rolling_median_is_pandas(spark, chunk_us):
     rng = np.random.default_rng(1)
     series = {"a": level_signal(rng, 900, copies=True), "b": level_signal(rng, 300)}
-    values = materialize(medians.series_values(messages(spark, series)))
+    values = materialize(medians.collapse(medians.series_values(messages(spark, series))))
     got = medians.rolling_median(values, 300, per_instant=True, chunk_us=chunk_us).toPandas()
     for name, (ts, v) in series.items():
         want = pd.Series(v, index=ts).rolling("300s", center=True, min_periods=1).median()
@@ -101,11 +105,14 @@ def test_rolling_median_is_pandas(spark, chunk_us):
 def test_chunk_length_follows_density(spark, monkeypatch):
     ts = START + pd.to_timedelta(np.arange(2000), unit="s")
     values = materialize(medians.series_values(messages(spark, {"a": (ts, np.arange(2000.0))})))
-    assert medians.chunk_length(values, 150_000_000) == 86_400_000_000
+    def length():
+        return medians.series_density(values, 150_000_000).chunk_us
+
+    assert length() == 86_400_000_000
     monkeypatch.setattr(medians, "TARGET_CHUNK_ROWS", 400)
-    assert medians.chunk_length(values, 150_000_000) == 300_000_000
+    assert length() == 300_000_000
     monkeypatch.setattr(medians, "TARGET_CHUNK_ROWS", 1)
-    assert medians.chunk_length(values, 150_000_000) == 150_000_000
+    assert length() == 150_000_000
 
 
 def test_exact_median(spark):
@@ -137,7 +144,8 @@ def test_mad_of_constant_series(spark):
 def test_extrema_are_brute_force(spark, chunk_rows):
     series = random_series(np.random.default_rng(3))
     smooth = smooth_frame(spark, series, chunk_rows)
-    points = materialize(extrema.turning_points(smooth)).where("kind <> 'end'").toPandas()
+    points = extrema.turning_points(smooth).where("kind <> 'end'").toPandas()
+    assert (points.ord == points["mid"]).all() and (points.us == points["mid"] * 60_000_000).all()
     for name, x in series.items():
         for kind, sign in (("max", 1), ("min", -1)):
             mine = points[(points.series == name) & (points.kind == kind)]
@@ -171,14 +179,20 @@ def test_min_distance_is_greedy(spark, rows, halo):
     }
     peaks = spark.createDataFrame(
         [(k, "max", int(p), float(h)) for k, (ps, hs) in cases.items() for p, h in zip(ps, hs)],
-        "series STRING, kind STRING, mid BIGINT, height DOUBLE")
+        "series STRING, kind STRING, mid BIGINT, height DOUBLE").withColumns(
+        {"us": F.lit(0).cast("bigint"), "ord": F.lit(0).cast("bigint")})
     got = extrema.min_distance(peaks, 20, rows, halo).toPandas()
     for name, (ps, hs) in cases.items():
         assert sorted(got[got.series == name]["mid"]) == brute.spaced(list(ps), list(hs), 20), name
 
 
-@pytest.mark.parametrize("copies", [False, True])
-def test_analysis_is_brute_force(spark, chunk_rows, copies):
+@pytest.mark.parametrize("copies,dense", [(False, False), (True, False), (True, True)])
+def test_analysis_is_brute_force(spark, monkeypatch, copies, dense):
+    """``dense`` makes chunks as short as the windows allow and equal rows collapse."""
+    if dense:
+        monkeypatch.setattr(medians, "TARGET_CHUNK_ROWS", 1)
+        for module in (chunks, extrema, segments):
+            monkeypatch.setattr(module, "CHUNK_ROWS", 64)
     rng = np.random.default_rng(6)
     series = {
         "a": level_signal(rng, 2500, copies), "b": level_signal(rng, 1500, copies, spikes=False),
@@ -212,7 +226,8 @@ def test_analysis_is_brute_force(spark, chunk_rows, copies):
     assert total > 5
 
 
-def test_hot_instant_and_nan(spark):
+@pytest.mark.parametrize("collapsed", [False, True])
+def test_hot_instant_and_nan(spark, monkeypatch, collapsed):
     """A third of the rows at one moment, and NaN payloads."""
     rng = np.random.default_rng(7)
     ts, v = level_signal(rng, 600)
@@ -223,8 +238,12 @@ def test_hot_instant_and_nan(spark):
     text = [str(x) for x in v]
     text[10] = "nan"
     frame = messages(spark, {"a": (ts, text)})
+    if collapsed:
+        monkeypatch.setattr(medians, "TARGET_CHUNK_ROWS", 100)
+    values, density = medians.prepare_values(medians.series_values(frame), 300_000_000)
+    assert (values.agg(F.max("n")).first()[0] >= 300) is collapsed
+    assert density.counts.first().rows == 900 and (density.densest < 100) is collapsed
     smooth = analysis.smooth_from_messages(frame)
-    assert medians.series_values(frame).agg(F.max("n")).first()[0] >= 300
     v = v.copy()
     v[10] = np.nan
     want, *_ = brute.analyze(ts, v)
