@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: buckets are aligned to Monday 2000-01-03 00:00:00, in seconds since 1970-01-01.
@@ -10,6 +10,7 @@ BUCKET_ORIGIN_SECONDS = 946_857_600
 
 _EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 US = 1_000_000
+_UTC = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 
 def interval(seconds: float) -> Column:
@@ -29,6 +30,10 @@ def bucket_start(ts: str | Column, minutes: int) -> Column:
 def micros(ts: str | Column) -> Column:
     """Microseconds since 1970 of a zone-less timestamp, as BIGINT."""
     column = F.col(ts) if isinstance(ts, str) else ts
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.session.timeZone") in _UTC:
+        # The zoned type has the same micros then, and the cast costs nothing.
+        return F.unix_micros(column.cast("timestamp_ntz").cast("timestamp"))
     seconds = (column - F.expr(_EPOCH)).cast("interval second").cast("decimal(18,6)").cast("double")
     return F.round(seconds * US).cast("bigint")
 

@@ -30,6 +30,9 @@ FANOUT = 1024
 # The records of a series are searched in one task only up to this many.
 MAX_RECORDS = 2_000_000
 
+# Zones of the distance rule grow up to this many samples from round to round.
+MAX_ZONE = 4_194_304
+
 UNDECIDED, KEPT, DROPPED = 0, 1, 2
 
 
@@ -218,35 +221,46 @@ def min_distance(peaks: DataFrame, distance: int = DISTANCE, rows: int = CHUNK_R
                  halo: int | None = None) -> DataFrame:
     """The peaks that stay when of any two closer than ``distance`` the higher is preferred.
 
-    ``peaks`` has series, kind, mid and height, and us and ord to pass on. Each zone of ``rows`` samples is settled with a
-    halo of neighbouring peaks, and a decision is taken only if nothing outside the view could
-    change it. What stays open is settled in a further round, which sees the decisions of the
-    neighbouring zones; so chains of any length are exact, and no task holds a whole series.
+    ``peaks`` has series, kind, mid and height, and us and ord to pass on. Each zone of ``rows``
+    samples is settled with a halo of neighbouring peaks, and a decision is taken only if nothing
+    outside the view could change it. What stays open, in long chains of rising peaks, is settled
+    in further rounds over the zones concerned, which are larger and see the decisions of their
+    neighbours. So chains of any length are exact, and no task holds a whole series.
     """
     halo = 50 * distance if halo is None else halo
     if not distance <= halo <= rows:
         raise ValueError("need distance <= halo <= rows")
+    key = ["series", "kind", "zone"]
     columns = ["series", "kind", "mid", "height", "us", "ord", "state"]
     current = peaks.select(*columns[:-1], F.lit(UNDECIDED).cast("bigint").alias("state"))
-
-    def zone(shift: int):
-        return F.floor((F.col("mid") + shift) / rows).cast("bigint")
-
+    rest = affected = None
     while True:
+        def zone(shift: int):
+            return F.floor((F.col("mid") + shift) / rows).cast("bigint")
+
         spread = (
             current.withColumn("zone", F.explode(F.array_distinct(F.array(zone(-halo), zone(0), zone(halo)))))
             .where("zone >= 0")
             .select(*columns, "zone", (F.col("zone") == zone(0)).alias("core"))
-            .repartition("series", "kind", "zone")
-            .sortWithinPartitions("zone", "series", "kind", "mid")
         )
-        current, seen = measured(spread.mapInArrow(
-            _distance_round(distance, rows, halo),
-            "series STRING, kind STRING, mid BIGINT, height DOUBLE, us BIGINT, ord BIGINT, state BIGINT"),
-            "distance",
+        if affected is not None:
+            spread = spread.join(affected, key, "left_semi")
+            rest = current.withColumn("zone", zone(0)).join(affected, key, "left_anti").select(*columns)
+        settled = (
+            spread.repartition(*key).sortWithinPartitions("zone", "series", "kind", "mid")
+            .mapInArrow(
+                _distance_round(distance, rows, halo),
+                "series STRING, kind STRING, mid BIGINT, height DOUBLE, us BIGINT, ord BIGINT, state BIGINT")
+        )
+        current, seen = measured(
+            settled if rest is None else rest.unionByName(settled), "distance",
             undecided=F.count(F.when(F.col("state") == UNDECIDED, 1)))
         if not seen["undecided"]:
             return current.where(F.col("state") == KEPT).drop("state")
+        rows = min(rows * 8, max(rows, MAX_ZONE))
+        affected = lookup_table(
+            current.where(F.col("state") == UNDECIDED).select("series", "kind", zone(0).alias("zone"))
+            .distinct(), "zones")
 
 
 # -- prominence ------------------------------------------------------------------------------------

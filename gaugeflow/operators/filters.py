@@ -92,25 +92,11 @@ def last_rows(df: DataFrame, n: int = 500, keys: tuple[str, ...] = (),
               order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:
     """The latest n rows (of every key), ascending.
 
-    The per-key form ranks inside (key, hour) first. A key's n latest rows lie in its latest
-    hours, so only that many rows of a hot key reach the second ranking.
+    The filter on the row number becomes a group limit before the shuffle (for n up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``), so a task sends at most n rows of a key.
     """
     newest = [F.desc(c) for c in order]
     if not keys:
         return df.orderBy(*newest).limit(n).orderBy(*order)
-    hour = F.date_trunc("hour", F.col(order[0]))
-    counts = df.groupBy(*keys, hour.alias("_hour")).count()
-    newer = F.coalesce(
-        F.sum("count").over(Window.partitionBy(*keys).orderBy(F.desc("_hour"))
-                            .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    hours = lookup_table(
-        counts.select(*keys, "_hour", newer.alias("_newer")).where(F.col("_newer") < n)
-        .select(*keys, "_hour"), "last-rows")
-    near = df.withColumn("_hour", hour).join(hours, [*keys, "_hour"])
-    in_hour = Window.partitionBy(*keys, "_hour").orderBy(*newest)
-    in_key = Window.partitionBy(*keys).orderBy(*newest)
-    return (
-        near.withColumn("_rank", F.row_number().over(in_hour)).where(F.col("_rank") <= n)
-        .withColumn("_rank", F.row_number().over(in_key)).where(F.col("_rank") <= n)
-        .drop("_rank", "_hour").orderBy(*keys, *order)
-    )
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank").orderBy(*keys, *order)

@@ -150,7 +150,7 @@ def _rolling(half: int, length: int, per_instant: bool, extend):
         n = table.column("n").to_numpy()
         # One rising key for all groups; groups lie further apart than half a window.
         key = (np.cumsum(first) - 1) * (length + 4 * half + 2) + (us - chunk * length + half)
-        core = np.flatnonzero(table.column("core").to_numpy(zero_copy_only=False))
+        core = np.flatnonzero(us // length == chunk)
         instant, start, inverse = np.unique(key[core], return_index=True, return_inverse=True)
         lo = np.searchsorted(key, instant - half, side="right")
         hi = np.searchsorted(key, instant + half, side="right")
@@ -195,10 +195,9 @@ def rolling_median(
 
     spread = (
         df.select(
-            "series", "us", "value", "n", chunk_of(0).alias("home"),
+            "series", "us", "value", "n",
             F.explode(F.array_distinct(F.array(chunk_of(-half), chunk_of(0), chunk_of(half))))
             .alias("chunk"))
-        .select("series", "chunk", "us", "value", "n", (F.col("chunk") == F.col("home")).alias("core"))
         .repartition("series", "chunk")
         .sortWithinPartitions("chunk", "series", "us")
     )

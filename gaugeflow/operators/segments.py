@@ -19,6 +19,7 @@ HOUR_US = 3_600_000_000
 
 # Rows per bin of the interval join between segments and series rows.
 BIN_ROWS = 64
+BLOCK_ROWS = 65_536
 
 
 def next_max(extrema: DataFrame) -> DataFrame:
@@ -78,8 +79,13 @@ def segment_points(smooth: DataFrame, spans: DataFrame) -> DataFrame:
         "series", "is_current", "id", "n_points",
         *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("begin", "end")
           for c in ("mid", "ord", "us", "value")])
-    bins = F.sequence(F.expr(f"begin_ord div {BIN_ROWS}"), F.expr(f"end_ord div {BIN_ROWS}"))
-    pieces = flat.withColumn("bin", F.explode(bins))
+    # A long span is first cut into blocks; the blocks are spread out before they are cut into bins.
+    blocks = F.sequence(F.expr(f"begin_ord div {BLOCK_ROWS}"), F.expr(f"end_ord div {BLOCK_ROWS}"))
+    bins = F.sequence(
+        F.expr(f"greatest(begin_ord, block * {BLOCK_ROWS}) div {BIN_ROWS}"),
+        F.expr(f"least(end_ord, (block + 1) * {BLOCK_ROWS} - 1) div {BIN_ROWS}"))
+    pieces = flat.withColumn("block", F.explode(blocks)).repartition("series", "block").withColumn(
+        "bin", F.explode(bins)).drop("block")
     rows = smooth.select("series", "ord", "pos", "until", "us", "smooth",
                          F.expr(f"ord div {BIN_ROWS}").alias("bin"))
     weight = F.least("until", "end_mid") - F.greatest("pos", "begin_mid") + 1

@@ -16,7 +16,7 @@ from gaugeflow.operators.filters import recent_raw
 from gaugeflow.operators.stats import measurement_stats
 from gaugeflow.plans.analysis import Analysis, analyze_segments
 from gaugeflow.schemas import SNAPSHOT
-from gaugeflow.session import materialize
+from gaugeflow.session import lookup_table, materialize
 
 # Fixed values.
 REPLAY_DELAY_SECONDS = 300
@@ -171,7 +171,7 @@ def assemble_snapshot(
         document = document.withColumn("analysis", F.lit(None).cast(SNAPSHOT["analysis"].dataType))
     if parts.sensors:
         document = document.withColumn("site", F.lit(1)).join(
-            _sensor_document(parts.sensors), "site", "left").drop("site")
+            lookup_table(_sensor_document(parts.sensors), "sensors"), "site", "left").drop("site")
     else:
         document = document.withColumn("yolink_sensors", F.lit(None).cast(SNAPSHOT["yolink_sensors"].dataType))
     season = F.struct(

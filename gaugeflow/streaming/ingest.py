@@ -103,9 +103,9 @@ def flush_routed(df: DataFrame, path: str, checkpoint: str, seconds: float | Non
 
 def compact(spark: SparkSession, path: str, target: str) -> DataFrame:
     """Rewrite batch folders as one table by table name and day, sorted by topic and time, so that
-    files can be skipped by their statistics."""
+    files can be skipped by their statistics. Days with many rows are split into several files."""
     rows = spark.read.parquet(path).drop("batch_id")
-    rows.repartition("table_name", "date", F.hash("topic") % 8).sortWithinPartitions(
+    rows.hint("rebalance", "table_name", "date").sortWithinPartitions(
         "table_name", "date", "topic", "timestamp"
     ).write.partitionBy("table_name", "date").parquet(target)
     return spark.read.parquet(target)
