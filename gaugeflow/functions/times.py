@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ US = 1_000_000
 _UTC = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 
+def moment(value: datetime) -> Column:
+    """Zone-less timestamp literal, whatever the zones of driver and session are."""
+    return F.expr(f"TIMESTAMP_NTZ'{value.isoformat(sep=' ')}'")
+
+
 def interval(seconds: float) -> Column:
     """Day-time interval literal with microsecond precision."""
     micros = round(seconds * US)

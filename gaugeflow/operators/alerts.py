@@ -14,8 +14,9 @@ from gaugeflow.session import materialize
 # Fixed value: hours of silence after an alert.
 COOLDOWN_HOURS = 24
 
-# Cooldowns per chunk of time.
+# Cooldowns per chunk of time, fewer if more breaches than this would fall in a chunk.
 CHUNK_COOLDOWNS = 32
+TARGET_CHUNK_ROWS = 1_000_000
 
 
 def breaches(threshold: float, direction: str, value: str | Column = "value") -> Column:
@@ -123,13 +124,15 @@ def threshold_alerts(
     then walked from their known starting moments. A key's rows are never gathered in one task.
     """
     cooldown = round(cooldown_hours * 3_600_000_000)
-    length = cooldown * CHUNK_COOLDOWNS
     hits = materialize(
         df.where(breaches(threshold, direction, value))
         .select(F.col(key).cast("string").alias("key"), micros(ts).alias("us"),
                 F.col(value).cast("double").alias("value"), F.col(order).alias("_order"))
-        .groupBy("key", "us").agg(F.min_by("value", "_order").alias("value"))
-        .withColumn("chunk", F.floor(F.col("us") / length).cast("bigint")), "breaches")
+        .groupBy("key", "us").agg(F.min_by("value", "_order").alias("value")), "breaches")
+    slots = hits.groupBy("key", F.floor(F.col("us") / cooldown).alias("slot")).count()
+    densest = slots.agg(F.max("count")).first()[0] or 1
+    length = cooldown * max(1, min(CHUNK_COOLDOWNS, TARGET_CHUNK_ROWS // densest))
+    hits = hits.withColumn("chunk", F.floor(F.col("us") / length).cast("bigint"))
     exits = (
         hits.select("key", "chunk", "us").repartition("key", "chunk")
         .sortWithinPartitions("key", "chunk", "us")

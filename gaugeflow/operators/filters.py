@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.functions.times import interval
+from gaugeflow.functions.times import interval, moment
 from gaugeflow.functions.values import cast_value
-from gaugeflow.session import lookup_table
+from gaugeflow.session import broadcast_if, measured
 
 
 def lookback(
@@ -21,21 +21,28 @@ def lookback(
 ) -> DataFrame:
     """Rows with ``ts >= max(ts) - seconds``: data time, not the clock.
 
-    Without ``keys`` there is one bound for the table, a scalar subquery. With ``keys`` every key
-    has its own bound, taken from a partial aggregate of two columns. Rows whose other columns
-    are NULL count for the bound. ``as_of`` replaces the maximum by a known literal, which reaches
-    the file scan as a pushed filter and prunes date partitions. ``seconds=None`` keeps all rows.
+    Without ``keys`` there is one bound for the table, with ``keys`` one for every key, taken from
+    a partial aggregate of two columns; rows whose other columns are NULL count for it. The bound
+    (for keys: the earliest one) is read first and used as a literal, so that it reaches the file
+    scan as a pushed filter and a short look-back does not read a long history. ``as_of`` replaces
+    the maximum and saves that read. ``seconds=None`` keeps all rows.
     """
     if seconds is None:
         return df
+    if as_of is None and not keys:
+        as_of = df.agg(F.max(ts)).first()[0]
+        if as_of is None:
+            return df.where(F.lit(False))
     if as_of is not None:
-        return df.where(F.col(ts) >= F.lit(as_of).cast("timestamp_ntz") - interval(seconds))
-    if not keys:
-        latest = df.select(F.max(ts)).scalar()
-        return df.where(F.col(ts) >= latest - interval(seconds))
-    bounds = lookup_table(
-        df.groupBy(*keys).agg((F.max(ts) - interval(seconds)).alias("_from")), "lookback")
-    return df.join(bounds, list(keys)).where(F.col(ts) >= F.col("_from")).drop("_from")
+        return df.where(F.col(ts) >= moment(as_of - timedelta(seconds=seconds)))
+    bounds, seen = measured(
+        df.groupBy(*keys).agg((F.max(ts) - interval(seconds)).alias("_from")), "lookback",
+        earliest=F.min("_from"))
+    if seen["earliest"] is None:
+        return df.where(F.lit(False))
+    recent = df.where(F.col(ts) >= moment(seen["earliest"]))
+    return recent.join(broadcast_if(bounds, seen["rows"]), list(keys)).where(
+        F.col(ts) >= F.col("_from")).drop("_from")
 
 
 def recent_raw(df: DataFrame, minutes: int = 10, topic: str | None = None,
@@ -67,9 +74,9 @@ def query_messages(
 ) -> DataFrame:
     """Messages in an inclusive time range whose topic is LIKE a pattern, newest first."""
     if start:
-        df = df.where(F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
+        df = df.where(F.col("timestamp") >= moment(start))
     if end:
-        df = df.where(F.col("timestamp") <= F.lit(end).cast("timestamp_ntz"))
+        df = df.where(F.col("timestamp") <= moment(end))
     if topic_like:
         df = df.where(like("topic", topic_like))
     df = df.orderBy(F.desc("timestamp"), F.desc("id"))
@@ -84,7 +91,7 @@ def season_flag(day: str | Column, start: date, end: date) -> Column:
 
 def replay_visible(df: DataFrame, as_of: datetime | Column, delay_seconds: float = 300) -> DataFrame:
     """Rows that are at least ``delay_seconds`` old at ``as_of``."""
-    now = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+    now = as_of if isinstance(as_of, Column) else moment(as_of)
     return df.where(F.col("timestamp") <= now - interval(delay_seconds))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.times import micros
@@ -55,18 +55,13 @@ def frequency_hz(df: DataFrame, keys: tuple[str, ...] = ("series",), seconds: fl
 def latest_reading(resolutions: list[DataFrame]) -> DataFrame:
     """Newest bucket per device type, from the first resolution that has any row at all.
 
-    ``resolutions`` come in order of preference, as given by ``sensor_buckets``.
+    ``resolutions`` come in order of preference, as given by ``sensor_buckets``. Whether one is
+    empty is asked in turn; the short look-backs come first and cost little.
     """
-    tagged = None
-    for rank, df in enumerate(resolutions):
-        newest = df.groupBy("device_type").agg(
-            F.max_by(F.struct("t", "temp", "humidity", "n"), "t").alias("last"))
-        part = newest.select(F.lit(rank).alias("rank"), "device_type", "last")
-        tagged = part if tagged is None else tagged.unionByName(part)
-    # At most one row per resolution and device type is left here.
-    first = F.min("rank").over(Window.partitionBy(F.lit(1)))
-    chosen = tagged.withColumn("first", first).where("rank = first")
-    return chosen.select("rank", "device_type", "last.*")
+    rank = next((i for i, df in enumerate(resolutions[:-1]) if not df.isEmpty()), len(resolutions) - 1)
+    last = F.max_by(F.struct("t", "temp", "humidity", "n"), "t").alias("last")
+    return resolutions[rank].groupBy("device_type").agg(last).select(
+        F.lit(rank).alias("rank"), "device_type", "last.*")
 
 
 def current_level(df: DataFrame, keys: tuple[str, ...] = ("series",),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.functions import topics, values
-from gaugeflow.functions.times import bucket_start, countdown_text, from_micros, iso_text, year_month
+from gaugeflow.functions.times import bucket_start, countdown_text, from_micros, iso_text, moment, year_month
 from gaugeflow.operators import alerts, buckets, derive, filters, merge, routing, stats
 from gaugeflow.operators import extrema as X
 from gaugeflow.operators import medians as M
@@ -397,7 +397,7 @@ def time_functions(spark, sf):
     return short.select(
         "event_id", "bucket_7m", bucket_start("ts", 7 * 24 * 60).alias("bucket_week"),
         iso_text("ts").alias("iso"), iso_text(F.date_trunc("minute", "ts")).alias("iso_minute"),
-        year_month("ts").alias("month"), countdown_text(F.lit(AS_OF).cast("timestamp_ntz"), "ts").alias("countdown"))
+        year_month("ts").alias("month"), countdown_text(moment(AS_OF), "ts").alias("countdown"))
 
 
 @query

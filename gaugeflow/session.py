@@ -83,7 +83,11 @@ def lookup_table(df: DataFrame, label: str = "lookup", max_rows: int = BROADCAST
     execution splits skewed keys.
     """
     stored, seen = measured(df, label)
-    return F.broadcast(stored) if seen["rows"] <= max_rows else stored
+    return broadcast_if(stored, seen["rows"], max_rows)
+
+
+def broadcast_if(stored: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    return F.broadcast(stored) if rows <= max_rows else stored
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

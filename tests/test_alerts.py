@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
+from gaugeflow.operators import alerts
 from gaugeflow.operators.alerts import breaches, threshold_alerts
 from pyspark.sql import functions as F
 
@@ -34,8 +35,10 @@ def test_lowest_id_speaks_for_a_moment(spark):
     assert [r.value for r in run(spark, [("k", 0, 12), ("k", 0, 99)])] == [12.0]
 
 
+@pytest.mark.parametrize("target", [1, 1_000_000])
 @pytest.mark.parametrize("spacing", ["random", "regular", "rare"])
-def test_many_chunks(spark, spacing):
+def test_many_chunks(spark, monkeypatch, spacing, target):
+    monkeypatch.setattr(alerts, "TARGET_CHUNK_ROWS", target)
     rng = np.random.default_rng(8)
     seconds = {
         "random": np.sort(rng.integers(0, 600 * 3600, 4000)),
