@@ -54,14 +54,13 @@ def from_micros(us: str | Column) -> Column:
 
 def iso_text(ts: str | Column) -> Column:
     """ISO-8601 text; the fraction is written only when it is not zero."""
-    column = F.col(ts) if isinstance(ts, str) else ts
-    whole = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss")
-    full = F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.when(column == F.date_trunc("second", column), whole).otherwise(full)
+    text = (F.col(ts) if isinstance(ts, str) else ts).cast("string")
+    fraction = F.when(F.length(text) > 19, F.rpad(F.substring(text, 20, 7), 7, "0")).otherwise("")
+    return F.concat(F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 8), fraction)
 
 
 def year_month(ts: str | Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+    return F.substring((F.col(ts) if isinstance(ts, str) else ts).cast("string"), 1, 7)
 
 
 def countdown_text(target: str | Column, as_of: str | Column) -> Column:

@@ -687,7 +687,7 @@ def refill_prediction(spark, sf):
         "series", F.round("current_distance_mm", 6).alias("current_distance_mm"),
         F.round("slope_mm_per_hr", 6).alias("slope_mm_per_hr"),
         F.round("time_to_50mm_hours", 4).alias("time_to_50mm_hours"),
-        F.date_trunc("minute", "predicted_refill_time").alias("predicted_minute"))
+        F.date_trunc("minute", "predicted_refill_time").cast("timestamp_ntz").alias("predicted_minute"))
 
 
 # -- dashboard series --------------------------------------------------------------------------------

@@ -31,11 +31,22 @@ def _sorted(columns, rows):
     return [columns[i] for i in order], sorted(plain, key=repr)
 
 
+# Spark's names of the checking engine's types.
+TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+    "DATE": "date", "TIMESTAMP": "timestamp_ntz",
+}
+
+
 def differences(df, db: duckdb.DuckDBPyConnection, sql: str) -> str:
     """Empty text if both results are equal, else what differs first."""
     ours = _sorted(df.columns, [tuple(r) for r in df.collect()])
     result = db.execute(sql)
-    theirs = _sorted([d[0] for d in result.description], result.fetchall())
+    result_types = result.description
+    theirs = _sorted([d[0] for d in result_types], result.fetchall())
+    types = {d[0]: TYPES.get(str(d[1]), str(d[1])) for d in result_types}
+    if types != dict(df.dtypes):
+        return f"types {sorted(set(dict(df.dtypes).items()) ^ set(types.items()))}"
     if ours[0] != theirs[0]:
         return f"columns {ours[0]} and {theirs[0]}"
     if len(ours[1]) != len(theirs[1]):

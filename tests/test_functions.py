@@ -103,5 +103,7 @@ def test_times_ignore_session_zone(spark):
         assert us == 1710037800250000
         assert row.select(times.from_micros(F.lit(us))).first()[0] == datetime(2024, 3, 10, 2, 30, 0, 250000)
         assert row.select(times.bucket_start("t", 60)).first()[0] == datetime(2024, 3, 10, 2)
+        assert row.select(times.iso_text("t")).first()[0] == "2024-03-10T02:30:00.250000"
+        assert row.select(times.year_month("t")).first()[0] == "2024-03"
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
