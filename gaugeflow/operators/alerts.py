@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.times import from_micros, micros
-from gaugeflow.operators.chunks import over_groups
+from gaugeflow.operators.chunks import floor_div, over_groups
 from gaugeflow.session import materialize
 
 # Fixed value: hours of silence after an alert.
@@ -129,10 +129,10 @@ def threshold_alerts(
         .select(F.col(key).cast("string").alias("key"), micros(ts).alias("us"),
                 F.col(value).cast("double").alias("value"), F.col(order).alias("_order"))
         .groupBy("key", "us").agg(F.min_by("value", "_order").alias("value")), "breaches")
-    slots = hits.groupBy("key", F.floor(F.col("us") / cooldown).alias("slot")).count()
+    slots = hits.groupBy("key", floor_div(F.col("us"), cooldown).alias("slot")).count()
     densest = slots.agg(F.max("count")).first()[0] or 1
     length = cooldown * max(1, min(CHUNK_COOLDOWNS, TARGET_CHUNK_ROWS // densest))
-    hits = hits.withColumn("chunk", F.floor(F.col("us") / length).cast("bigint"))
+    hits = hits.withColumn("chunk", floor_div(F.col("us"), length))
     exits = (
         hits.select("key", "chunk", "us").repartition("key", "chunk")
         .sortWithinPartitions("key", "chunk", "us")

@@ -22,6 +22,11 @@ CHUNK_ROWS = 65_536
 BATCH_ROWS = 200_000
 
 
+def floor_div(column: Column, size: int) -> Column:
+    """Whole-number division that rounds down, exact for all BIGINT values."""
+    return F.call_function("div", column - F.pmod(column, F.lit(size)), F.lit(size))
+
+
 def number_rows(df: DataFrame, order: str, weights: dict[str, Column]) -> DataFrame:
     """Add running positions along each series.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeflow.operators.chunks import CHUNK_ROWS, group_changes, over_groups
+from gaugeflow.operators.chunks import CHUNK_ROWS, floor_div, group_changes, over_groups
 from gaugeflow.session import lookup_table, materialize, measured
 
 # Fixed values of the analysis.
@@ -236,7 +236,7 @@ def min_distance(peaks: DataFrame, distance: int = DISTANCE, rows: int = CHUNK_R
     rest = affected = None
     while True:
         def zone(shift: int):
-            return F.floor((F.col("mid") + shift) / rows).cast("bigint")
+            return floor_div(F.col("mid") + shift, rows)
 
         spread = (
             current.withColumn("zone", F.explode(F.array_distinct(F.array(zone(-halo), zone(0), zone(halo)))))
@@ -311,12 +311,10 @@ def _scan_groups(table: pa.Table, first: np.ndarray) -> pa.Table:
 
     keep = from_left | from_right
     kept = np.flatnonzero(keep)
-    group = np.cumsum(first) - 1
     gap = np.cumsum(keep) - 1
     inner = np.flatnonzero(~keep)
     lowest = inner[np.lexsort((height[inner], gap[inner]))]
     valleys = lowest[np.concatenate(([True], np.diff(gap[lowest]) != 0))] if len(lowest) else lowest
-    del group
     queried = np.flatnonzero(table.column("query").to_numpy(zero_copy_only=False))
     summary = np.sort(np.concatenate((kept, valleys)))
     rows = np.concatenate((queried, summary))
@@ -357,7 +355,7 @@ def _floors(samples: DataFrame) -> DataFrame:
     if not seen["last"]:
         return asked.select("series", "sign", "pos", "tag", "height", "left", "right")
     whole = seen["records"] <= MAX_RECORDS or seen["last"] < FANOUT
-    part = F.lit(0).cast("bigint") if whole else F.floor(F.col("part") / FANOUT).cast("bigint")
+    part = F.lit(0).cast("bigint") if whole else floor_div(F.col("part"), FANOUT)
     flags = F.col("from_left").cast("bigint") * 2 + F.col("from_right").cast("bigint")
     beyond = _floors(records.select(
         "series", "sign", part.alias("part"), "pos", (F.col("part") * 4 + flags).alias("tag"),
@@ -380,7 +378,7 @@ def prominences(points: DataFrame) -> DataFrame:
         "series", "pos", "mid", "value", "kind", F.explode(F.array(F.lit(1), F.lit(-1))).alias("sign"))
     wanted = F.when(F.col("sign") == 1, F.lit("max")).otherwise(F.lit("min"))
     samples = signed.select(
-        "series", "sign", F.floor(F.col("pos") / CHUNK_ROWS).cast("bigint").alias("part"), "pos",
+        "series", "sign", floor_div(F.col("pos"), CHUNK_ROWS).alias("part"), "pos",
         F.col("mid").alias("tag"), (F.col("value") * F.col("sign")).alias("height"),
         (F.col("kind") == wanted).alias("query"))
     floors = _floors(samples)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.times import from_micros, micros
 from gaugeflow.functions.values import cast_value
-from gaugeflow.operators.chunks import over_groups
+from gaugeflow.operators.chunks import floor_div, over_groups
 from gaugeflow.session import lookup_table, materialize, measured
 
 # Fixed values of the analysis.
@@ -38,7 +38,7 @@ TARGET_CHUNK_ROWS = 500_000
 
 def series_values(messages: DataFrame, on_error: str = "raise") -> DataFrame:
     """Messages with a payload as (series, us, value, n), one row each."""
-    return messages.where(F.col("payload").isNotNull()).select(
+    return messages.where(F.col("payload").isNotNull() & F.col("timestamp").isNotNull()).select(
         F.col("topic").alias("series"), micros("timestamp").alias("us"),
         cast_value("payload", on_error).alias("value"), F.lit(1).cast("bigint").alias("n"))
 
@@ -65,7 +65,7 @@ def series_density(values: DataFrame, half_us: int) -> Density:
     A chunk is a day, or less if the densest half-window forces it: a chunk of k slots has at most
     k times the rows of the densest slot. The slot itself is the shortest possible chunk.
     """
-    slot = F.floor(F.col("us") / half_us)
+    slot = floor_div(F.col("us"), half_us)
     slots = values.groupBy("series", slot.alias("slot")).agg(
         F.count(F.lit(1)).alias("held"), F.sum("n").alias("n"))
     counts, seen = measured(
@@ -191,7 +191,7 @@ def rolling_median(
         raise ValueError("a chunk must be at least half a window long")
 
     def chunk_of(shift: int):
-        return F.floor((F.col("us") + shift) / length).cast("bigint")
+        return floor_div(F.col("us") + shift, length)
 
     spread = (
         df.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.times import from_micros
-from gaugeflow.operators.chunks import CHUNK_ROWS, number_rows
+from gaugeflow.operators.chunks import CHUNK_ROWS, floor_div, number_rows
 from gaugeflow.session import materialize
 
 # Fixed values of the analysis.
@@ -30,7 +30,7 @@ def next_max(extrema: DataFrame) -> DataFrame:
     """
     point = F.struct("mid", "ord", "us", "value")
     top = F.when(F.col("kind") == "max", point)
-    marked = extrema.withColumn("chunk", F.floor(F.col("mid") / CHUNK_ROWS).cast("bigint")).withColumn("top", top)
+    marked = extrema.withColumn("chunk", floor_div(F.col("mid"), CHUNK_ROWS)).withColumn("top", top)
     # Ordered backwards, so that "all later rows" is a growing frame.
     ahead = (Window.partitionBy("series", "chunk").orderBy(F.desc("mid"))
              .rowsBetween(Window.unboundedPreceding, -1))
@@ -118,7 +118,7 @@ def candidate_spans(
 ) -> DataFrame:
     """Completed spans (numbered in time order) and current spans that are long enough."""
     done = long_enough(next_max(extrema), min_points, min_hours).withColumn(
-        "chunk", F.floor(F.col("begin.mid") / CHUNK_ROWS).cast("bigint")
+        "chunk", floor_div(F.col("begin.mid"), CHUNK_ROWS)
     ).withColumn("at", F.col("begin.mid"))
     done = number_rows(materialize(done, "spans"), "at", {"id": F.lit(1)})
     current = long_enough(current_spans(extrema, series_ends(smooth)), min_points, current_min_hours)

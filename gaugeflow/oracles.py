@@ -128,6 +128,8 @@ ORACLES["snapshot_source"] = _with(GAPPY) + f"""SELECT topic AS series,
   CASE WHEN date_trunc('second', timestamp) = timestamp THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S')
        ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp,
   round(value, 6) AS water_level_mm FROM gappy WHERE {recent('gappy', '360 MINUTE')}"""
+ORACLES["snapshot_sink"] = """SELECT DISTINCT 'events/' || event_type || '/raw' AS series,
+  CAST(1 AS BIGINT) AS documents, CAST(1 AS BIGINT) AS files FROM events"""
 ORACLES["archive_month"] = """SELECT 'archive' AS part, count(*) AS n, max(ts) AS last FROM events
 UNION ALL SELECT 'live', 0, NULL"""
 ORACLES["list_archives"] = """SELECT '2024-01' AS archive_month, count(*) > 0 AS has_bytes FROM events"""
@@ -203,6 +205,7 @@ added AS (SELECT * FROM fresh
 
 ORACLES["merge_dedup"] = _with(MESSAGES, _MERGE) + """SELECT timestamp, topic, qos, retain,
   round(value, 6) AS value FROM (SELECT * FROM olds UNION ALL SELECT * FROM added)"""
+ORACLES["union_merge"] = _with(MESSAGES, _MERGE) + f"SELECT {PLAIN} FROM added"
 ORACLES["merge_counts"] = _with(MESSAGES, _MERGE) + """SELECT (SELECT count(*) FROM olds) AS old_count,
   (SELECT count(*) FROM news) AS new_count,
   (SELECT count(*) FROM olds) + (SELECT count(*) FROM added) AS merged_count"""
@@ -358,6 +361,8 @@ for _name, _half in (("rolling_median", 150), ("rolling_median_10m", 300)):
 ORACLES["mad_scale"] = _with(MESSAGES, RESIDUALS) + "SELECT topic AS series, round(scale, 6) AS scale FROM scales"
 ORACLES["exact_median"] = _with(MESSAGES, RESIDUALS) + """SELECT topic AS series,
   round(median(residual), 6) AS median FROM residuals GROUP BY topic"""
+ORACLES["residual"] = _with(MESSAGES, RESIDUALS) + """SELECT topic AS series, timestamp,
+  round(local_median, 6) AS local_median, round(residual, 6) AS residual FROM residuals"""
 ORACLES["outlier"] = _with(MESSAGES, RESIDUALS) + """SELECT topic AS series, timestamp, round(value, 6) AS value,
   round(residual, 6) AS residual, abs(residual) > 3.0 * scale AS is_outlier
 FROM residuals JOIN scales USING (topic)"""

@@ -199,6 +199,24 @@ def snapshot_source(spark, sf):
         "series", "m.timestamp", F.round("m.water_level_mm", 6).alias("water_level_mm"))
 
 
+@query
+def snapshot_sink(spark, sf):
+    """One folder per series, and in it one gzip file with one document."""
+    path = scratch_path(spark, "documents")
+    built = snapshot_batch(_gappy(spark, sf), None, *SEASON, AS_OF, analysis=False)
+    snapshots.write_snapshots(built, path, per_series=True)
+    text = spark.read.text(f"{path}/*/*.gz").select("value", F.input_file_name().alias("file"))
+    document = F.from_json("value", snapshots.schemas.SNAPSHOT)
+    return text.withColumn("d", document).groupBy(F.col("d.series").alias("series")).agg(
+        F.count(F.lit(1)).alias("documents"), F.count_distinct("file").alias("files"))
+
+
+@query
+def union_merge(spark, sf):
+    """The appended part of a merge: new rows with unknown keys, first of each key."""
+    return _plain_messages(merge.new_rows(*_generations(spark, sf), merge.MESSAGE_KEY))
+
+
 def _archived(spark, sf) -> tuple[str, str]:
     live, store = scratch_path(spark, "live"), scratch_path(spark, "archive")
     _messages(spark, sf).write.parquet(live)
@@ -574,6 +592,12 @@ def exact_median(spark, sf):
     return rounded(M.exact_median(_residuals(spark, sf), "residual"), "median")
 
 
+@query
+def residual(spark, sf):
+    return rounded(_residuals(spark, sf).select(
+        "series", from_micros("us").alias("timestamp"), "local_median", "residual"), "local_median", "residual")
+
+
 @query
 def outlier(spark, sf):
     residuals = _residuals(spark, sf)

@@ -12,8 +12,7 @@ from gaugeflow.sources.tables import empty, path_exists
 def document_text(snapshots: DataFrame) -> DataFrame:
     """(series, value): the document as JSON text. NULL fields are left out, which drops optional
     keys that have nothing in them; explicit nulls are dropped too."""
-    fields = [c for c in snapshots.columns]
-    return snapshots.select("series", F.to_json(F.struct(*fields)).alias("value"))
+    return snapshots.select("series", F.to_json(F.struct(*snapshots.columns)).alias("value"))
 
 
 def write_snapshots(snapshots: DataFrame, path: str, per_series: bool = False) -> None:

@@ -9,7 +9,7 @@ from gaugeflow import schemas
 from gaugeflow.operators import buckets, derive, filters, merge, routing, stats
 
 T0 = datetime(2024, 1, 1)
-LEVEL = "xmas/level"
+LEVEL = "site/level"
 
 
 def at(seconds):
