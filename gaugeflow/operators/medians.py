@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.times import from_micros, micros
@@ -242,11 +242,19 @@ def group_median(df: DataFrame, value: str, longest: int | None = None) -> DataF
     When the longest series is known to have few rows the built-in percentile, which keeps the
     distinct values of one series in one task, is the cheaper way to the same number.
     """
-    if longest is not None and longest <= MAX_PERCENTILE_ROWS:
-        return df.groupBy("series").agg(F.percentile(value, F.lit(0.5), F.col("n")).alias("median"))
+    if _is_short(longest):
+        return df.groupBy("series").agg(_percentile(value))
     return exact_median(df, value)
 
 
+def _is_short(longest: int | None) -> bool:
+    return longest is not None and longest <= MAX_PERCENTILE_ROWS
+
+
+def _percentile(value: str) -> Column:
+    return F.percentile(value, F.lit(0.5), F.col("n")).alias("median")
+
+
 def _bin(v):
     """Histogram bin of a double: rises with v, about 0.02 % wide."""
     size = F.when(F.abs(v) == float("inf"), F.lit(1 << 40)).otherwise(
@@ -262,11 +270,14 @@ def mad_scale(residuals: DataFrame, longest: int | None = None) -> DataFrame:
     moved = narrow.join(centre, "series").select(
         "series", "n", (F.col("residual") - F.col("median")).alias("d"),
         F.abs(F.col("residual") - F.col("median")).alias("deviation"))
-    mad = group_median(moved, "deviation", longest)
     count, first, second = F.sum("n"), F.sum(F.expr("n * d")), F.sum(F.expr("n * d * d"))
-    spread = moved.groupBy("series").agg(
-        F.sqrt(F.greatest(second / count - (first / count) * (first / count), F.lit(0.0))).alias("spread"))
-    return mad.join(spread, "series").select(
+    spread = F.sqrt(F.greatest(second / count - (first / count) * (first / count), F.lit(0.0)))
+    if _is_short(longest):
+        both = moved.groupBy("series").agg(_percentile("deviation"), spread.alias("spread"))
+    else:
+        both = exact_median(moved, "deviation").join(
+            moved.groupBy("series").agg(spread.alias("spread")), "series")
+    return both.select(
         "series", F.when(F.col("median") == 0, F.col("spread")).otherwise(F.col("median")).alias("scale"))
 
 
