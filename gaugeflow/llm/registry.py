@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.llm import substrings
+from gaugeflow.llm import quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,7 +22,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op3_toxicity(spark, sf):
+    return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op8_substring_dedup(spark, sf):
     return substrings.remove_repeats(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op9_quality(spark, sf):
+    return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))

@@ -50,14 +50,17 @@ class Powers:
             self.up, self.down = _powers(self.base, count), _powers(self.inverse, count)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(
+    data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and past-last byte of every word, and the number of words before each row (and in all).
 
-    ``offsets`` are the rows' byte offsets; a word ends where its row ends.
+    ``offsets`` are the rows' byte offsets; a word ends where its row ends. ``space`` tells for each
+    byte value whether it stands between words.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = np.concatenate(([False], inside[:-1]))
