@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.llm import quality, substrings, toxicity
+from gaugeflow.llm import jaccard, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,3 +36,8 @@ def op8_substring_dedup(spark, sf):
 @query
 def op9_quality(spark, sf):
     return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op10_jaccard_join(spark, sf):
+    return jaccard.similar_groups(table(spark, sf, "documents"))
