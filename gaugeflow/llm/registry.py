@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.llm import jaccard, quality, substrings, toxicity
+from gaugeflow.llm import decontamination, jaccard, mixing, quality, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,16 @@ def op3_toxicity(spark, sf):
     return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op4_decontamination(spark, sf):
+    return decontamination.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op5_mix(spark, sf):
+    return mixing.mix_sources(table(spark, sf, "documents"))
+
+
 @query
 def op8_substring_dedup(spark, sf):
     return substrings.remove_repeats(table(spark, sf, "documents")).select(
