@@ -6,14 +6,21 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import stored
+from gaugeflow.llm.common import BROADCAST_ROWS, small, stored
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
-    """Hang neighbours on the smallest neighbour: of every node its larger ones, or all not larger."""
+def _star(edges: DataFrame, larger: bool, rows: int) -> DataFrame:
+    """Hang neighbours on the smallest neighbour: of every node its larger ones, or all not larger.
+
+    ``rows`` bounds the edges. The least neighbours are broadcast if they are few, and otherwise stored, so
+    that both sides of the join come from plain shuffles whose hot partitions Spark can split.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = both if larger else both.where("a > b")
     least = side.groupBy("a").agg(F.min("b").alias("low"))
+    if 2 * rows > BROADCAST_ROWS:
+        least, _ = stored(least, "least")
+    least = small(least, 2 * rows)
     if larger:
         joined = both.join(least, "a").where("b > a")
         return joined.select(F.col("b").alias("a"), F.least("low", "a").alias("b"))
@@ -34,7 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
     now, seen = stored(pairs, "edges", mark=mark)
     while seen["rows"]:
         last = (seen["rows"], seen["mark"])
-        step = _star(_star(now, True), False).where("a <> b").distinct()
+        step = _star(_star(now, True, last[0]), False, last[0]).where("a <> b").distinct()
         now, seen = stored(step, "edges", mark=mark)
         if (seen["rows"], seen["mark"]) == last:
             break

@@ -235,3 +235,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_f
     return docs.mapInArrow(_scored(net, prior), "doc_id BIGINT, text STRING, score DOUBLE").select(
         "doc_id", F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_rejected(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1,
+                     sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The rows of ``docs``, with all columns, that :func:`score_quality` predicts as 1."""
+    known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("label"))
+    net, prior = learn(pick(docs, "doc_id", "text"), known, remainder("doc_id", folds) != held_out_fold, sample_docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, "text")
+    shape = f"row {rows.schema['row'].dataType.simpleString()}, text STRING, score DOUBLE"
+    return rows.mapInArrow(_scored(net, prior), shape).where("score >= 0.5").select("row.*")

