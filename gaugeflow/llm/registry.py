@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeflow.llm import decontamination, jaccard, mixing, pii, quality, substrings, toxicity
+from gaugeflow.llm import decontamination, jaccard, mixing, pii, quality, substrings, toxicity, vectors
 
 # Secret of the surrogates; a deployment brings its own.
 KEY = b"corpus key"
@@ -45,6 +45,12 @@ def op5_mix(spark, sf):
     return mixing.mix_sources(table(spark, sf, "documents"))
 
 
+@query
+def op7_nearest(spark, sf):
+    found = vectors.usable(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    return vectors.search(found, found.where("vec_id % 50 = 0"), k=5)
+
+
 @query
 def op8_substring_dedup(spark, sf):
     return substrings.remove_repeats(table(spark, sf, "documents")).select(
