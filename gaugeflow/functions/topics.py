@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 READING_TOPIC_ROOT = "yolink"
 UNKNOWN_DEVICE = "unknown"
 
-# An expression per pattern stays cheap while the list is short configuration.
-MAX_INLINE_PATTERNS = 200
+# Up to this many patterns there is an expression for each; more are looked up in a tree of levels.
+INLINE_PATTERNS = 50
 
 _NEVER = r"(?!)"
 
@@ -37,11 +38,48 @@ def pattern_regex(pattern: str) -> str:
     return rf"(?s)\A{body}{tail}\z"
 
 
-def route_topic(topic: str | Column, patterns: Sequence[tuple[str, str]]) -> Column:
-    """Table name of the first pattern, in list order, that takes the topic; NULL if none does."""
-    if len(patterns) > MAX_INLINE_PATTERNS:
-        raise ValueError("use operators.routing.join_patterns for long pattern lists")
+def pattern_tree(patterns: Sequence[tuple[str, str]]) -> Callable[[str], str | None]:
+    """The same choice as :func:`route_topic` for one topic, by a walk through a tree of levels.
+
+    The work follows the topic's levels and the wildcards met, not the number of patterns.
+    """
+    root: dict = {}
+    for order, (pattern, table) in enumerate(patterns):
+        levels = pattern.split("/")
+        open_end = levels[-1] == "#"
+        if "#" in levels and not open_end:
+            continue
+        node = root
+        for level in levels[:-1] if open_end else levels:
+            node = node.setdefault(level, {})
+        # These two keys are no text, so no level is taken for them.
+        node.setdefault(open_end, (order, table))
+
+    def choose(topic: str) -> str | None:
+        found, nodes = [], [root]
+        for level in topic.split("/"):
+            found += [node[True] for node in nodes if True in node]
+            nodes = [node[name] for node in nodes for name in {"+", level} if name in node]
+        found += [node[end] for node in nodes for end in (True, False) if end in node]
+        return min(found)[1] if found else None
+
+    return choose
+
+
+def route_topic(topic: str | Column, patterns: Sequence[tuple[str, str]], inline: int = INLINE_PATTERNS) -> Column:
+    """Table name of the first pattern, in list order, that takes the topic; NULL if none does.
+
+    Lists of any length are taken. Long ones are matched in Arrow batches, each topic of a batch once.
+    """
     column = F.col(topic) if isinstance(topic, str) else topic
+    if len(patterns) > inline:
+        choose = pattern_tree(patterns)
+
+        def routed(batch: pd.Series) -> pd.Series:
+            known = {name: choose(name) for name in batch.dropna().unique()}
+            return batch.map(known).astype(object).where(batch.notna(), None)
+
+        return F.pandas_udf(routed, "string")(column)
     choices = [F.when(column.rlike(pattern_regex(p)), F.lit(table)) for p, table in patterns]
     return F.coalesce(*choices, F.lit(None).cast("string"))
 

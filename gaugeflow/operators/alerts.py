@@ -128,7 +128,8 @@ def threshold_alerts(
         df.where(breaches(threshold, direction, value))
         .select(F.col(key).cast("string").alias("key"), micros(ts).alias("us"),
                 F.col(value).cast("double").alias("value"), F.col(order).alias("_order"))
-        .groupBy("key", "us").agg(F.min_by("value", "_order").alias("value")), "breaches")
+        .groupBy("key", "us").agg(F.min(F.struct(F.col("_order").isNull(), "_order", "value")).alias("first"))
+        .select("key", "us", "first.value"), "breaches")
     slots = hits.groupBy("key", floor_div(F.col("us"), cooldown).alias("slot")).count()
     densest = slots.agg(F.max("count")).first()[0] or 1
     length = cooldown * max(1, min(CHUNK_COOLDOWNS, TARGET_CHUNK_ROWS // densest))

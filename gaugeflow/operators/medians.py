@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.times import from_micros, micros
@@ -29,9 +29,6 @@ DAY_US = 86_400_000_000
 # Up to this many values in every frame they are sorted side by side.
 SHORT_RANGE = 32
 
-# Up to this many rows per series the built-in percentile is used.
-MAX_PERCENTILE_ROWS = 2_000_000
-
 # A chunk is made shorter than a day when a series is so dense that more rows would fall in it.
 TARGET_CHUNK_ROWS = 500_000
 
@@ -48,13 +45,19 @@ def collapse(values: DataFrame) -> DataFrame:
     return values.groupBy("series", "us", "value").agg(F.sum("n").alias("n"))
 
 
+def expand(rows: DataFrame) -> DataFrame:
+    """Rows with a number ``n`` as that many rows with 1: what leaves the analysis looks the same whether
+    equal rows were collapsed on the way or not."""
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "n"))).drop("_copy").withColumn(
+        "n", F.lit(1).cast("bigint"))
+
+
 @dataclass
 class Density:
-    """How rows lie on the time axis: ``counts`` is (series, rows), ``longest`` the most rows of one
-    series, ``densest`` the most of one series within half a window, ``chunk_us`` a safe chunk."""
+    """How rows lie on the time axis: ``counts`` is (series, rows), ``densest`` the most rows of one
+    series within half a window, ``chunk_us`` a safe chunk."""
 
     counts: DataFrame
-    longest: int
     densest: int
     chunk_us: int
 
@@ -69,12 +72,11 @@ def series_density(values: DataFrame, half_us: int) -> Density:
     slots = values.groupBy("series", slot.alias("slot")).agg(
         F.count(F.lit(1)).alias("held"), F.sum("n").alias("n"))
     counts, seen = measured(
-        slots.groupBy("series").agg(F.sum("n").alias("rows"), F.max("held").alias("densest"),
-                                    F.sum("held").alias("held")),
-        "density", densest=F.max("densest"), longest=F.max("held"))
+        slots.groupBy("series").agg(F.sum("n").alias("rows"), F.max("held").alias("densest")),
+        "density", densest=F.max("densest"))
     densest = seen["densest"] or 0
     slots_per_chunk = max(1, min(DAY_US // half_us, TARGET_CHUNK_ROWS // (densest or 1)))
-    return Density(counts.select("series", "rows"), seen["longest"] or 0, densest, slots_per_chunk * half_us)
+    return Density(counts.select("series", "rows"), densest, slots_per_chunk * half_us)
 
 
 def prepare_values(values: DataFrame, half_us: int) -> tuple[DataFrame, Density]:
@@ -236,25 +238,6 @@ def exact_median(df: DataFrame, value: str, weight: str = "n") -> DataFrame:
           + F.max(F.expr("CASE WHEN at <= hi AND hi < at + n THEN v END"))) / 2).alias("median"))
 
 
-def group_median(df: DataFrame, value: str, longest: int | None = None) -> DataFrame:
-    """Exact weighted median per series, as (series, median).
-
-    When the longest series is known to have few rows the built-in percentile, which keeps the
-    distinct values of one series in one task, is the cheaper way to the same number.
-    """
-    if _is_short(longest):
-        return df.groupBy("series").agg(_percentile(value))
-    return exact_median(df, value)
-
-
-def _is_short(longest: int | None) -> bool:
-    return longest is not None and longest <= MAX_PERCENTILE_ROWS
-
-
-def _percentile(value: str) -> Column:
-    return F.percentile(value, F.lit(0.5), F.col("n")).alias("median")
-
-
 def _bin(v):
     """Histogram bin of a double: rises with v, about 0.02 % wide."""
     size = F.when(F.abs(v) == float("inf"), F.lit(1 << 40)).otherwise(
@@ -262,21 +245,17 @@ def _bin(v):
     return F.when(v == 0, F.lit(0).cast("bigint")).otherwise(size * F.signum(v).cast("bigint"))
 
 
-def mad_scale(residuals: DataFrame, longest: int | None = None) -> DataFrame:
+def mad_scale(residuals: DataFrame) -> DataFrame:
     """(series, scale): median absolute deviation from the median, or the population deviation
     where that is 0. ``residuals`` has series, residual and n, and should be a stored table."""
     narrow = residuals.select("series", "residual", "n")
-    centre = lookup_table(group_median(narrow, "residual", longest), "centre")
+    centre = lookup_table(exact_median(narrow, "residual"), "centre")
     moved = narrow.join(centre, "series").select(
         "series", "n", (F.col("residual") - F.col("median")).alias("d"),
         F.abs(F.col("residual") - F.col("median")).alias("deviation"))
     count, first, second = F.sum("n"), F.sum(F.expr("n * d")), F.sum(F.expr("n * d * d"))
     spread = F.sqrt(F.greatest(second / count - (first / count) * (first / count), F.lit(0.0)))
-    if _is_short(longest):
-        both = moved.groupBy("series").agg(_percentile("deviation"), spread.alias("spread"))
-    else:
-        both = exact_median(moved, "deviation").join(
-            moved.groupBy("series").agg(spread.alias("spread")), "series")
+    both = exact_median(moved, "deviation").join(moved.groupBy("series").agg(spread.alias("spread")), "series")
     return both.select(
         "series", F.when(F.col("median") == 0, F.col("spread")).otherwise(F.col("median")).alias("scale"))
 

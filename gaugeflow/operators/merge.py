@@ -40,14 +40,19 @@ def conform_schema(df: DataFrame, kind: str) -> DataFrame | None:
         (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in canonical_schema(kind)
     ]
-    ident = F.col("id") if "id" in present else F.monotonically_increasing_id()
+    ident = F.col("id") if "id" in present else F.lit(None)
     return df.select(ident.cast("bigint").alias("id"), *columns)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per key, the one with the lowest id. A group of copies shrinks on the map side."""
+    """One row per key, the one with the lowest id. A group of copies shrinks on the map side.
+
+    Rows without an id come after those with one; among equal ids the least row by its other columns
+    is taken, so the choice does not change from run to run.
+    """
     rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), "id").alias("_row"))
+    row = F.struct(F.col("id").isNull().alias("_no_id"), "id", *[c for c in rest if c != "id"])
+    best = df.groupBy(*keys).agg(F.min(row).alias("_row"))
     return best.select(*keys, "_row.*").select(*df.columns)
 
 

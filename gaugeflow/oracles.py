@@ -385,12 +385,15 @@ ORACLES["regr_slope"] = _segment_sql() + """SELECT series, a AS begin_index, is_
   round(slope, 6) AS slope_mm_per_hr FROM slopes"""
 ORACLES["analyze_segments"] = _segment_sql() + "SELECT * EXCLUDE (exact_slope) FROM segments"
 ORACLES["segments"] = ORACLES["analyze_segments"] + " WHERE NOT is_current"
-ORACLES["current_segment"] = ORACLES["analyze_segments"] + " WHERE is_current"
-ORACLES["refill_prediction"] = _segment_sql() + """SELECT series, end_distance_mm AS current_distance_mm,
-  slope_mm_per_hr, round((1000.0 - end_distance_mm) / exact_slope, 4) AS time_to_50mm_hours,
-  date_trunc('minute', end_time + to_microseconds(CAST(
-    (1000.0 - end_distance_mm) / exact_slope * 3600000000 AS BIGINT))) AS predicted_minute
-FROM segments WHERE is_current AND end_distance_mm < 1000"""
+TIDES = MESSAGES.replace("value,", """10.0::DOUBLE + 38.0::DOUBLE * (((epoch_us(ts) + 86400000000) % 388800000000)
+           / 388800000000.0::DOUBLE) + value * 0.001::DOUBLE AS value,""")
+ORACLES["current_segment"] = (ORACLES["analyze_segments"] + " WHERE is_current").replace(MESSAGES, TIDES)
+ORACLES["refill_prediction"] = _segment_sql().replace(MESSAGES, TIDES) + """SELECT series,
+  end_distance_mm AS current_distance_mm,
+  slope_mm_per_hr, round((50.0 - end_distance_mm) / exact_slope, 4) AS time_to_50mm_hours,
+  date_trunc('second', end_time + to_microseconds(CAST(
+    (50.0 - end_distance_mm) / exact_slope * 3600000000 AS BIGINT)) + INTERVAL 500 MILLISECOND) AS predicted_refill_time
+FROM segments WHERE is_current AND end_distance_mm < 50"""
 
 ORACLES["assemble_snapshot"] = _with(*(
     part.replace("messages", "gappy_rows") for part in (

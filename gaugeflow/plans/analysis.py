@@ -39,7 +39,7 @@ def clean_values(
     numbers = values.where(~F.isnan("value"))
     residuals = materialize(M.residuals(numbers, roll_seconds, density.chunk_us), "residuals")
     enough = density.counts.where(F.col("rows") >= min_rows).select("series")
-    scale = lookup_table(M.mad_scale(residuals, density.longest).join(enough, "series"), "scale")
+    scale = lookup_table(M.mad_scale(residuals).join(enough, "series"), "scale")
     marked = M.mark_outliers(residuals, scale, multiple)
     return marked.where(~F.col("is_outlier")).select("series", "us", "value", "n")
 

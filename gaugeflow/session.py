@@ -44,7 +44,7 @@ def shared_root(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = context.applicationId
     if app not in _local_roots:
@@ -57,6 +57,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_root(spark), "gaugeflow", app, f"{label}-{uuid.uuid4().hex}")
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; results that still read them must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        os.path.join(shared_root(spark), "gaugeflow", spark.sparkContext.applicationId))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def measured(df: DataFrame, label: str = "table", **metrics: Column) -> tuple[DataFrame, dict]:
     """Write ``df`` as Parquet to the shared folder and read it back, with metrics of its rows.
 

@@ -1,8 +1,8 @@
 """Streaming ingest: feed -> decode -> route or parse -> tables.
 
-Receipt time is the only clock. A micro-batch plays the role of a write batch: the trigger interval
-is the flush interval, and the source's per-batch limit is the batch size. The checkpoint replaces
-the in-memory batch, so nothing received is lost on a failure.
+Receipt time is the only clock. A micro-batch plays the role of a write batch: it starts when the batch
+size is reached or the flush interval is over, whichever comes first, and takes all that has arrived. The
+checkpoint replaces the in-memory batch, so nothing received is lost on a failure.
 """
 
 from __future__ import annotations
@@ -31,22 +31,38 @@ def file_feed(spark: SparkSession, path: str, schema=schemas.FEED, max_files: in
     return reader.parquet(path)
 
 
-def kafka_feed(spark: SparkSession, servers: str, topics: str, max_offsets: int = BATCH_MESSAGES) -> DataFrame:
+def kafka_options(servers: str, topics: str, batch_messages: int = BATCH_MESSAGES,
+                  flush_seconds: float = FLUSH_SECONDS, max_messages: int | None = None) -> dict[str, str]:
+    """Options of the Kafka source. A batch waits for ``batch_messages`` messages, ``flush_seconds`` at most;
+    it has no upper limit unless ``max_messages`` gives one."""
+    options = {
+        "kafka.bootstrap.servers": servers, "subscribe": topics, "minOffsetsPerTrigger": str(batch_messages),
+        "maxTriggerDelay": f"{round(flush_seconds * 1000)}ms"}
+    return options if max_messages is None else {**options, "maxOffsetsPerTrigger": str(max_messages)}
+
+
+def kafka_feed(spark: SparkSession, servers: str, topics: str, **limits) -> DataFrame:
     """A Kafka bridge of the broker: record key = message topic, record value = payload. Needs the
-    Kafka connector on the class path."""
+    Kafka connector on the class path. Start its sinks with a short trigger (``seconds=0``): the source
+    itself waits for a full batch or the flush interval, see :func:`kafka_options`."""
     return (
-        spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-        .option("subscribe", topics).option("maxOffsetsPerTrigger", max_offsets).load()
+        spark.readStream.format("kafka").options(**kafka_options(servers, topics, **limits)).load()
         .select(F.col("key").cast("string").alias("topic"), F.col("value").alias("payload"),
                 F.lit(0).alias("qos"), F.lit(False).alias("retain"))
     )
 
 
 def stamped(feed: DataFrame) -> DataFrame:
-    """Add the receipt time where the feed does not bring one."""
-    if "timestamp" in feed.columns:
-        return feed
-    return feed.withColumn("timestamp", F.current_timestamp().cast("timestamp_ntz"))
+    """Add the receipt time and the row's id where the feed does not bring them.
+
+    The id is a fingerprint of receipt time, topic and payload: equal for the same row in every repetition
+    of a batch, and never NULL.
+    """
+    if "timestamp" not in feed.columns:
+        feed = feed.withColumn("timestamp", F.current_timestamp().cast("timestamp_ntz"))
+    if "id" not in feed.columns:
+        feed = feed.withColumn("id", F.xxhash64(F.col("timestamp").cast("string"), "topic", F.col("payload").cast("string")))
+    return feed
 
 
 def ingest_messages(feed: DataFrame, patterns: Sequence[tuple[str, str]]) -> DataFrame:
@@ -61,8 +77,6 @@ def ingest_messages(feed: DataFrame, patterns: Sequence[tuple[str, str]]) -> Dat
 def ingest_readings(feed: DataFrame, devices: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Report feed as (readings, rejected rows), with the static device table broadcast."""
     rows = stamped(feed)
-    if "id" not in rows.columns:
-        rows = rows.withColumn("id", F.lit(None).cast("bigint"))
     readings, rejected = routing.parse_report(rows, devices)
     return readings.withColumn("date", F.to_date("timestamp")), rejected
 

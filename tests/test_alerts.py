@@ -57,3 +57,10 @@ def test_below_and_none(spark):
     assert run(spark, [("k", 0, 5)]) == []
     with pytest.raises(KeyError):
         breaches(1.0, "beside", F.lit(1))
+
+
+def test_rows_without_id_keep_their_value(spark):
+    frame = spark.createDataFrame(
+        [(None, "k", T0, 12.0), (None, "k", T0, 11.0), (7, "q", T0, 99.0), (None, "q", T0, 12.0)],
+        "id BIGINT, key STRING, timestamp TIMESTAMP_NTZ, value DOUBLE")
+    assert {r.key: r.value for r in threshold_alerts(frame, 10.0).collect()} == {"k": 11.0, "q": 99.0}

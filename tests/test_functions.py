@@ -1,3 +1,4 @@
+import itertools
 import random
 from datetime import datetime
 
@@ -26,8 +27,17 @@ def test_first_pattern_wins(spark):
     patterns = [("a/+", "one"), ("a/#", "many"), ("#", "rest")]
     got = column(spark, ["a", "a/b", "a/b/c", "x"], "t STRING", topics.route_topic("t", patterns))
     assert got == ["many", "one", "many", "rest"]
-    with pytest.raises(ValueError):
-        topics.route_topic("t", [("a", "b")] * (topics.MAX_INLINE_PATTERNS + 1))
+
+
+def test_long_pattern_lists_choose_alike(spark):
+    levels = ["a", "b", "+", "", "#"]
+    patterns = [("/".join(p), f"t{i}") for i, p in enumerate(itertools.product(levels, levels, ["c", "+", "#", "#/a"]))]
+    names = ["/".join(p) for p in itertools.product(["a", "b", "x", "+", "#"], ["a", "c", ""], ["c", "z"])] + ["a", "", None, "a/b"]
+    for shown in (patterns, patterns[::-1], [p for p in patterns if p[0].count("/") == 2][::3]):
+        inline = column(spark, names, "t STRING", topics.route_topic("t", shown, inline=1000))
+        assert column(spark, names, "t STRING", topics.route_topic("t", shown, inline=0)) == inline
+    many = [(f"s{i}/+", f"t{i}") for i in range(1000)]
+    assert column(spark, ["s7/x", "s999/y", "q"], "t STRING", topics.route_topic("t", many)) == ["t7", "t999", None]
 
 
 def test_topic_levels(spark):

@@ -5,6 +5,7 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeflow.streaming import ingest
 from gaugeflow import schemas
 from gaugeflow.operators import buckets, derive, filters, merge, routing, stats
 
@@ -214,3 +215,28 @@ def test_sensor_axes_clamp(spark):
     rows = readings(spark, [(0, "air", 20.0, 2.0), (1, "air", 20.0, 2.0), (7200, "air", 21.0, 99.0)])
     got = derive.sensor_axes(buckets.sensor_buckets(rows, 60)).first()
     assert (got.temp_min, got.temp_max, got.humidity_min, got.humidity_max) == (63, 75, 0, 100)
+
+
+def test_merge_keeps_values_of_rows_without_id(spark):
+    """Rows as an ingest without ids leaves them: the least row of a key stays whole."""
+    rows = [(None, datetime(2024, 1, 1), "t", payload, 1, False) for payload in ("b", "a")]
+    schema = "id BIGINT, timestamp TIMESTAMP_NTZ, topic STRING, payload STRING, qos INT, retain BOOLEAN"
+    frame = spark.createDataFrame(rows, schema)
+    for source in (frame, frame.drop("id")):
+        merged = merge.merge_tables({}, {"m": source})["m"].collect()
+        assert [(r.payload, r.qos, r.retain) for r in merged] == [("a", 1, False)]
+    named = spark.createDataFrame([(5, *rows[0][1:]), *rows], schema)
+    assert [r.payload for r in merge.merge_tables({}, {"m": named})["m"].collect()] == ["b"]
+
+
+def test_kafka_batches_have_no_upper_limit():
+    options = ingest.kafka_options("host:1", "t")
+    assert options["minOffsetsPerTrigger"] == "1000" and options["maxTriggerDelay"] == "60000ms"
+    assert "maxOffsetsPerTrigger" not in options
+    assert ingest.kafka_options("host:1", "t", max_messages=5)["maxOffsetsPerTrigger"] == "5"
+
+
+def test_ingest_gives_ids(spark):
+    feed = spark.createDataFrame([("a", b"1"), ("a", b"2")], "topic STRING, payload BINARY")
+    ids = [r.id for r in ingest.stamped(feed).collect()]
+    assert None not in ids and len(set(ids)) == 2

@@ -128,9 +128,20 @@ def test_exact_median(spark):
          for v, w in zip(vs, rng.integers(1, 4, len(vs)))], "series STRING, v DOUBLE, n BIGINT")
     frame = rows.toPandas()
     want = {k: np.median(np.repeat(g.v.values, g.n.values)) for k, g in frame.groupby("series")}
-    for longest in (None, 10):
-        got = {r.series: r.median for r in medians.group_median(rows, "v", longest).collect()}
-        assert got == want
+    assert {r.series: r.median for r in medians.exact_median(rows, "v").collect()} == want
+
+
+@pytest.mark.parametrize("target", [1, 500_000])
+def test_copies_survive_whatever_the_density(spark, monkeypatch, target):
+    """Equal rows may be collapsed on the way; what comes out has them all."""
+    monkeypatch.setattr(medians, "TARGET_CHUNK_ROWS", target)
+    ts = START + pd.to_timedelta(np.repeat(np.arange(300), 3), unit="s")
+    frame = messages(spark, {"a": (ts, np.repeat(np.arange(300.0) % 7, 3))})
+    values, density = medians.prepare_values(medians.series_values(frame), 150_000_000)
+    rows = medians.expand(medians.residuals(values, chunk_us=density.chunk_us)).collect()
+    assert len(rows) == 900 and {r.n for r in rows} == {1}
+    clean = medians.expand(analysis.clean_values(values, density)).collect()
+    assert len(clean) % 3 == 0 and len(clean) > 0
 
 
 def test_mad_of_constant_series(spark):
