@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.times import bucket_start
 from gaugeflow.functions.values import cast_value
-from gaugeflow.operators.filters import lookback
+from gaugeflow.operators.filters import Newest, lookback, newest_per_key
 
 # Name, bucket width in minutes, look-back in hours (None = all history).
 RESOLUTIONS = (("agg_1m", 1, 1), ("agg_5m", 5, 24), ("agg_1h", 60, None))
@@ -26,6 +26,7 @@ def level_buckets(
     topic: str | None = None,
     on_error: str = "raise",
     as_of: datetime | None = None,
+    newest: Newest | None = None,
 ) -> DataFrame:
     """Mean, population deviation, minimum, maximum and count per topic and bucket.
 
@@ -33,9 +34,8 @@ def level_buckets(
     combine on the map side, so a hot topic or bucket sends one partial row per task.
     """
     if topic is not None:
-        rows = lookback(df.where(F.col("topic") == topic), _seconds(lookback_hours), as_of=as_of)
-    else:
-        rows = lookback(df, _seconds(lookback_hours), ("topic",), as_of=as_of)
+        df = df.where(F.col("topic") == topic)
+    rows = lookback(df, _seconds(lookback_hours), ("topic",), as_of=as_of, newest=newest)
     values = rows.where(F.col("payload").isNotNull()).select(
         F.col("topic").alias("series"),
         bucket_start("timestamp", interval_minutes).alias("t"),
@@ -51,7 +51,6 @@ def level_buckets(
             F.max("v").alias("max"),
         )
         .where(F.col("m").isNotNull())
-        .orderBy("series", "t")
     )
 
 
@@ -92,14 +91,26 @@ def sensor_buckets(
     return stats.select(
         "device_type", "t", block("temperature").alias("temp"),
         F.when(has_humidity, block("humidity")).alias("humidity"), "n",
-    ).orderBy("device_type", "t")
+    )
+
+
+def in_order(df: DataFrame) -> DataFrame:
+    """Bucket rows in the order dashboards read them: by series or device type, then time."""
+    return df.orderBy("series" if "series" in df.columns else "device_type", "t")
 
 
 def multires_levels(df: DataFrame, resolutions=RESOLUTIONS, **options) -> dict[str, DataFrame]:
     """The level statistics at each resolution. Look-backs end inside a bucket, so no resolution
-    can be derived from another; the short ones read only recent rows."""
-    return {name: level_buckets(df, m, h, **options) for name, m, h in resolutions}
+    can be derived from another; the short ones read only recent rows. The newest time of every topic
+    is read once for all of them."""
+    newest = None if options.get("as_of") else newest_per_key(
+        df if options.get("topic") is None else df.where(F.col("topic") == options["topic"]), ("topic",))
+    return {name: level_buckets(df, m, h, newest=newest, **options) for name, m, h in resolutions}
 
 
 def multires_sensors(df: DataFrame, resolutions=RESOLUTIONS, **options) -> dict[str, DataFrame]:
+    if options.get("as_of") is None and options.get("scope", "table") == "table":
+        options["as_of"] = df.agg(F.max("timestamp")).first()[0]
+        if options["as_of"] is None:
+            df = df.where(F.lit(False))
     return {name: sensor_buckets(df, m, h, **options) for name, m, h in resolutions}

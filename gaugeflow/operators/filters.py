@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,12 +13,27 @@ from gaugeflow.functions.values import cast_value
 from gaugeflow.session import broadcast_if, measured
 
 
+@dataclass
+class Newest:
+    """The newest time of every key, stored: ``table`` has the keys and ``_newest``."""
+
+    table: DataFrame
+    rows: int
+    earliest: datetime | None
+
+
+def newest_per_key(df: DataFrame, keys: tuple[str, ...], ts: str = "timestamp") -> Newest:
+    table, seen = measured(df.groupBy(*keys).agg(F.max(ts).alias("_newest")), "newest", earliest=F.min("_newest"))
+    return Newest(table, seen["rows"], seen["earliest"])
+
+
 def lookback(
     df: DataFrame,
     seconds: float | None,
     keys: tuple[str, ...] = (),
     ts: str = "timestamp",
     as_of: datetime | None = None,
+    newest: Newest | None = None,
 ) -> DataFrame:
     """Rows with ``ts >= max(ts) - seconds``: data time, not the clock.
 
@@ -25,7 +41,8 @@ def lookback(
     a partial aggregate of two columns; rows whose other columns are NULL count for it. The bound
     (for keys: the earliest one) is read first and used as a literal, so that it reaches the file
     scan as a pushed filter and a short look-back does not read a long history. ``as_of`` replaces
-    the maximum and saves that read. ``seconds=None`` keeps all rows.
+    the maximum and saves that read, and so does ``newest`` for several look-backs over one table.
+    ``seconds=None`` keeps all rows.
     """
     if seconds is None:
         return df
@@ -35,13 +52,12 @@ def lookback(
             return df.where(F.lit(False))
     if as_of is not None:
         return df.where(F.col(ts) >= moment(as_of - timedelta(seconds=seconds)))
-    bounds, seen = measured(
-        df.groupBy(*keys).agg((F.max(ts) - interval(seconds)).alias("_from")), "lookback",
-        earliest=F.min("_from"))
-    if seen["earliest"] is None:
+    newest = newest or newest_per_key(df, keys, ts)
+    if newest.earliest is None:
         return df.where(F.lit(False))
-    recent = df.where(F.col(ts) >= moment(seen["earliest"]))
-    return recent.join(broadcast_if(bounds, seen["rows"]), list(keys)).where(
+    bounds = newest.table.select(*keys, (F.col("_newest") - interval(seconds)).alias("_from"))
+    recent = df.where(F.col(ts) >= moment(newest.earliest - timedelta(seconds=seconds)))
+    return recent.join(broadcast_if(bounds, newest.rows), list(keys)).where(
         F.col(ts) >= F.col("_from")).drop("_from")
 
 

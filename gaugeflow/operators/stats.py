@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.times import micros
@@ -55,13 +55,17 @@ def frequency_hz(df: DataFrame, keys: tuple[str, ...] = ("series",), seconds: fl
 def latest_reading(resolutions: list[DataFrame]) -> DataFrame:
     """Newest bucket per device type, from the first resolution that has any row at all.
 
-    ``resolutions`` come in order of preference, as given by ``sensor_buckets``. Whether one is
-    empty is asked in turn; the short look-backs come first and cost little.
+    ``resolutions`` come in order of preference, as given by ``sensor_buckets``. Each is reduced to
+    its newest row per device type in the same plan; no part of it is computed twice.
     """
-    rank = next((i for i, df in enumerate(resolutions[:-1]) if not df.isEmpty()), len(resolutions) - 1)
     last = F.max_by(F.struct("t", "temp", "humidity", "n"), "t").alias("last")
-    return resolutions[rank].groupBy("device_type").agg(last).select(
-        F.lit(rank).alias("rank"), "device_type", "last.*")
+    found = None
+    for rank, df in enumerate(resolutions):
+        newest = df.groupBy("device_type").agg(last).select(F.lit(rank).alias("rank"), "device_type", "last.*")
+        found = newest if found is None else found.unionByName(newest)
+    # A row per resolution and device type: the window over all of them is small.
+    best = F.min("rank").over(Window.partitionBy(F.lit(0)))
+    return found.withColumn("_best", best).where("rank = _best").drop("_best")
 
 
 def current_level(df: DataFrame, keys: tuple[str, ...] = ("series",),

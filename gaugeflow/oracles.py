@@ -117,13 +117,26 @@ def _multires() -> str:
 
 
 ORACLES["multires"] = _with(GAPPY) + _multires()
-ORACLES["snapshot_batch_levels"] = _with(GAPPY, f"parts AS ({_multires()})") + """SELECT series, resolution,
-  strftime(t, '%Y-%m-%dT%H:%M:%S') AS t, n, round("min", 2) AS "min", round("max", 2) AS "max" FROM parts"""
-ORACLES["snapshot_batch_sensors"] = _with(
-    READINGS, f"parts AS ({sensors(5, f'timestamp >= {READING_LATEST} - INTERVAL 24 HOUR')})",
-) + """SELECT 'events/' || e.event_type || '/raw' AS series, device_type,
-  strftime(t, '%Y-%m-%dT%H:%M:%S') AS t, n, temp_max, humidity_min
-FROM parts, (SELECT DISTINCT event_type FROM events) e"""
+def shown(value: str, digits: int) -> str:
+    """Rounded as documents show it: by the exact binary value, half to even."""
+    return f"CAST(printf('%.{digits}f', {value}) AS DOUBLE)"
+
+
+_RAW_LEVELS = """topic AS series, count(*) AS n, avg(value) AS m, stddev_pop(value) AS s, min(value) AS lo, max(value) AS hi"""
+ORACLES["snapshot_batch_levels"] = _with(GAPPY, "parts AS (" + " UNION ALL ".join(
+    f"""(SELECT '{name}' AS resolution, time_bucket(INTERVAL {m} MINUTE, timestamp) AS t, {_RAW_LEVELS} FROM gappy
+    WHERE value IS NOT NULL AND {recent('gappy', h) if h else 'true'} GROUP BY topic, t)"""
+    for name, m, h in _RESOLUTIONS) + ")") + f"""SELECT series, resolution, strftime(t, '%Y-%m-%dT%H:%M:%S') AS t, n,
+  {shown('m', 2)} AS m, {shown('s', 3)} AS s, {shown('lo', 2)} AS "min", {shown('hi', 2)} AS "max" FROM parts"""
+_RAW_SENSORS = ", ".join(f"{f}({c}) AS {b}_{n}" for b, c in (("temp", "temperature"), ("humidity", "humidity"))
+                         for n, f in (("m", "avg"), ("s", "stddev_pop"), ("min", "min"), ("max", "max")))
+ORACLES["snapshot_batch_sensors"] = _with(READINGS, "parts AS (" + " UNION ALL ".join(
+    f"""(SELECT '{name}' AS resolution, device_type, time_bucket(INTERVAL {m} MINUTE, timestamp) AS t,
+      count(temperature) AS n, {_RAW_SENSORS} FROM readings WHERE temperature IS NOT NULL AND {
+        f'timestamp >= {READING_LATEST} - INTERVAL {h}' if h else 'true'} GROUP BY device_type, t)"""
+    for name, m, h in _RESOLUTIONS) + ")") + "SELECT resolution, device_type, strftime(t, '%Y-%m-%dT%H:%M:%S') AS t, n, " + (
+    ", ".join(f"{shown(f'{b}_{c}', 3 if c == 's' else 2)} AS {b}_{c}" for b in ("temp", "humidity")
+              for c in ("m", "s", "min", "max"))) + " FROM parts"
 ORACLES["snapshot_source"] = _with(GAPPY) + f"""SELECT topic AS series,
   CASE WHEN date_trunc('second', timestamp) = timestamp THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S')
        ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') END AS timestamp,

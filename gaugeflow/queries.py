@@ -170,24 +170,26 @@ def snapshot_batch_levels(spark, sf):
         for name, _, _ in buckets.RESOLUTIONS])
     return docs.select("series", F.explode(points).alias("p")).select(
         "series", "p.resolution", F.explode("p.data").alias("d")).select(
-        "series", "resolution", "d.t", "d.n", F.round("d.min", 2).alias("min"), F.round("d.max", 2).alias("max"))
+        "series", "resolution", "d.t", "d.n", "d.m", "d.s", "d.min", "d.max")
 
 
 @query
 def snapshot_batch_sensors(spark, sf):
     docs = _snapshot(spark, sf, False)
     points = F.array(*[
-        F.struct(F.lit(kind).alias("device_type"), F.col(f"yolink_sensors.agg_5m.{kind}").alias("data"))
-        for kind in ("air", "water")])
-    return docs.select("series", F.explode(points).alias("p")).select(
-        "series", "p.device_type", F.explode("p.data").alias("d")).select(
-        "series", "device_type", "d.t", "d.n", F.col("d.temp.max").alias("temp_max"),
-        F.col("d.humidity.min").alias("humidity_min"))
+        F.struct(F.lit(name).alias("resolution"), F.lit(kind).alias("device_type"),
+                 F.col(f"yolink_sensors.{name}.{kind}").alias("data"))
+        for name, _, _ in buckets.RESOLUTIONS for kind in ("air", "water")])
+    return docs.select(F.explode(points).alias("p")).select(
+        "p.resolution", "p.device_type", F.explode("p.data").alias("d")).select(
+        "resolution", "device_type", "d.t", "d.n", *[
+            F.col(f"d.{block}.{c}").alias(f"{block}_{c}") for block in ("temp", "humidity")
+            for c in ("m", "s", "min", "max")])
 
 
 @query
 def assemble_snapshot(spark, sf):
-    docs = _snapshot(spark, sf, True)
+    docs = _snapshot(spark, sf, True).where(F.col("series").isNotNull())
     return docs.select(
         "series", "generated_at", F.col("season.start").alias("season_start"),
         F.col("season.is_active").alias("is_active"), "replay_delay_seconds",

@@ -88,6 +88,7 @@ _EXTREMUM = T.ArrayType(T.StructType([
 
 SNAPSHOT = T.StructType([
     T.StructField("series", T.StringType()),
+    T.StructField("part", T.LongType()),
     T.StructField("generated_at", T.StringType()),
     T.StructField("season", T.StructType([
         T.StructField("start", T.StringType()),

@@ -16,7 +16,7 @@ def document_text(snapshots: DataFrame) -> DataFrame:
 
 
 def write_snapshots(snapshots: DataFrame, path: str, per_series: bool = False) -> None:
-    """Write documents; ``per_series`` gives every series its own folder."""
+    """Write documents; ``per_series`` gives every series its own folder, and the site's document another."""
     text = document_text(snapshots)
     writer = text.write if per_series else text.select("value").write
     if per_series:

@@ -58,7 +58,7 @@ def test_merge_reduces_both_sides_first(spark, stored):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # One shuffle per side: the anti-join reuses the hashing of the two aggregations.
     assert text.count("hashpartitioning") == 2 and "LeftAnti" in text
-    assert "partial_min_by" in text
+    assert "partial_min" in text
 
 
 def test_stats_read_two_columns(stored):
@@ -70,3 +70,9 @@ def test_reports_are_parsed_once(spark, sf):
     feed = materialize(tables.report_feed_from_events(tables.events(spark, sf)))
     good, _ = routing.parse_report(feed, tables.devices_from_events(tables.events(spark, sf)))
     assert plan(good).count("from_json") == 1
+
+
+def test_resolutions_read_the_bounds_once_and_do_not_sort(spark, stored):
+    text = "".join(plan(df) for df in buckets.multires_levels(stored).values())
+    assert "rangepartitioning" not in text and text.count("topic:string,payload:string") == 3
+    assert "rangepartitioning" in plan(buckets.in_order(buckets.level_buckets(stored, 60)))

@@ -33,7 +33,8 @@ def readings(spark, rows):
 
 def test_buckets_edges_and_nulls(spark):
     rows = messages(spark, [(0, "1"), (59.999999, "3"), (60, "5"), (61, None), (30, "100", "other")])
-    got = buckets.level_buckets(rows, 1, topic=LEVEL).collect()
+    got = buckets.in_order(buckets.level_buckets(rows, 1, topic=LEVEL)).collect()
+    assert [r.t for r in got] == sorted(r.t for r in got)
     assert [(r.t, r.m, r.s, r.n, r.min, r.max) for r in got] == [
         (at(0), 2.0, 1.0, 2, 1.0, 3.0), (at(60), 5.0, 0.0, 1, 5.0, 5.0)]
 

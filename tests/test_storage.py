@@ -85,14 +85,16 @@ def test_snapshot_document(spark, tmp_path):
     assert [m["water_level_mm"] for m in doc["measurements"]] == v[last].tolist()
     assert doc["stats"]["measurement_count"] == int(last.sum())
     assert doc["stats"]["stddev"] == pytest.approx(v[last].std())
-    air = doc["yolink_sensors"]["agg_1h"]["air"][0]
+    site = files["series=__HIVE_DEFAULT_PARTITION__"]
+    assert "yolink_sensors" not in doc and "series" not in site and "part" not in site
+    air = site["yolink_sensors"]["agg_1h"]["air"][0]
     assert air["temp"]["m"] == 20.12 and air["humidity"]["m"] == 40.0
-    assert "humidity" not in doc["yolink_sensors"]["agg_1h"]["water"][0]
+    assert "humidity" not in site["yolink_sensors"]["agg_1h"]["water"][0]
     assert {"segments", "extrema"} <= set(doc["analysis"])
     assert all(e["distance_mm"] == round(e["distance_mm"], 2) for e in doc["analysis"]["extrema"]["minima"])
     assert "analysis" not in files["series=small"] and files["series=small"]["stats"]["measurement_count"] == 3
     back = snapshots.read_snapshots(spark, str(path))
-    assert back.count() == 2
+    assert back.count() == 3
 
 
 def test_snapshot_parts_are_optional(spark):
@@ -108,13 +110,26 @@ def test_snapshot_parts_are_optional(spark):
     assert doc["stats"] == {} and "agg_1h" not in doc
 
 
-def test_long_documents_fail(spark):
-    frame = messages(spark, {"a": level_signal(np.random.default_rng(12), 30)})
-    parts = snapshot.Parts(frame.select(F.col("topic").alias("series"), "timestamp", "id",
-                                        F.col("payload").cast("double").alias("water_level_mm")))
-    with pytest.raises(ValueError, match="measurements=30"):
-        snapshot.assemble_snapshot(parts, *SEASON, T0, max_items=29)
-    assert snapshot.assemble_snapshot(parts, *SEASON, T0, max_items=30).count() == 1
+@pytest.mark.parametrize("items", [1, 7, 1000])
+def test_long_lists_go_on_in_parts(spark, items):
+    ts, v = level_signal(np.random.default_rng(12), 30)
+    frame = messages(spark, {"a": (ts, v), "b": (ts[:3], v[:3])})
+    rows = frame.select(F.col("topic").alias("series"), "timestamp", "id",
+                        F.col("payload").cast("double").alias("water_level_mm"))
+    readings = buckets.sensor_buckets(spark.createDataFrame(
+        [(i, t.to_pydatetime(), "t", "d", "air", 20.0, 40.0, 1, -1, "{}") for i, t in enumerate(ts)],
+        schemas.READINGS), 1)
+    parts = snapshot.Parts(rows, {"agg_1m": buckets.level_buckets(frame, 1)}, {"agg_1m": readings})
+    docs = snapshot.assemble_snapshot(parts, *SEASON, T0, part_items=items).collect()
+    for series, of_doc in (("a", lambda d: [m.water_level_mm for m in d.measurements or ()]),
+                           ("a", lambda d: [p.t for p in (d.agg_1m.data if d.agg_1m else ())]),
+                           (None, lambda d: [p.t for p in d.yolink_sensors.agg_1m.air])):
+        mine = sorted((d for d in docs if d.series == series), key=lambda d: d.part or 0)
+        assert [d.part for d in mine] == [None, *range(1, len(mine))]
+        whole = [x for d in mine for x in of_doc(d)]
+        assert whole == (v.tolist() if isinstance(whole[0], float) else sorted(whole)) and len(whole) > 1
+        assert all(len(of_doc(d)) == items for d in mine[:len(whole) // items])
+    assert sum(d.stats is not None for d in docs) == 2
 
 
 def test_bad_payload_and_lenient(spark):
@@ -164,7 +179,7 @@ def test_streamed_buckets_equal_batch(spark, tmp_path):
         stateful.write_updates(stateful.stream_buckets(feed, 60), out, str(tmp_path / "state"),
                                seconds=None).awaitTermination()
     got = stateful.latest_updates(spark, out).orderBy("t").toPandas()
-    want = buckets.level_buckets(frame, 60).toPandas()
+    want = buckets.in_order(buckets.level_buckets(frame, 60)).toPandas()
     pd.testing.assert_frame_equal(got[want.columns], want)
 
 
