@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.times import from_micros, micros
 from gaugeflow.operators.chunks import floor_div, over_groups
-from gaugeflow.session import materialize
+from gaugeflow.session import materialize, measured
 
 # Fixed value: hours of silence after an alert.
 COOLDOWN_HOURS = 24
@@ -52,7 +52,7 @@ def _chunk_exits(cooldown: int, length: int):
             # An earlier alert lies before this chunk, so its silence ends within one cooldown.
             entries = np.searchsorted(at, chunk[a] * length + cooldown) + 1
             end = at[hop[:entries]]
-            closing = np.flatnonzero(np.concatenate((end[1:] != end[:-1], [True])))
+            closing = _closing(at[:len(end)], end)
             rows.append(np.full(len(closing), a))
             until.append(at[closing])
             last.append(end[closing])
@@ -64,29 +64,81 @@ def _chunk_exits(cooldown: int, length: int):
     return over_groups(compute, ("key", "chunk"))
 
 
-def _chunk_entries(cooldown: int):
-    """Follow a key from chunk to chunk and note from when on each may alert."""
+def _closing(until: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Rows of a step function after which it changes."""
+    return np.flatnonzero(np.concatenate((last[1:] != last[:-1], [True])))
+
+
+def _compose(cooldown: int):
+    """Two neighbouring step functions as one: first the left one, then the right one.
+
+    An alert in the left half sends the right half its end of silence. Where the left half has no
+    alert, its silence ended before the right half begins, so the right half's first row holds. The
+    result is at most one row longer than the left half.
+    """
 
     def compute(table: pa.Table, first: np.ndarray) -> pa.Table:
-        chunk = table.column("chunk").to_numpy()
+        side = table.column("side").to_numpy()
         until = table.column("until").to_numpy()
         last = table.column("exit").to_numpy()
-        rows, entry = [], []
+        rows, untils, exits = [], [], []
         for a, b in _bounds(first):
-            allowed = np.iinfo(np.int64).min
-            turns = np.flatnonzero(np.concatenate(([True], chunk[a + 1:b] != chunk[a:b - 1]))) + a
-            for c, d in zip(turns.tolist(), [*turns[1:].tolist(), b]):
-                hit = c + int(np.searchsorted(until[c:d], allowed))
-                if hit < d:
-                    rows.append(c)
-                    entry.append(allowed)
-                    allowed = int(last[hit]) + cooldown
-        index = np.array(rows, dtype=np.int64)
+            cut = a + int(np.searchsorted(side[a:b], 1))
+            left_until, left_exit = until[a:cut], last[a:cut]
+            right_until, right_exit = until[cut:b], last[cut:b]
+            if len(left_until) and len(right_until):
+                at = np.searchsorted(right_until, left_exit + cooldown)
+                inside = at < len(right_until)
+                both = np.where(inside, right_exit[np.minimum(at, len(right_until) - 1)], left_exit)
+                right_until, right_exit = np.append(left_until, right_until[0]), np.append(both, right_exit[0])
+            elif len(left_until):
+                right_until, right_exit = left_until, left_exit
+            closing = _closing(right_until, right_exit)
+            rows.append(np.full(len(closing), a))
+            untils.append(right_until[closing])
+            exits.append(right_exit[closing])
+        index = np.concatenate(rows)
         return pa.table({
-            "key": table.column("key").take(pa.array(index)), "chunk": chunk[index],
-            "entry": np.array(entry, dtype=np.int64)})
+            "key": table.column("key").take(pa.array(index)), "chunk": table.column("chunk").to_numpy()[index],
+            "until": np.concatenate(untils), "exit": np.concatenate(exits)})
+
+    return over_groups(compute, ("key", "chunk"))
+
+
+_MAPS = "key STRING, chunk BIGINT, until BIGINT, exit BIGINT"
 
-    return over_groups(compute, ("key",))
+
+def chunk_entries(exits: DataFrame, cooldown: int) -> DataFrame:
+    """(key, chunk, entry): from which moment on each chunk may alert.
+
+    Step functions of neighbouring chunks are composed in pairs, and the pairs again, up to one per key;
+    then each half gets its entry from the whole on the way down. A task holds two step functions at a
+    time, each about as long as one cooldown has breaches, however long the key is.
+    """
+    exits, seen = measured(exits, "exits", low=F.min("chunk"), high=F.max("chunk"))
+    if seen["rows"] == 0:
+        return exits.select("key", "chunk", F.col("until").alias("entry"))
+    low = seen["low"]
+    levels = [exits.withColumn("chunk", F.col("chunk") - low)]
+    for _ in range((seen["high"] - low).bit_length()):
+        halves = levels[-1].select(
+            "key", F.expr("chunk div 2").alias("chunk"), (F.col("chunk") % 2).alias("side"), "until", "exit")
+        levels.append(materialize(
+            halves.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "side", "until")
+            .mapInArrow(_compose(cooldown), _MAPS), "composed"))
+    entries = levels.pop().select("key", "chunk").distinct().withColumn(
+        "entry", F.lit(np.iinfo(np.int64).min).cast("bigint"))
+    while levels:
+        maps = levels.pop()
+        whole = entries.withColumnRenamed("chunk", "pair")
+        lefts = maps.where("chunk % 2 = 0").withColumn("pair", F.expr("chunk div 2")).join(whole, ["key", "pair"])
+        moved = lefts.where("until >= entry").groupBy("key", "pair").agg(F.min_by("exit", "until").alias("exit"))
+        halves = maps.select("key", "chunk").distinct().withColumn("pair", F.expr("chunk div 2"))
+        after = F.when(F.col("chunk") % 2 == 1, F.coalesce(F.col("exit") + cooldown, "entry")).otherwise(F.col("entry"))
+        entries = materialize(
+            halves.join(whole, ["key", "pair"]).join(moved, ["key", "pair"], "left")
+            .select("key", "chunk", after.alias("entry")), "entries")
+    return entries.withColumn("chunk", F.col("chunk") + low)
 
 
 def _walk(cooldown: int):
@@ -120,8 +172,9 @@ def threshold_alerts(
 
     Which breach is sent depends on all earlier ones of its key, but only through one moment. So
     time is cut into chunks of several cooldowns; each chunk is summed up as a step function from
-    "allowed from" to its last alert, the short summaries are followed per key, and the chunks are
-    then walked from their known starting moments. A key's rows are never gathered in one task.
+    "allowed from" to its last alert, the summaries are composed in pairs (:func:`chunk_entries`), and the
+    chunks are then walked from their known starting moments. A task holds at most a chunk or two
+    summaries of a key, never the whole key.
     """
     cooldown = round(cooldown_hours * 3_600_000_000)
     hits = materialize(
@@ -136,11 +189,8 @@ def threshold_alerts(
     hits = hits.withColumn("chunk", floor_div(F.col("us"), length))
     exits = (
         hits.select("key", "chunk", "us").repartition("key", "chunk")
-        .sortWithinPartitions("key", "chunk", "us")
-        .mapInArrow(_chunk_exits(cooldown, length), "key STRING, chunk BIGINT, until BIGINT, exit BIGINT"))
-    entries = (
-        exits.repartition("key").sortWithinPartitions("key", "chunk", "until")
-        .mapInArrow(_chunk_entries(cooldown), "key STRING, chunk BIGINT, entry BIGINT"))
+        .sortWithinPartitions("key", "chunk", "us").mapInArrow(_chunk_exits(cooldown, length), _MAPS))
+    entries = chunk_entries(exits, cooldown)
     sent = (
         hits.join(entries, ["key", "chunk"]).repartition("key", "chunk")
         .sortWithinPartitions("key", "chunk", "us")

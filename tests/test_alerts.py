@@ -64,3 +64,23 @@ def test_rows_without_id_keep_their_value(spark):
         [(None, "k", T0, 12.0), (None, "k", T0, 11.0), (7, "q", T0, 99.0), (None, "q", T0, 12.0)],
         "id BIGINT, key STRING, timestamp TIMESTAMP_NTZ, value DOUBLE")
     assert {r.key: r.value for r in threshold_alerts(frame, 10.0).collect()} == {"k": 11.0, "q": 99.0}
+
+
+def test_summaries_stay_short_for_a_dense_key(spark, monkeypatch):
+    """With chunks of one cooldown a dense key's summaries are as long as its breaches; still no task of
+    the composition sees more than two of them."""
+    monkeypatch.setattr(alerts, "TARGET_CHUNK_ROWS", 1)
+    seen, stored = [], alerts.materialize
+
+    def keep(df, label="table"):
+        out = stored(df, label)
+        if label == "composed":
+            seen.append(out.groupBy("key", "chunk").count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(alerts, "materialize", keep)
+    seconds = np.sort(np.random.default_rng(3).integers(0, 200 * 3600, 20_000))
+    got = run(spark, [("hot", s, 11) for s in seconds], cooldown_hours=1)
+    assert sorted((r.timestamp - T0).total_seconds() for r in got) == brute(seconds.tolist(), 3600)
+    dense = max(np.histogram(seconds, 200)[0])
+    assert len(seen) == 8 and max(seen) <= 1.5 * dense
