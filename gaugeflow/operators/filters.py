@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.times import interval, moment
 from gaugeflow.functions.values import cast_value
-from gaugeflow.session import broadcast_if, measured
+from gaugeflow.session import broadcast_if, measured, row_bytes
 
 
 @dataclass
@@ -19,12 +19,14 @@ class Newest:
 
     table: DataFrame
     rows: int
+    size: int | None
     earliest: datetime | None
 
 
 def newest_per_key(df: DataFrame, keys: tuple[str, ...], ts: str = "timestamp") -> Newest:
-    table, seen = measured(df.groupBy(*keys).agg(F.max(ts).alias("_newest")), "newest", earliest=F.min("_newest"))
-    return Newest(table, seen["rows"], seen["earliest"])
+    newest = df.groupBy(*keys).agg(F.max(ts).alias("_newest"))
+    table, seen = measured(newest, "newest", earliest=F.min("_newest"), bytes=F.sum(row_bytes(newest)))
+    return Newest(table, seen["rows"], seen["bytes"], seen["earliest"])
 
 
 def lookback(
@@ -57,7 +59,7 @@ def lookback(
         return df.where(F.lit(False))
     bounds = newest.table.select(*keys, (F.col("_newest") - interval(seconds)).alias("_from"))
     recent = df.where(F.col(ts) >= moment(newest.earliest - timedelta(seconds=seconds)))
-    return recent.join(broadcast_if(bounds, newest.rows), list(keys)).where(
+    return recent.join(broadcast_if(bounds, newest.rows, newest.size), list(keys)).where(
         F.col(ts) >= F.col("_from")).drop("_from")
 
 

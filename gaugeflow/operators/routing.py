@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from gaugeflow import schemas
 from gaugeflow.functions import topics
 from gaugeflow.functions.values import decode_payload
-from gaugeflow.session import sized
+from gaugeflow.session import lookup_table, sized
 
 # Fixed value: the only report kind that carries readings.
 REPORT_EVENT = "THSensor.Report"
@@ -24,18 +24,13 @@ def route(df: DataFrame, patterns: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def join_patterns(df: DataFrame, patterns: Sequence[tuple[str, str]]) -> DataFrame:
-    """Same result as :func:`route` for long pattern lists.
+    """Same result as :func:`route`, which also serves streams, for batches with few different topics.
 
-    The theta join runs on the distinct topics only, against the broadcast pattern table (driver
-    configuration, so its size is known), and the winner per topic is joined back.
+    Each topic is matched once, and the winner per topic is joined back: broadcast if the topics prove to
+    be few, else by a shuffle in which Spark splits hot topics.
     """
-    spark = df.sparkSession
-    rows = [(i, topics.pattern_regex(p), table) for i, (p, table) in enumerate(patterns)]
-    table = F.broadcast(spark.createDataFrame(rows, "ord INT, regex STRING, table_name STRING"))
-    distinct = df.select("topic").distinct()
-    hits = distinct.join(table, F.rlike("topic", F.col("regex")))
-    winner = hits.groupBy("topic").agg(F.min_by("table_name", "ord").alias("table_name"))
-    return df.join(winner, "topic")
+    winner = route(df.select("topic").distinct(), patterns)
+    return df.join(lookup_table(winner, "topics"), "topic")
 
 
 def join_devices(df: DataFrame, devices: DataFrame) -> DataFrame:

@@ -9,8 +9,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup is broadcast only when it has been counted and is at most this long.
+# A lookup is broadcast only when it has been measured and is at most this long and this large.
 BROADCAST_MAX_ROWS = 500_000
+BROADCAST_MAX_BYTES = 64 << 20
 
 _local_roots: dict[str, str] = {}
 
@@ -83,22 +84,37 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     return measured(df, label)[0]
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About the size of a row in memory; texts and nested values by their length."""
+    size = F.lit(16)
+    for field in df.schema.fields:
+        kind, column = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0)) + 8
+        elif kind in ("struct", "array", "map"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 8
+        else:
+            size = size + 8
+    return size.cast("bigint")
+
+
 def lookup_table(df: DataFrame, label: str = "lookup", max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Materialise an aggregated side table, and broadcast it only if it was counted to be small.
+    """Materialise an aggregated side table, and broadcast it only if it was measured to be small.
 
-    Beyond ``max_rows`` the table is returned without a hint: the join shuffles, and adaptive
-    execution splits skewed keys.
+    Beyond ``max_rows`` rows, or many bytes, the table is returned without a hint: the join shuffles,
+    and adaptive execution splits skewed keys.
     """
-    stored, seen = measured(df, label)
-    return broadcast_if(stored, seen["rows"], max_rows)
+    stored, seen = measured(df, label, bytes=F.sum(row_bytes(df)))
+    return broadcast_if(stored, seen["rows"], seen["bytes"], max_rows)
 
 
-def broadcast_if(stored: DataFrame, rows: int, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    return F.broadcast(stored) if rows <= max_rows else stored
+def broadcast_if(stored: DataFrame, rows: int, size: int | None, max_rows: int = BROADCAST_MAX_ROWS,
+                 max_bytes: int | None = None) -> DataFrame:
+    limit = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
+    return F.broadcast(stored) if rows <= max_rows and (size or 0) <= limit else stored
 
 
 def sized(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Hint a broadcast for a side table that is cheap to count and has at most ``max_rows`` rows."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    """Hint a broadcast for a side table that is cheap to read and proves to be small."""
+    seen = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(df)).alias("bytes")).first()
+    return broadcast_if(df, seen["rows"], seen["bytes"], max_rows)

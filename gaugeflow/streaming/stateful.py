@@ -58,6 +58,16 @@ def latest_updates(spark: SparkSession, path: str, keys: tuple[str, ...] = ("ser
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_row")).select(*keys, "_row.*")
 
 
+def dropped_as_late(query: StreamingQuery) -> int:
+    """Rows that the watermark of a query has shut out so far, as its progress reports count them.
+
+    Spark counts them after partial aggregation. Nothing else of them is kept, so a feed that brings its
+    own times needs a watermark as long as its delays.
+    """
+    return sum(state["numRowsDroppedByWatermark"] for progress in query.recentProgress
+               for state in progress["stateOperators"])
+
+
 def stream_dedup(df: DataFrame, keys: tuple[str, ...] = ("topic", "timestamp"),
                  watermark: str = WATERMARK) -> DataFrame:
     """Rows whose key was not seen within the watermark."""

@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 
+from gaugeflow import session
 from gaugeflow.operators import buckets, filters, merge, routing, stats
 from gaugeflow.session import materialize
 from gaugeflow.sources import tables
@@ -76,3 +77,14 @@ def test_resolutions_read_the_bounds_once_and_do_not_sort(spark, stored):
     text = "".join(plan(df) for df in buckets.multires_levels(stored).values())
     assert "rangepartitioning" not in text and text.count("topic:string,payload:string") == 3
     assert "rangepartitioning" in plan(buckets.in_order(buckets.level_buckets(stored, 60)))
+
+
+def test_large_lookups_are_not_broadcast(spark, stored, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan(routing.join_patterns(stored, [("events/+/raw", "a")]))
+        monkeypatch.setattr(session, "BROADCAST_MAX_BYTES", 10)
+        text = plan(routing.join_patterns(stored, [("events/+/raw", "a")]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text

@@ -211,6 +211,19 @@ def test_stream_dedup(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
 
 
+def test_late_rows_are_counted(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    late = 0
+    for hours in (0, 100, 1, 200):
+        frame = messages(spark, {"a": (pd.DatetimeIndex([T0 + timedelta(hours=hours)]), [1.0])})
+        frame.coalesce(1).write.mode("append").parquet(source)
+        feed = ingest.file_feed(spark, source, frame.schema)
+        run = stateful.write_updates(stateful.stream_buckets(feed, 60), out, state, seconds=None)
+        run.awaitTermination()
+        late += stateful.dropped_as_late(run)
+    assert late == 1 and stateful.latest_updates(spark, out).count() == 3
+
+
 def test_session_defaults():
     assert build_session().conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
     assert segments.TARGET_MM == 50.0
