@@ -29,6 +29,9 @@ DAY_US = 86_400_000_000
 # Up to this many values in every frame they are sorted side by side.
 SHORT_RANGE = 32
 
+# Per-series values of this many series are broadcast without being measured: a name and two numbers each.
+FEW_SERIES = 50_000
+
 # A chunk is made shorter than a day when a series is so dense that more rows would fall in it.
 TARGET_CHUNK_ROWS = 500_000
 
@@ -54,10 +57,11 @@ def expand(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Density:
-    """How rows lie on the time axis: ``counts`` is (series, rows), ``densest`` the most rows of one
-    series within half a window, ``chunk_us`` a safe chunk."""
+    """How rows lie on the time axis: ``counts`` is (series, rows), ``series`` the number of series,
+    ``densest`` the most rows of one series within half a window, ``chunk_us`` a safe chunk."""
 
     counts: DataFrame
+    series: int
     densest: int
     chunk_us: int
 
@@ -76,7 +80,7 @@ def series_density(values: DataFrame, half_us: int) -> Density:
         "density", densest=F.max("densest"))
     densest = seen["densest"] or 0
     slots_per_chunk = max(1, min(DAY_US // half_us, TARGET_CHUNK_ROWS // (densest or 1)))
-    return Density(counts.select("series", "rows"), densest, slots_per_chunk * half_us)
+    return Density(counts.select("series", "rows"), seen["rows"], densest, slots_per_chunk * half_us)
 
 
 def prepare_values(values: DataFrame, half_us: int) -> tuple[DataFrame, Density]:
@@ -245,11 +249,18 @@ def _bin(v):
     return F.when(v == 0, F.lit(0).cast("bigint")).otherwise(size * F.signum(v).cast("bigint"))
 
 
-def mad_scale(residuals: DataFrame) -> DataFrame:
+def per_series(df: DataFrame, label: str, series: int | None = None) -> DataFrame:
+    """A table with a row per series as the small side of a join: broadcast if that many series are few,
+    else measured first."""
+    return F.broadcast(df) if series is not None and series <= FEW_SERIES else lookup_table(df, label)
+
+
+def mad_scale(residuals: DataFrame, series: int | None = None) -> DataFrame:
     """(series, scale): median absolute deviation from the median, or the population deviation
-    where that is 0. ``residuals`` has series, residual and n, and should be a stored table."""
+    where that is 0. ``residuals`` has series, residual and n, and should be a stored table; ``series`` is
+    the number of series where it is known."""
     narrow = residuals.select("series", "residual", "n")
-    centre = lookup_table(exact_median(narrow, "residual"), "centre")
+    centre = per_series(exact_median(narrow, "residual"), "centre", series)
     moved = narrow.join(centre, "series").select(
         "series", "n", (F.col("residual") - F.col("median")).alias("d"),
         F.abs(F.col("residual") - F.col("median")).alias("deviation"))

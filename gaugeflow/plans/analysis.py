@@ -11,7 +11,7 @@ from gaugeflow.functions.times import from_micros
 from gaugeflow.operators import extrema as X
 from gaugeflow.operators import medians as M
 from gaugeflow.operators import segments as S
-from gaugeflow.session import lookup_table, materialize
+from gaugeflow.session import materialize
 
 # Fewer rows, or fewer rows after outlier removal, give no analysis.
 MIN_ROWS = 100
@@ -39,7 +39,7 @@ def clean_values(
     numbers = values.where(~F.isnan("value"))
     residuals = materialize(M.residuals(numbers, roll_seconds, density.chunk_us), "residuals")
     enough = density.counts.where(F.col("rows") >= min_rows).select("series")
-    scale = lookup_table(M.mad_scale(residuals).join(enough, "series"), "scale")
+    scale = M.per_series(M.mad_scale(residuals, density.series).join(enough, "series"), "scale", density.series)
     marked = M.mark_outliers(residuals, scale, multiple)
     return marked.where(~F.col("is_outlier")).select("series", "us", "value", "n")
 

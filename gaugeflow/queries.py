@@ -587,30 +587,32 @@ def rolling_median_10m(spark, sf):
     return rounded(M.with_rolling_median(_messages(spark, sf), 600), "value", "local_median")
 
 
-def _residuals(spark, sf) -> DataFrame:
+def _residuals(spark, sf) -> tuple[DataFrame, int]:
+    """Stored residuals and the number of series."""
     values, density = M.prepare_values(M.series_values(_messages(spark, sf)), M.ROLL_SECONDS * 500_000)
-    return materialize(M.residuals(values, chunk_us=density.chunk_us), "residuals")
+    return materialize(M.residuals(values, chunk_us=density.chunk_us), "residuals"), density.series
 
 
 @query
 def mad_scale(spark, sf):
-    return rounded(M.mad_scale(_residuals(spark, sf)), "scale")
+    return rounded(M.mad_scale(*_residuals(spark, sf)), "scale")
 
 
 @query
 def exact_median(spark, sf):
-    return rounded(M.exact_median(_residuals(spark, sf), "residual"), "median")
+    return rounded(M.exact_median(_residuals(spark, sf)[0], "residual"), "median")
 
 
 @query
 def residual(spark, sf):
-    return rounded(M.expand(_residuals(spark, sf)).select(
+    return rounded(M.expand(_residuals(spark, sf)[0]).select(
         "series", from_micros("us").alias("timestamp"), "local_median", "residual"), "local_median", "residual")
 
 
 @query
 def outlier(spark, sf):
-    residuals = _residuals(spark, sf)
+    residuals, _ = _residuals(spark, sf)
+    # Without the number of series: both ways must agree.
     marked = M.mark_outliers(residuals, M.mad_scale(residuals), 3.0)
     return rounded(M.expand(marked).select(
         "series", from_micros("us").alias("timestamp"), "value", "residual", "is_outlier"), "value", "residual")
