@@ -70,11 +70,17 @@ SCRIPTS = {
 _EMAIL = re.compile(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}(?![\w.]*\d)")
 _CARD = re.compile(r"(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}([ \-])\d{6}\2\d{5}|\d{13,19})(?![\d\-])")
-_PHONE = re.compile(r"[+(\d](?:[ ().\-]{0,2}\d){9,13}(?![\d\-])")
+_PHONE = re.compile(r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[ .\-])\d{3,4}[ .\-]\d{4}(?![\d\-])"
+                    r"|\+\d{1,3}(?:[ .\-]\d{2,8}){1,4}(?![\d\-])")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}(?![\d\-])")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)")
 _SECRET = re.compile(r"""[=:]\s{0,3}["']?([A-Za-z0-9_\-/+]{16,})(?!\w)""")
 _SECRET_NAME = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|key)[\"']?\s{0,3}$", re.IGNORECASE)
+# Beginnings of access keys and tokens that tell their issuer, and what follows them.
+_KEY_STARTS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xoxb-", "xoxp-", "xoxa-", "sk-", "eyJ")
+_KEYS = re.compile(r"(?:(AKIA|ASIA)[A-Z0-9]{16}|(AIza)[\w\-]{35}|(gh[pousr]_)[A-Za-z0-9]{36}|(xox[abp]-)[A-Za-z0-9\-]{10,}"
+                   r"|(sk-)[A-Za-z0-9_\-]{20,}|(eyJ)[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,})(?![\w\-])")
+_RESERVED = re.compile(r"(?<=[.@])example\.(?:com|net|org)$")
 _CAPITAL = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
 _NAMED = re.compile(rf"[{_CAPITAL}]\w*\.?[ \n]([{_CAPITAL}]\w+(?:[ \-][{_CAPITAL}]\w+){{0,2}})")
 
@@ -188,9 +194,10 @@ def _iban(key, text, draw):
 
 
 def _email(key, text, draw):
-    """Keeps the form and the top-level domain."""
-    head, dot, top = text.rpartition(".")
-    return permuted_text(key, head, "email", top, draw) + dot + top
+    """Keeps the form and the top-level domain, or a domain that is reserved for examples."""
+    reserved = _RESERVED.search(text)
+    at = reserved.start() if reserved else text.rindex(".")
+    return permuted_text(key, text[:at], "email", text[at:], draw) + text[at:]
 
 
 def _secret(key, text, draw):
@@ -199,6 +206,12 @@ def _secret(key, text, draw):
     return permuted_text(key, text, "secret", draw, letters_of=None if text.strip(digits) else digits)
 
 
+def _issued(key, text, draw):
+    """Keeps the beginning that tells the issuer."""
+    start = next(s for s in _KEY_STARTS if text.startswith(s))
+    return start + permuted_text(key, text[len(start):], "key", start, draw)
+
+
 def _script(word: str) -> str:
     first = ord(word[0])
     return "cyrillic" if 0x400 <= first < 0x530 else "greek" if 0x370 <= first < 0x400 else "latin"
@@ -219,7 +232,8 @@ def _name(key, kind, value, draw):
 
 def surrogate(key: bytes, kind: str, value: str, draw: int) -> str:
     """The surrogate of a normalised value on its ``draw``-th try; never the value itself."""
-    make = {"card": _card, "phone": _phone, "ip": _ip, "iban": _iban, "email": _email, "secret": _secret}.get(kind)
+    make = {"card": _card, "phone": _phone, "ip": _ip, "iban": _iban, "email": _email, "secret": _secret,
+            "key": _issued}.get(kind)
     if make:
         return make(key, value, draw)
     if ":" in kind:
@@ -245,6 +259,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         for m in _SECRET.finditer(text):
             if _SECRET_NAME.search(text, max(0, m.start() - 24), m.start()):
                 found.append((*m.span(1), "secret", m[1]))
+    if any(start in text for start in _KEY_STARTS):
+        found += [(*m.span(), "key", m[0]) for m in _KEYS.finditer(text) if _free(text, m.start())]
     if "@" in text:
         found += [(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
     for m in _IBAN.finditer(text):
