@@ -54,13 +54,20 @@ def parsed(df: DataFrame) -> DataFrame:
 
 
 def parse_report(df: DataFrame, devices: DataFrame, event: str = REPORT_EVENT) -> tuple[DataFrame, DataFrame]:
-    """Raw report feed to normalised readings, and the rejected rows beside them.
+    """Raw report feed to normalised readings, and the rejected rows beside them; see :func:`split_report`.
+
+    Reading both results parses the feed twice; a sink that needs both splits a parsed batch.
+    """
+    return split_report(parsed(df), devices, event)
+
+
+def split_report(rows: DataFrame, devices: DataFrame, event: str = REPORT_EVENT) -> tuple[DataFrame, DataFrame]:
+    """Rows of :func:`parsed` as normalised readings, and the rejected rows beside them.
 
     Kept are rows of known devices with the wanted event and a temperature. Humidity is kept for
     air devices only. A missing radio block gives a NULL signal. The raw text stays. Rejected are
     rows whose text is not JSON, or has a value that does not fit its column.
     """
-    rows = parsed(df)
     rejected = rows.where("malformed").select("id", "timestamp", "topic", "payload")
     good = rows.where(
         ~F.col("malformed") & (F.col("event") == event) & F.col("data.temperature").isNotNull())

@@ -104,6 +104,8 @@ WHERE event_type NOT IN ('signup', 'error') AND user_id % 7 <> 0"""
 ORACLES["parse_report"] = ORACLES["ingest_readings"]
 ORACLES["parse_report_rejected"] = f"""SELECT event_id AS id, ts AS timestamp,
   'yl-home/h1/' || user_id || '/report' AS topic, {_BODY} AS payload FROM events WHERE event_type = 'error'"""
+ORACLES["ingest_reports"] = f"""SELECT 'reading' AS part, id, timestamp, topic FROM ({ORACLES["ingest_readings"]})
+UNION ALL SELECT 'rejected', id, timestamp, topic FROM ({ORACLES["parse_report_rejected"]})"""
 ORACLES["event_filter"] = """SELECT event_id AS id, 'THSensor.Report' AS event FROM events
 WHERE event_type NOT IN ('signup', 'error')"""
 

@@ -148,6 +148,17 @@ def ingest_readings(spark, sf):
     return _plain_readings(_appended(readings.drop("date"), "readings"))
 
 
+@query
+def ingest_reports(spark, sf):
+    """Readings and rejected rows of one pass over the feed."""
+    path = scratch_path(spark, "reports")
+    devices = T.devices_from_events(_events(spark, sf))
+    ingest.flush_reports(_report_feed(spark, sf), devices, path, f"{path}-state", seconds=None).awaitTermination()
+    readings = spark.read.parquet(f"{path}/readings").select(F.lit("reading").alias("part"), "id", "timestamp", "topic")
+    rejected = spark.read.parquet(f"{path}/rejected").select(F.lit("rejected").alias("part"), "id", "timestamp", "topic")
+    return readings.unionByName(rejected)
+
+
 @query
 def relay_topic(spark, sf):
     rows = _appended(ingest.relay_stream(_report_feed(spark, sf)), "relay")

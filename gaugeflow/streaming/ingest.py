@@ -115,6 +115,25 @@ def flush_routed(df: DataFrame, path: str, checkpoint: str, seconds: float | Non
     return _trigger(writer, seconds).start()
 
 
+def flush_reports(feed: DataFrame, devices: DataFrame, path: str, checkpoint: str,
+                  seconds: float | None = FLUSH_SECONDS) -> StreamingQuery:
+    """Write each micro-batch of a report feed as ``readings`` and ``rejected`` under ``path``.
+
+    A batch is parsed once and kept while both parts are written; a repeated batch overwrites its folders.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        try:
+            for name, part in zip(("readings", "rejected"), routing.split_report(held, devices)):
+                part.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+        finally:
+            held.unpersist()
+
+    rows = routing.parsed(stamped(feed))
+    return _trigger(rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write), seconds).start()
+
+
 def compact(spark: SparkSession, path: str, target: str) -> DataFrame:
     """Rewrite batch folders as one table by table name and day, sorted by topic and time, so that
     files can be skipped by their statistics. Days with many rows are split into several files."""
