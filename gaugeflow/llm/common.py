@@ -23,16 +23,25 @@ BROADCAST_ROWS = 200_000
 PIECE_BYTES = 4 << 20
 
 
+# Rows of an Arrow batch at most, while a table is written: a batch of texts stays at some megabytes.
+ARROW_ROWS = 2_000
+
+
 @contextmanager
-def _freed_shuffles(spark: SparkSession):
-    """Spark removes the shuffle files of a query when it ends: its result is a table by then."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def _while_stored(spark: SparkSession):
+    """Settings for the writing of a table: Spark removes the query's shuffle files when it ends, since
+    its result is a table by then, and sends texts to Python in small batches."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+                rows: str(min(ARROW_ROWS, int(spark.conf.get(rows))))}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def stored(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
@@ -44,7 +53,7 @@ def stored(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dic
     path = scratch_path(spark, label)
     watch = Observation()
     named = [column.alias(name) for name, column in metrics.items()]
-    with _freed_shuffles(spark):
+    with _while_stored(spark):
         (df.observe(watch, F.count(F.lit(1)).alias("rows"), *named)
          .write.option("compression", "zstd").parquet(path))
     return spark.read.schema(df.schema).parquet(path), watch.get

@@ -242,7 +242,15 @@ def without_rejected(docs: DataFrame, labels: DataFrame, folds: int = 3, held_ou
     """The rows of ``docs``, with all columns, that :func:`score_quality` predicts as 1."""
     known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("label"))
     net, prior = learn(pick(docs, "doc_id", "text"), known, remainder("doc_id", folds) != held_out_fold, sample_docs)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, "text")
-    shape = f"row {rows.schema['row'].dataType.simpleString()}, text STRING, score DOUBLE"
-    return rows.mapInArrow(_scored(net, prior), shape).where("score >= 0.5").select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    scored = _scored(net, prior)
+
+    def run(batches):
+        for batch in batches:
+            held = batch.column("row")
+            texts = held.field(held.type.get_field_index("text"))
+            for part in scored([pa.RecordBatch.from_arrays([held, texts], ["row", "text"])]):
+                good = pa.array(part.column("score").to_numpy() >= 0.5)
+                yield pa.RecordBatch.from_arrays([part.column("row").filter(good)], ["row"])
+
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
