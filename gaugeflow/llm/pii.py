@@ -82,7 +82,10 @@ _KEYS = re.compile(r"(?:(AKIA|ASIA)[A-Z0-9]{16}|(AIza)[\w\-]{35}|(gh[pousr]_)[A-
                    r"|(sk-)[A-Za-z0-9_\-]{20,}|(eyJ)[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,})(?![\w\-])")
 _RESERVED = re.compile(r"(?<=[.@])example\.(?:com|net|org)$")
 _CAPITAL = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
-_NAMED = re.compile(rf"[{_CAPITAL}]\w*\.?[ \n]([{_CAPITAL}]\w+(?:[ \-][{_CAPITAL}]\w+){{0,2}})")
+_LEAD = re.compile(rf"[{_CAPITAL}]\w+")
+# What follows a title or a known given name: words of a name, with initials before them.
+_INITIALS = rf"(?:[{_CAPITAL}](?:\. ?| )){{0,3}}"
+_FOLLOWING = re.compile(rf"(\.?)[ \n]({_INITIALS}[{_CAPITAL}]\w+(?:(?:-| {_INITIALS})[{_CAPITAL}]\w+){{0,2}})")
 
 
 # -- keyed permutations -------------------------------------------------------------------------------
@@ -280,10 +283,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             digits = _digits(m[0])
             if _free(text, m.start()) and 10 <= len(digits) <= 13 and (len(m[0]) > len(digits)):
                 found.append((*m.span(), "phone", digits))
-    for m in _NAMED.finditer(text):
-        if m.start() and text[m.start() - 1].isalnum():
-            continue
-        found += _names(m)
+    found += _names(text)
     kept: list[tuple[int, int, str, str]] = []
     for x in found:
         k = bisect_left(kept, x[:2], key=lambda y: y[:2])
@@ -292,20 +292,37 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return kept
 
 
-def _names(m: re.Match) -> list[tuple[int, int, str, str]]:
-    """Given names and surnames after a title, or after a known given name."""
-    words = [(w.start() + m.start(1), w.end() + m.start(1), w[0]) for w in re.finditer(r"\w+", m[1])]
-    lead = re.match(r"\w+", m[0])[0]
-    gender = TITLES.get(lead)
-    if gender is None:
-        gender = _GENDER.get(lead)
-        if gender is None or "." in m[0][:len(lead) + 1]:
-            return []
-        words = [(m.start(), m.start() + len(lead), lead), *words[:1]]
-    if gender == "n" and len(words) > 1:
-        gender = _GENDER.get(words[0][2], "n")
-    return [(a, b, f"{'surname' if k == len(words) - 1 else 'given'}:{gender}", w)
-            for k, (a, b, w) in enumerate(words)]
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """Given names and surnames after a title, or after a known given name. Initials stay."""
+    found: list[tuple[int, int, str, str]] = []
+    end, told = 0, "n"
+    for lead in _LEAD.finditer(text):
+        if lead.start() < end or lead.start() and text[lead.start() - 1].isalnum():
+            continue
+        titled = TITLES.get(lead[0])
+        gender = titled or _GENDER.get(lead[0])
+        m = gender and _FOLLOWING.match(text, lead.end())
+        if not m or m[1] and not titled:
+            told = "n"
+            continue
+        words = [(w.start() + m.start(2), w.end() + m.start(2), w[0]) for w in re.finditer(r"\w{2,}", m[2])]
+        cut = next((k for k, w in enumerate(words) if w[2] in TITLES), len(words))
+        if cut == 0:
+            # The next title goes on with the gender of this one.
+            told = gender if gender != "n" else told
+            continue
+        words = words[:cut]
+        if titled:
+            gender = told if gender == "n" else gender
+            if gender == "n" and len(words) > 1:
+                gender = _GENDER.get(words[0][2], "n")
+        else:
+            words = [(lead.start(), lead.end(), lead[0]), *words[:1]]
+        told = "n"
+        end = words[-1][1]
+        found += [(a, b, f"{'surname' if k == len(words) - 1 else 'given'}:{gender}", w)
+                  for k, (a, b, w) in enumerate(words)]
+    return found
 
 
 def _shown(original: str, kind: str, new: str) -> str:

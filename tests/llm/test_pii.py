@@ -32,6 +32,20 @@ def test_detection(text, kinds):
     assert [x[2] for x in pii.entities(text)] == kinds
 
 
+@pytest.mark.parametrize("text,names", [
+    ("Dear Mr Smith, we wrote", ["Smith"]),
+    ("When Anna Smith arrived", ["Anna", "Smith"]),
+    ("Yesterday Dr. Jones left", ["Jones"]),
+    ("On Monday Peter Miller came", ["Peter", "Miller"]),
+    ("then John F. Kennedy and Mr. J. R. Ewing spoke", ["John", "Kennedy", "Ewing"]),
+    ("Herr Dr. Weber and Prof. Dr. Lang", ["Weber", "Lang"]),
+    ("Dear Sir, On Monday Morning in New York", []),
+])
+def test_names_after_any_word(text, names):
+    spans = [(text.index(n), text.index(n) + len(n)) for n in names]
+    assert [x[:2] for x in pii.entities(text)] == spans
+
+
 def test_forms_are_kept():
     new = pii.replaced("Bob.Lee@Mail7.example.com 4111 1111 1111 1111 192.168.1.20 +1 (017) 555-7713", KEY, {}, {})[0]
     assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}@[A-Z][a-z]{3}\d\.[a-z]{7}\.com "
