@@ -71,9 +71,12 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+")
 _IP = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}(?![\w.]*\d)")
 _CARD = re.compile(r"(?:\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}([ \-])\d{6}\2\d{5}|\d{13,19})(?![\d\-])")
 _PHONE = re.compile(r"(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{3}[ .\-])\d{3,4}[ .\-]\d{4}(?![\d\-])"
-                    r"|\+\d{1,3}(?:[ .\-]\d{2,8}){1,4}(?![\d\-])")
+                    r"|\+\d{8,15}(?![\d\-])|\+\d{1,3}[ .\-]\d{7,12}(?![\d\-])"
+                    r"|\+\d(?:[ .\-/]?(?:\(0\) ?)?(?:\(\d{1,5}\)|\d)){4,14}(?![\d\-])")
+# Beginnings of calling codes of one and of two digits; others have three.
+_CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 _SSN = re.compile(r"\d{3}-\d{2}-\d{4}(?![\d\-])")
-_IBAN = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w)")
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)")
 _SECRET = re.compile(r"""[=:]\s{0,3}["']?([A-Za-z0-9_\-/+]{16,})(?!\w)""")
 _SECRET_NAME = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|key)[\"']?\s{0,3}$", re.IGNORECASE)
 # Beginnings of access keys and tokens that tell their issuer, and what follows them.
@@ -154,8 +157,10 @@ def _card(key, digits, draw):
 
 
 def _phone(key, digits, draw):
-    """Keeps what stands before the last ten digits, and the exchange 555 where it stands."""
-    lead, rest = digits[:-10], digits[-10:]
+    """Keeps the calling code after a plus, or what stands before the last ten digits, and the exchange 555
+    where it stands."""
+    cut = _CODES.match(digits, 1).end() if digits[0] == "+" else max(0, len(digits) - 10)
+    lead, rest = digits[:cut], digits[cut:]
     fiction = rest[3:6] == "555"
     if fiction:
         moved = permuted_text(key, rest[:3] + rest[6:], "phone", lead, draw)
@@ -185,15 +190,15 @@ def _ip(key, text, draw):
             return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
 
+def _check(text: str) -> int:
+    """The check digits that an account number should have."""
+    return 98 - int("".join(str(int(c, 36)) for c in text[4:] + text[:2] + "00")) % 97
+
+
 def _iban(key, text, draw):
     """Keeps the country; the check digits are right for the new number if they were for the old."""
-    def check(country, body):
-        return 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
-
-    country, body = text[:2], text[4:]
-    right = int(text[2:4]) == check(country, body)
-    body = permuted_text(key, body, "iban", country, draw)
-    return country + (f"{check(country, body):02d}" if right else text[2:4]) + body
+    country, body = text[:2], permuted_text(key, text[4:], "iban", text[:2], draw)
+    return country + (f"{_check(country + '00' + body):02d}" if int(text[2:4]) == _check(text) else text[2:4]) + body
 
 
 def _email(key, text, draw):
@@ -267,11 +272,13 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         found += [(*m.span(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
     for m in _IBAN.finditer(text):
-        if _free(text, m.start()):
-            found.append((*m.span(), "iban", m[0]))
+        end = _account_end(m[0]) if _free(text, m.start()) else 0
+        if end:
+            found.append((m.start(), m.start() + end, "iban", m[0][:end].replace(" ", "")))
     if any(c in text for c in "0123456789"):
         for m in _CARD.finditer(text):
-            if _free(text, m.start()):
+            # Up to 15 digits after a plus are a phone number.
+            if _free(text, m.start()) and (text[m.start() - 1:m.start()] != "+" or len(_digits(m[0])) > 15):
                 found.append((*m.span(), "card", _digits(m[0])))
         for m in _IP.finditer(text):
             if _free(text, m.start()) and all(int(p) < 256 for p in m[0].split(".")):
@@ -279,10 +286,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         for m in _SSN.finditer(text):
             if _free(text, m.start()):
                 found.append((*m.span(), "ssn", m[0]))
-        for m in _PHONE.finditer(text):
-            digits = _digits(m[0])
-            if _free(text, m.start()) and 10 <= len(digits) <= 13 and (len(m[0]) > len(digits)):
-                found.append((*m.span(), "phone", digits))
+        found += _phones(text, sorted(found))
     found += _names(text)
     kept: list[tuple[int, int, str, str]] = []
     for x in found:
@@ -292,6 +296,36 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     return kept
 
 
+def _account_end(shown: str) -> int:
+    """Where an account number ends: what stands in groups may go on with other words, so the longest part
+    with right check digits counts, or all of it if most of it are digits; 0 if there is none."""
+    if " " not in shown:
+        return len(shown)
+    ends = [len(shown), *[k for k in range(len(shown) - 1, 0, -1) if shown[k] == " "]]
+    for end in ends:
+        value = shown[:end].replace(" ", "")
+        if len(value) >= 15 and int(value[2:4]) == _check(value):
+            return end
+    value = shown.replace(" ", "")
+    return len(shown) if len(value) >= 15 and 2 * len(_digits(value)) >= len(value) else 0
+
+
+def _phones(text: str, others: list) -> list[tuple[int, int, str, str]]:
+    """Phone numbers, none of which goes on into an entity of ``others``."""
+    found = []
+    starts = [x[0] for x in others]
+    for m in _PHONE.finditer(text):
+        k = bisect_left(starts, m.start())
+        if k < len(starts) and starts[k] < m.end():
+            m = _PHONE.match(text, m.start(), starts[k])
+        if m and _free(text, m.start()):
+            digits = _digits(m[0].replace("(0)", ""))
+            plus = m[0][0] == "+"
+            if (8 if plus else 10) <= len(digits) <= (15 if plus else 13) and len(m[0]) > len(digits):
+                found.append((*m.span(), "phone", "+" * plus + digits))
+    return found
+
+
 def _names(text: str) -> list[tuple[int, int, str, str]]:
     """Given names and surnames after a title, or after a known given name. Initials stay."""
     found: list[tuple[int, int, str, str]] = []
@@ -328,8 +362,12 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
 def _shown(original: str, kind: str, new: str) -> str:
     """The surrogate in the written form of the original: its separators and its letter case."""
     if kind in ("card", "phone"):
-        digits = iter(new)
-        return "".join(next(digits) if c.isdigit() and c.isascii() else c for c in original)
+        digits = iter(_digits(new))
+        return "(0)".join("".join(next(digits) if c.isdigit() and c.isascii() else c for c in part)
+                          for part in (original.split("(0)") if kind == "phone" else [original]))
+    if kind == "iban":
+        letters = iter(new)
+        return "".join(c if c == " " else next(letters) for c in original)
     if kind == "email":
         return "".join(n.upper() if c.isupper() else n for c, n in zip(original, new))
     if ":" in kind and original.isupper():

@@ -46,6 +46,24 @@ def test_names_after_any_word(text, names):
     assert [x[:2] for x in pii.entities(text)] == spans
 
 
+@pytest.mark.parametrize("shown,kind,value", [
+    ("+15551234567", "phone", "+15551234567"), ("+442079460958", "phone", "+442079460958"),
+    ("+1 5551234567", "phone", "+15551234567"), ("+33 1 23 45 67 89", "phone", "+33123456789"),
+    ("+44 (0)20 7946 0958", "phone", "+442079460958"), ("+5511987654321", "phone", "+5511987654321"),
+    ("DE89 3704 0044 0532 0130 00", "iban", "DE89370400440532013000"),
+    ("BE68 5390 0754 7034", "iban", "BE68539007547034"),
+])
+def test_written_forms(shown, kind, value):
+    for text in (shown, f"Write to {shown}, or 10.1.2.3", f"({shown}) 10.1.2.3", f"{shown} PAID 2019"):
+        assert pii.entities(text)[0] == (text.index(shown), text.index(shown) + len(shown), kind, value)
+        new = pii.replaced(text, KEY, {}, {})[0]
+        form = "".join(f"[{re.escape(c)}0-9]" if c.isdigit() else re.escape(c) for c in shown)
+        assert shown not in new and re.search(form, new) and new.count("(0)") == text.count("(0)")
+        assert pii.entities(new)[0][2] == kind
+    start = 3 if kind == "phone" else 2
+    assert pii.surrogate(KEY, kind, value, 0)[:start - (shown[:2] == "+1")] == value[:start - (shown[:2] == "+1")]
+
+
 def test_forms_are_kept():
     new = pii.replaced("Bob.Lee@Mail7.example.com 4111 1111 1111 1111 192.168.1.20 +1 (017) 555-7713", KEY, {}, {})[0]
     assert re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}@[A-Z][a-z]{3}\d\.[a-z]{7}\.com "
