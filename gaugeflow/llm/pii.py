@@ -7,7 +7,9 @@ that the same entity gets the same surrogate in all texts and nobody without the
   within their format by a keyed cipher on that format: length, separators, letter case, check digit,
   country code and address range stay. A permutation keeps different values different.
 * Names get names of the same gender and script, built from syllables; given names and surnames are
-  entities of their own, so "Mrs Smith" and "Anna Smith" keep their common part.
+  entities of their own, so "Mrs Smith" and "Anna Smith" keep their common part. A surname is one entity
+  whatever the gender of its mentions; where its ending tells a gender, it is that of a mention which has
+  one. Later bare mentions of the names of a text are replaced too. Initials stay as they are.
 * Spark gathers the different entities of the corpus and checks their surrogates: one that two entities
   share, or that is itself a real value, is drawn again for all but one. The few entities whose draw is
   not the first are exceptions that the replacing pass looks up: in memory while they are few, else by a
@@ -85,10 +87,12 @@ _KEYS = re.compile(r"(?:(AKIA|ASIA)[A-Z0-9]{16}|(AIza)[\w\-]{35}|(gh[pousr]_)[A-
                    r"|(sk-)[A-Za-z0-9_\-]{20,}|(eyJ)[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,})(?![\w\-])")
 _RESERVED = re.compile(r"(?<=[.@])example\.(?:com|net|org)$")
 _CAPITAL = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
-_LEAD = re.compile(rf"[{_CAPITAL}]\w+")
+_WORD = rf"(?:[{_CAPITAL}]['’])?[{_CAPITAL}]\w+"
+_LEAD = re.compile(_WORD)
+_PARTICLES = r"(?:(?:de|del|della|den|der|di|da|do|dos|du|la|le|van|von|zu|bin|ibn|al|y) ){0,3}"
 # What follows a title or a known given name: words of a name, with initials before them.
 _INITIALS = rf"(?:[{_CAPITAL}](?:\. ?| )){{0,3}}"
-_FOLLOWING = re.compile(rf"(\.?)[ \n]({_INITIALS}[{_CAPITAL}]\w+(?:(?:-| {_INITIALS})[{_CAPITAL}]\w+){{0,2}})")
+_FOLLOWING = re.compile(rf"(\.?)[ \n\-]({_INITIALS}{_PARTICLES}{_WORD}(?:(?:-| {_INITIALS}{_PARTICLES}){_WORD}){{0,5}})")
 
 
 # -- keyed permutations -------------------------------------------------------------------------------
@@ -229,7 +233,7 @@ def _name(key, kind, value, draw):
     """``kind`` is given or surname with a gender; more syllables after each few draws."""
     part, gender = kind.split(":")
     script = SCRIPTS[_script(value)]
-    x = _draw(key, kind, value, draw)
+    x = _draw(key, part if part == "surname" else kind, value, draw)
     word = ""
     for _ in range(2 + (part == "surname") + draw // 8):
         x, k = divmod(x, len(script["syllables"]))
@@ -288,7 +292,16 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                 found.append((*m.span(), "ssn", m[0]))
         found += _phones(text, sorted(found))
     found += _names(text)
-    kept: list[tuple[int, int, str, str]] = []
+    kept = _apart([], found)
+    named = {x[3]: x[2] for x in reversed(kept) if ":" in x[2]}
+    if named:
+        bare = [m for m in _LEAD.finditer(text) if m[0] in named]
+        _apart(kept, [(*m.span(), named[m[0]], m[0]) for m in bare if not text[m.start() - 1:m.start()].isalnum()])
+    return kept
+
+
+def _apart(kept: list, found: list) -> list:
+    """``kept``, in order, with those of ``found`` that overlap nothing before them."""
     for x in found:
         k = bisect_left(kept, x[:2], key=lambda y: y[:2])
         if x[0] < x[1] and (k == 0 or kept[k - 1][1] <= x[0]) and (k == len(kept) or x[1] <= kept[k][0]):
@@ -336,14 +349,16 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
         titled = TITLES.get(lead[0])
         gender = titled or _GENDER.get(lead[0])
         m = gender and _FOLLOWING.match(text, lead.end())
-        if not m or m[1] and not titled:
+        second = _LEAD.match(m[2]) if m and text[m.start(2) - 1] == "-" else None
+        if not m or m[1] and not titled or text[m.start(2) - 1] == "-" and (
+                titled or not second or second[0] not in _GENDER):
             told = "n"
             continue
-        words = [(w.start() + m.start(2), w.end() + m.start(2), w[0]) for w in re.finditer(r"\w{2,}", m[2])]
+        words = [(w.start() + m.start(2), w.end() + m.start(2), w[0]) for w in _LEAD.finditer(m[2])]
         cut = next((k for k, w in enumerate(words) if w[2] in TITLES), len(words))
         if cut == 0:
             # The next title goes on with the gender of this one.
-            told = gender if gender != "n" else told
+            told = gender if titled and gender != "n" else told
             continue
         words = words[:cut]
         if titled:
@@ -351,11 +366,17 @@ def _names(text: str) -> list[tuple[int, int, str, str]]:
             if gender == "n" and len(words) > 1:
                 gender = _GENDER.get(words[0][2], "n")
         else:
-            words = [(lead.start(), lead.end(), lead[0]), *words[:1]]
+            words = [(lead.start(), lead.end(), lead[0]), *words]
+        # Words joined by a hyphen are one; the last is a surname, those before it are if not known as given names.
+        place = [0]
+        for k in range(1, len(words)):
+            place.append(place[-1] + (text[words[k - 1][1]] != "-"))
+        if not titled and not place[-1]:
+            continue
         told = "n"
         end = words[-1][1]
-        found += [(a, b, f"{'surname' if k == len(words) - 1 else 'given'}:{gender}", w)
-                  for k, (a, b, w) in enumerate(words)]
+        found += [(a, b, f"{'given' if p < place[-1] and (p == 0 or w in _GENDER) else 'surname'}:{gender}", w)
+                  for p, (a, b, w) in zip(place, words)]
     return found
 
 
@@ -390,7 +411,13 @@ def replaced(text: str, key: bytes, exceptions: dict, known: dict) -> tuple[str,
         out += [text[at:start], _shown(text[start:end], kind, new)]
         at = end
     out.append(text[at:])
-    return "".join(out), len(found), len({x[2:] for x in found})
+    return "".join(out), len(found), _different({x[2:] for x in found})
+
+
+def _different(found: set) -> int:
+    """Number of entities of some (kind, value); surnames, and given names of no gender, are one with those of another."""
+    own = {("surname", v) if k.startswith("surname:") else (k, v) for k, v in found}
+    return len({x for x in own if x[0] != "given:n" or not {("given:f", x[1]), ("given:m", x[1])} & own})
 
 
 # -- jobs -------------------------------------------------------------------------------------------------
@@ -438,14 +465,21 @@ def _replace(key: bytes, exceptions: dict | None):
 
 
 def assign(found: DataFrame, key: bytes) -> tuple[DataFrame, int]:
-    """(kind, value, surrogate) of the entities whose first draw would clash, and their number.
+    """(kind, value, surrogate) of the mentions that do not get their own first draw, and their number.
 
+    A surname has one gender in all mentions, and a given name without one takes that of another mention.
     Names of all genders share one space of surrogates. Rounds: draw for all entities, find clashes, let one of
     each clash keep its surrogate (the one drawn last) and draw anew for the others; all do if it is a real value.
     """
     space = F.substring_index("kind", ":", 1)
-    now, _ = stored(found.withColumn("draw", F.lit(0)).mapInArrow(
-        _drawn(key), "kind STRING, value STRING, draw INT, surrogate STRING"), "surrogates")
+    shape = "kind STRING, value STRING, draw INT, surrogate STRING"
+    told = found.where(F.col("kind").rlike(":[fm]$")).groupBy(space.alias("space"), "value").agg(F.min("kind").alias("told"))
+    joint = F.col("kind").startswith("surname:") | (F.col("kind") == "given:n")
+    own, _ = stored(found.withColumn("draw", F.lit(0)).mapInArrow(_drawn(key), shape).withColumn("space", space)
+                    .join(told, ["space", "value"], "left")
+                    .withColumn("entity", F.when(joint, F.coalesce("told", "kind")).otherwise(F.col("kind"))), "mentioned")
+    now, _ = stored(own.select(F.col("entity").alias("kind"), "value").distinct().withColumn("draw", F.lit(0)).mapInArrow(
+        _drawn(key), shape), "surrogates")
     for _ in range(MOST_DRAWS):
         real = now.select(space.alias("space"), F.col("value").alias("surrogate")).distinct().withColumn("real", F.lit(True))
         first = now.groupBy(space.alias("space"), "surrogate").agg(
@@ -459,11 +493,12 @@ def assign(found: DataFrame, key: bytes) -> tuple[DataFrame, int]:
         stays = F.col("one").isNull() | (~F.col("real") & (F.col("one.value") == F.col("value")) & (
             F.col("one.kind") == F.col("kind")))
         again = joined.select("kind", "value", F.when(stays, F.col("draw")).otherwise(F.col("draw") + 1).alias("draw"))
-        now, _ = stored(again.mapInArrow(
-            _drawn(key), "kind STRING, value STRING, draw INT, surrogate STRING"), "surrogates")
+        now, _ = stored(again.mapInArrow(_drawn(key), shape), "surrogates")
     else:
         raise RuntimeError("surrogates still clash; use longer names")
-    kept, seen = stored(now.where("draw > 0").select("kind", "value", "surrogate"), "exceptions")
+    final = now.select(F.col("kind").alias("entity"), "value", F.col("surrogate").alias("final"))
+    kept, seen = stored(own.join(final, ["entity", "value"]).where("surrogate <> final").select(
+        "kind", "value", F.col("final").alias("surrogate")), "exceptions")
     return kept, seen["rows"]
 
 

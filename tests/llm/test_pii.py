@@ -117,6 +117,33 @@ def test_edges(spark):
     assert run(spark, []).collect() == []
 
 
+@pytest.mark.parametrize("text,kinds", [
+    ("Anna Smith-Jones left", "Anna given:f, Smith surname:f, Jones surname:f"),
+    ("Maria Garcia Lopez and Mr. O'Brien-Lee", "Maria given:f, Garcia surname:f, Lopez surname:f, "
+                                               "O'Brien surname:m, Lee surname:m"),
+    ("Anna Maria de la Cruz", "Anna given:f, Maria given:f, Cruz surname:f"),
+    ("Then Jean-Pierre Martin came", "Jean given:m, Pierre given:m, Martin surname:m"),
+    ("Smith knew Dr Smith. Smith's son, Goldsmith, SmithX", "Smith surname:n, Smith surname:n, Smith surname:n"),
+    ("Mr Smith\nAnna Lee met Anna. Lee left", "Smith surname:m, Anna given:f, Lee surname:f, Anna given:f, Lee surname:f"),
+    ("Anna left for Smith Street, Anna-F. Smith, Maria-de Smith", ""),
+])
+def test_all_words_and_bare_mentions(text, kinds):
+    assert ", ".join(f"{x[3]} {x[2]}" for x in pii.entities(text)) == kinds
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_one_surname_for_all_genders(spark, limit):
+    rows = [(1, "Dr Smith is Anna Smith. Smith left"), (2, "Mr Smith and Dr Петров and Prof. Kim Lee"),
+            (3, "Господин Петров and Mrs Kim Lee")]
+    found = {r.doc_id: r for r in run(spark, rows, most_in_memory=limit).collect()}
+    smith = re.fullmatch(r"Dr (\w+) is \w+ (\w+)\. (\w+) left", found[1].text).groups()
+    other, doctor, kim, lee = re.fullmatch(r"Mr (\w+) and Dr (\w+) and Prof\. (\w+) (\w+)", found[2].text).groups()
+    assert {*smith, other} == {other} and other != "Smith"
+    assert found[3].text == f"Господин {doctor} and Mrs {kim} {lee}"
+    assert re.fullmatch("[А-Я][а-я]+(ов|ев|рин)", doctor)
+    assert (found[1].n_entities, found[1].n_distinct) == (4, 2)
+
+
 def test_query_leaves_no_entity(spark, sf):
     before = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     after = {r.doc_id: r for r in registry.QUERIES["op1_pii_surrogates"](spark, sf).collect()}
