@@ -3,9 +3,9 @@
 * Texts with equal shingle sets form one class, found by a pre-aggregated grouping; only classes are
   joined, and copies count with their number.
 * Each class has ``TREES`` sequences of ``DEPTH`` minhashes. A tree is the prefix trie of its sequences;
-  classes below one node of it share a prefix. The join starts at the full depth and shortens the
-  prefix until the estimated recall reaches the target. The estimate follows from the similarities of
-  the pairs met: a pair of similarity s meets in 1 - (1 - s**depth)**trees.
+  classes below one node of it share a prefix. A pair of similarity s meets with probability
+  1 - (1 - s**length)**trees; the join takes the longest prefix at which a pair just at the threshold,
+  the least likely to meet of all that count, reaches the target recall.
 * Below a node, pairs are compared by 64 further bytes of signature, far below the threshold, and what
   passes becomes a star of edges, never a list of all pairs. Components of these edges are small sets of
   classes with all likely links inside.
@@ -159,15 +159,14 @@ def _enumerated(low: np.ndarray, high: np.ndarray):
         a = b
 
 
-def _likely(similarity: float, trees: int, length: int):
-    """Below the nodes of the trees: edges from each class to the least of those it is linked with,
-    and sums for the estimate of recall."""
+def _likely(similarity: float):
+    """Below the nodes of the trees: edges from each class to the least of those it is linked with."""
 
     def compute(table: pa.Table, first: np.ndarray) -> pa.Table:
         column = {c: table.column(c).to_numpy() for c in ("i", "j", "own", "node", "n")}
         code = _matrix(table.column("code"), np.uint8, CODE)
         low, high = _partners(first, column["i"], column["j"], column["own"])
-        left, right, found, total = [], [], 0.0, 0.0
+        left, right = [], []
         for a, b in _enumerated(low, high):
             n = np.sort(np.stack([column["n"][a], column["n"][b]]), axis=0)
             near = n[0] >= similarity * n[1]
@@ -177,18 +176,11 @@ def _likely(similarity: float, trees: int, length: int):
             keep = alike >= similarity - MARGIN
             left.append(a[keep])
             right.append(b[keep])
-            s = alike[alike >= similarity] ** length
-            met = 1 - (1 - s) ** trees
-            found += float((met / s).sum())
-            total += float((1 / s).sum())
         left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
         label = roots(left, right, len(first))
         moved = np.flatnonzero(label != np.arange(len(first)))
         node = column["node"]
-        return pa.table({
-            "a": pa.array([*node[moved].tolist(), None], pa.int64()),
-            "b": pa.array([*node[label[moved]].tolist(), None], pa.int64()),
-            "found": np.append(np.zeros(len(moved)), found), "total": np.append(np.zeros(len(moved)), total)})
+        return pa.table({"a": node[moved], "b": node[label[moved]]})
 
     return gathered(compute, ("key", "i", "j"), 16 << 20)
 
@@ -202,24 +194,27 @@ def _in_blocks(df: DataFrame, size: str, node: str) -> DataFrame:
         "i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
 
+def prefix_length(similarity: float, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
+    """The longest prefix at which a pair of just this similarity meets with the target probability."""
+    enough = [k for k in range(depth, SHORTEST, -1) if 1 - (1 - similarity ** k) ** trees >= target]
+    return max(enough, default=SHORTEST)
+
+
 def likely_links(classes: DataFrame, similarity: float, trees: int = TREES, depth: int = DEPTH,
                  target: float = TARGET_RECALL) -> DataFrame:
     """Edges (a, b) between classes that are probably linked, at the longest sufficient prefix."""
-    for length in range(depth, SHORTEST - 1, -1):
-        below = classes.select("node", "n", "sig").mapInArrow(
-            _paths(trees, depth, length), "node BIGINT, n BIGINT, code BINARY, keys ARRAY<BIGINT>")
-        paths, _ = stored(below, "paths")
-        ends = paths.select("node", F.explode("keys").alias("key"))
-        met = ends.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        members = ends.join(met, "key").join(paths.select("node", "n", "code"), "node")
-        edges = (
-            _in_blocks(members, "size", "node").select("key", "i", "j", "own", "node", "n", "code")
-            .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
-            .mapInArrow(_likely(similarity, trees, length), "a BIGINT, b BIGINT, found DOUBLE, total DOUBLE"))
-        links, seen = stored(edges, "links", found=F.sum("found"), total=F.sum("total"))
-        if not seen["total"] or seen["found"] >= target * seen["total"]:
-            break
-    return links.where(F.col("a").isNotNull()).select("a", "b").distinct()
+    length = prefix_length(similarity, trees, depth, target)
+    below = classes.select("node", "n", "sig").mapInArrow(
+        _paths(trees, depth, length), "node BIGINT, n BIGINT, code BINARY, keys ARRAY<BIGINT>")
+    paths, _ = stored(below, "paths")
+    ends = paths.select("node", F.explode("keys").alias("key"))
+    met = ends.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = ends.join(met, "key").join(paths.select("node", "n", "code"), "node")
+    edges = (
+        _in_blocks(members, "size", "node").select("key", "i", "j", "own", "node", "n", "code")
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+        .mapInArrow(_likely(similarity), "a BIGINT, b BIGINT"))
+    return stored(edges, "links")[0].distinct()
 
 
 def _common(rows: np.ndarray, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray,

@@ -65,6 +65,21 @@ def test_links_equal_brute_force(spark, monkeypatch, block):
     assert joined(spark, rows)[0] == brute(rows)
 
 
+def test_pairs_at_the_threshold_shorten_the_prefix(spark, monkeypatch):
+    used = []
+    paths = jaccard._paths
+    monkeypatch.setattr(jaccard, "_paths", lambda trees, depth, length: used.append(length) or paths(trees, depth, length))
+    # 36 shared shingles and 4 or 5 of their own: similarity 0.80 exactly.
+    rows = []
+    for k in range(2000):
+        words = [f"w{k}_{i}" for i in range(40)]
+        rows += [(2 * k, " ".join(words + [f"a{i}" for i in range(4)])), (2 * k + 1, " ".join(words + [f"b{i}" for i in range(5)]))]
+    found, _ = joined(spark, rows)
+    assert used and 1 - (1 - 0.8 ** used[-1]) ** jaccard.TREES >= jaccard.TARGET_RECALL
+    assert sum(r[2] == 1 for r in found) >= 2 * 2000 * 0.999 - 4
+    assert jaccard.prefix_length(0.8) == 7 and jaccard.prefix_length(0.95) == 8 and jaccard.prefix_length(0.5) == jaccard.SHORTEST
+
+
 def test_large_groups(spark):
     rows = near_texts(seed=3, bases=1, each=150)
     assert joined(spark, rows)[0] == brute(rows)
