@@ -4,7 +4,8 @@ Texts and benchmark items become sequences of tokens in which numbers, names and
 placeholders. Windows of tokens are hashed and joined; matching windows in step form an alignment of a
 text with an item. An alignment counts if it covers enough of the item and if its slots are consistent:
 within it, one filler of the item always stands for the same filler of the text and the other way round,
-and fillers keep their type. So an item is found verbatim, and with other numbers, names or units.
+and fillers keep their type. So an item is found verbatim, and with other numbers, names or units. A
+window that is mostly placeholders matches verbatim only.
 
 The benchmark's windows are looked up in memory of every task while they are few (their number is
 counted); beyond that Spark joins the windows of texts and items by their hashes. Both ways give the
@@ -20,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeflow.llm.common import bounds, gathered, pick, pieces, small, stored, text_bytes
-from gaugeflow.llm.rolling import Powers, window_hashes, word_hashes, word_spans
+from gaugeflow.llm.rolling import Powers, mix, window_hashes, word_hashes, word_spans
 from gaugeflow.llm.toxicity import lowered
 
 # Tokens of a window; items with fewer tokens are matched whole.
 WINDOW = 8
-# Placeholders a window may hold at most, so that a window says something.
+# Placeholders the template of a window may hold at most, so that it says something; a window with more
+# of them matches its very words only.
 MOST_SLOTS = WINDOW // 2
 # Share of an item's tokens that an alignment must cover, and fewest tokens.
 COVERED = 0.5
@@ -51,6 +53,8 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:"]] = True
 # Kinds of token.
 LITERAL, NUMBER, NAME, UNIT = range(4)
+# Sets hashes of very words apart from those of templates.
+_VERBATIM = np.uint64(0x4B1D2C6F8E3A5977)
 _PLACE = np.array([0, 0x1D3F9A11, 0x2E5C7B22, 0x3F716C33], np.uint64)
 
 
@@ -118,11 +122,15 @@ def _kinds(data, low, a, b, begins, rows, filler, powers) -> np.ndarray:
 
 
 def _windows(tokens: Tokens, length: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first token of every window that has few enough placeholders."""
+    """Hash and first token of every window: of its template, or of its very words where it has so many
+    placeholders that the template says little."""
     hashes, at = window_hashes(tokens.canon, tokens.first, length, powers)
     slots = np.concatenate(([0], np.cumsum(tokens.kind != LITERAL)))
-    few = slots[at + length] - slots[at] <= length * MOST_SLOTS // WINDOW
-    return hashes[few], at[few]
+    dense = slots[at + length] - slots[at] > length * MOST_SLOTS // WINDOW
+    if dense.any():
+        words, _ = window_hashes(tokens.filler, tokens.first, length, powers)
+        hashes = np.where(dense, mix(words ^ _VERBATIM), hashes)
+    return hashes, at
 
 
 def _item_windows(batches):

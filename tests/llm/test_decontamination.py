@@ -38,6 +38,17 @@ def test_edges(spark):
     assert found(spark, [], items) == []
 
 
+def test_items_dense_in_slots_are_found_verbatim(spark):
+    sums = "Compute 12 + 30 * 4 - 7"
+    table = "Take 3 4 5 6 7 8 9 10 11 12 13 14 15 and add them"
+    items = [(1, sums), (2, table)]
+    rows = [(1, FILL + ". " + sums + ". " + FILL), (2, FILL + ". " + table), (3, FILL + ". Compute 13 + 31 * 5 - 8"),
+            (4, FILL + ". Take 1 2 1 2 1 2 1 2 1 2 1 2 1 and go")]
+    expected = [(1, 1, 1, True), (2, 1, 2, True), (3, 0, None, False), (4, 0, None, False)]
+    assert found(spark, rows, items) == expected
+    assert found(spark, rows, items, lookup_windows=0) == expected
+
+
 def test_query_finds_the_planted_items(spark):
     sf = "/root/testdata/sf0.01"
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
