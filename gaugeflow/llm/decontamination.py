@@ -3,8 +3,8 @@
 Texts and benchmark items become sequences of tokens in which numbers, names and units are typed
 placeholders. Windows of tokens are hashed and joined; matching windows in step form an alignment of a
 text with an item. An alignment counts if it covers enough of the item and if its slots are consistent:
-within it, one filler of the item always stands for the same filler of the text and the other way round,
-and fillers keep their type. So an item is found verbatim, and with other numbers, names or units. A
+within it, one name or unit of the item always stands for the same one of the text and the other way round,
+and fillers keep their type. Of numbers, the largest consistent part counts as covered. So an item is found verbatim, and with other numbers, names or units. A
 window that is mostly placeholders matches verbatim only.
 
 The benchmark's windows are looked up in memory of every task while they are few (their number is
@@ -14,6 +14,8 @@ same matches.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -195,21 +197,30 @@ def _hits(index: dict[int, np.ndarray]):
     return run
 
 
-def consistent(item: Tokens, text: Tokens, i0: int, t0: int, cover: np.ndarray) -> bool:
-    """Whether the slots under an alignment map one to one and keep their kinds.
+def consistent(item: Tokens, text: Tokens, i0: int, t0: int, cover: np.ndarray) -> np.ndarray:
+    """The covered tokens of an alignment whose slots map one to one and keep their kinds.
 
-    ``cover`` are the covered tokens of the item; token k of it lies over token t0 + k of the text.
+    ``cover`` are the covered tokens of the item; token k of it lies over token t0 + k of the text. Names and
+    units must all be consistent, else none is left. Numbers may coincide or fall apart in another version of
+    an item, so the pairs of numbers that agree most often count, and the others are not covered.
     """
     i, t = i0 + cover, t0 + cover
-    slot = item.kind[i] != LITERAL
+    none = cover[:0]
     if not (item.kind[i] == text.kind[t]).all():
-        return False
+        return none
+    slot = item.kind[i] != LITERAL
+    pairs = Counter(zip(item.kind[i][slot].tolist(), item.filler[i][slot].tolist(), text.filler[t][slot].tolist()))
     there: dict = {}
     back: dict = {}
-    for kind, x, y in zip(item.kind[i][slot].tolist(), item.filler[i][slot].tolist(), text.filler[t][slot].tolist()):
-        if there.setdefault((kind, x), y) != y or back.setdefault((kind, y), x) != x:
-            return False
-    return True
+    for (kind, x, y), _ in pairs.most_common():
+        if (kind, x) in there or (kind, y) in back:
+            if kind != NUMBER:
+                return none
+            continue
+        there[kind, x], back[kind, y] = y, x
+    stays = [kind == LITERAL or there.get((kind, x)) == y for kind, x, y in zip(
+        item.kind[i].tolist(), item.filler[i].tolist(), text.filler[t].tolist())]
+    return cover[np.array(stays, bool)]
 
 
 def _checked(covered: float):
@@ -230,9 +241,9 @@ def _checked(covered: float):
                 mask[p:p + n] = True
             cover = np.flatnonzero(mask)
             i0, t0 = int(items.first[k]), int(texts.first[k] + shift[a])
-            share.append(len(cover) / size)
             exact.append(bool((items.filler[i0 + cover] == texts.filler[t0 + cover]).all()))
-            good.append(share[-1] >= covered and consistent(items, texts, i0, t0, cover))
+            share.append(len(consistent(items, texts, i0, t0, cover)) / size)
+            good.append(share[-1] >= covered)
         return pa.table({
             "print": table.column("print").take(pa.array(starts)), "item": table.column("item").take(pa.array(starts)),
             "share": share, "exact": exact, "good": good})

@@ -49,6 +49,12 @@ def test_items_dense_in_slots_are_found_verbatim(spark):
     assert found(spark, rows, items, lookup_windows=0) == expected
 
 
+def test_numbers_that_coincide_or_fall_apart(spark):
+    item = "A box holds 12 red balls and 12 blue balls so how many of the 30 places stay free"
+    rows = [(1, item.replace("30", "12")), (2, item.replace("12", "14", 1)), (3, item.replace("12", "30"))]
+    assert found(spark, rows, [(1, item)]) == [(1, 1, 1, False), (2, 1, 1, False), (3, 1, 1, False)]
+
+
 def test_query_finds_the_planted_items(spark):
     sf = "/root/testdata/sf0.01"
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
