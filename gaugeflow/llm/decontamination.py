@@ -5,7 +5,8 @@ placeholders. Windows of tokens are hashed and joined; matching windows in step
 text with an item. An alignment counts if it covers enough of the item and if its slots are consistent:
 within it, one name or unit of the item always stands for the same one of the text and the other way round,
 and fillers keep their type. Of numbers, the largest consistent part counts as covered. So an item is found verbatim, and with other numbers, names or units. A
-window that is mostly placeholders matches verbatim only.
+window that is mostly placeholders matches verbatim only, in any letter case; an alignment counts if capitals
+differ where sentences open or where the text has names in small letters, but not if the text has capitals else.
 
 The benchmark's windows are looked up in memory of every task while they are few (their number is
 counted); beyond that Spark joins the windows of texts and items by their hashes. Both ways give the
@@ -28,8 +29,8 @@ from gaugeflow.llm.toxicity import lowered
 
 # Tokens of a window; items with fewer tokens are matched whole.
 WINDOW = 8
-# Placeholders the template of a window may hold at most, so that it says something; a window with more
-# of them matches its very words only.
+# Placeholders the template of a window may hold at most, so that it says something. Every window matches by
+# its very words too.
 MOST_SLOTS = WINDOW // 2
 # Share of an item's tokens that an alignment must cover, and fewest tokens.
 COVERED = 0.5
@@ -45,6 +46,16 @@ UNITS = """
     cents mph kmh degrees celsius fahrenheit watt watts kw kwh volt volts hz khz mhz ghz kb mb gb tb
 """.split()
 
+# Words that open a sentence without being a name.
+OPENERS = """
+    a about after all also although an and another any are as at be because been before between both but by can
+    calculate compute consider could describe determine did do does during each either every explain few find first
+    for from give given had has have he her here his how however i if in into is it its let list many may might more
+    most must my name no not now of often on once one only or our over prove select she should show since so solve
+    some state such suppose than that the their then there these they this those though through to under until up
+    use was we were what when where whether which while who whom whose why will with without would write yes you your
+""".split()
+
 _STRIP = np.zeros(256, bool)
 _STRIP[[ord(c) for c in "\"'()[]{}<>.,;:!?*|#&$"]] = True
 _DIGIT = np.zeros(256, bool)
@@ -81,7 +92,12 @@ class Tokens:
         self.first = np.searchsorted(rows, np.arange(len(texts) + 1))
         self.filler = word_hashes(low, a, b, 71, powers) if len(a) else np.zeros(0, np.uint64)
         self.kind = _kinds(data, low, a, b, begins, rows, self.filler, powers)
-        self.canon = np.where(self.kind == LITERAL, self.filler, _PLACE[self.kind])
+        self.begins = begins
+        # Words that may be names though they open a sentence.
+        self.opener = np.zeros(len(a), bool)
+        if len(a):
+            self.opener = begins & (self.kind == LITERAL) & _upper(data, low, a) & ~np.isin(
+                self.filler, _hashes(OPENERS, powers))
 
 
 def _after_line_end(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -102,6 +118,18 @@ def _stripped(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
     return inner[np.minimum(left, len(inner) - 1)], np.where(right >= left, inner[right] + 1, 0)
 
 
+def _upper(data: np.ndarray, low: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Whether the words that start at ``a`` have a capital first."""
+    upper = low[a] != data[a]
+    return upper | (data[a] == 0xC3) & (low[np.minimum(a + 1, len(low) - 1)] != data[np.minimum(a + 1, len(data) - 1)])
+
+
+def _hashes(words: list[str], powers: Powers) -> np.ndarray:
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    s, e, _ = word_spans(raw, np.array([0, len(raw)]))
+    return np.sort(word_hashes(raw, s, e, 71, powers))
+
+
 def _kinds(data, low, a, b, begins, rows, filler, powers) -> np.ndarray:
     kind = np.zeros(len(a), np.int64)
     if not len(a):
@@ -109,12 +137,8 @@ def _kinds(data, low, a, b, begins, rows, filler, powers) -> np.ndarray:
     digits, numeric = (np.concatenate(([0], np.cumsum(x[data]))) for x in (_DIGIT, _NUMERIC))
     sized = b - a
     number = (digits[b] > digits[a]) & (numeric[b] - numeric[a] == sized) & _DIGIT[data[np.minimum(a + (data[a] < 48), b - 1)]]
-    upper = low[a] != data[a]
-    upper |= (data[a] == 0xC3) & (low[np.minimum(a + 1, len(low) - 1)] != data[np.minimum(a + 1, len(data) - 1)])
-    joined = " ".join(UNITS).encode()
-    raw = np.frombuffer(joined, np.uint8)
-    s, e, _ = word_spans(raw, np.array([0, len(raw)]))
-    units = np.sort(word_hashes(raw, s, e, 71, powers))
+    upper = _upper(data, low, a)
+    units = _hashes(UNITS, powers)
     after = np.zeros(len(a), bool)
     after[1:] = number[:-1] & (rows[1:] == rows[:-1])
     kind[upper & ~begins] = NAME
@@ -124,15 +148,21 @@ def _kinds(data, low, a, b, begins, rows, filler, powers) -> np.ndarray:
 
 
 def _windows(tokens: Tokens, length: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first token of every window: of its template, or of its very words where it has so many
-    placeholders that the template says little."""
-    hashes, at = window_hashes(tokens.canon, tokens.first, length, powers)
-    slots = np.concatenate(([0], np.cumsum(tokens.kind != LITERAL)))
-    dense = slots[at + length] - slots[at] > length * MOST_SLOTS // WINDOW
-    if dense.any():
-        words, _ = window_hashes(tokens.filler, tokens.first, length, powers)
-        hashes = np.where(dense, mix(words ^ _VERBATIM), hashes)
-    return hashes, at
+    """Hash and first token of every window: of its very words in small letters, and of its templates that
+    have few enough placeholders: as its names are told, and with words that open a sentence as names."""
+    words, at = window_hashes(tokens.filler, tokens.first, length, powers)
+    hashes, places = [mix(words ^ _VERBATIM)], [at]
+    opened = np.where(tokens.opener, NAME, tokens.kind)
+    for kind in (tokens.kind, opened):
+        canon, _ = window_hashes(np.where(kind == LITERAL, tokens.filler, _PLACE[kind]), tokens.first, length, powers)
+        slots = np.concatenate(([0], np.cumsum(kind != LITERAL)))
+        use = slots[at + length] - slots[at] <= length * MOST_SLOTS // WINDOW
+        if kind is opened:
+            new = np.concatenate(([0], np.cumsum(tokens.opener)))
+            use &= new[at + length] > new[at]
+        hashes.append(canon[use])
+        places.append(at[use])
+    return np.concatenate(hashes), np.concatenate(places)
 
 
 def _item_windows(batches):
@@ -206,10 +236,15 @@ def consistent(item: Tokens, text: Tokens, i0: int, t0: int, cover: np.ndarray)
     """
     i, t = i0 + cover, t0 + cover
     none = cover[:0]
-    if not (item.kind[i] == text.kind[t]).all():
+    same, ik, tk = item.filler[i] == text.filler[t], item.kind[i], text.kind[t]
+    # A name keeps its kind in small letters, and any word where a sentence opens in one of the two.
+    alike = (ik == tk) & ((ik != LITERAL) | same) | same & ((ik == NAME) | item.begins[i] | text.begins[t])
+    alike |= ((ik == NAME) | item.opener[i]) & ((tk == NAME) | text.opener[t])
+    if not alike.all():
         return none
-    slot = item.kind[i] != LITERAL
-    pairs = Counter(zip(item.kind[i][slot].tolist(), item.filler[i][slot].tolist(), text.filler[t][slot].tolist()))
+    slot = (ik != LITERAL) | ~same
+    kinds = np.where(slot & (ik == LITERAL), NAME, ik)
+    pairs = Counter(zip(kinds[slot].tolist(), item.filler[i][slot].tolist(), text.filler[t][slot].tolist()))
     there: dict = {}
     back: dict = {}
     for (kind, x, y), _ in pairs.most_common():
@@ -219,7 +254,7 @@ def consistent(item: Tokens, text: Tokens, i0: int, t0: int, cover: np.ndarray)
             continue
         there[kind, x], back[kind, y] = y, x
     stays = [kind == LITERAL or there.get((kind, x)) == y for kind, x, y in zip(
-        item.kind[i].tolist(), item.filler[i].tolist(), text.filler[t].tolist())]
+        kinds.tolist(), item.filler[i].tolist(), text.filler[t].tolist())]
     return cover[np.array(stays, bool)]
 
 

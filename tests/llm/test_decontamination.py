@@ -55,6 +55,19 @@ def test_numbers_that_coincide_or_fall_apart(spark):
     assert found(spark, rows, [(1, item)]) == [(1, 1, 1, False), (2, 1, 1, False), (3, 1, 1, False)]
 
 
+def test_small_letters_and_openings(spark):
+    apples = "Tom has 5 apples and eats 2"
+    pasted = "Red foxes cross the frozen river"
+    items = [(1, ITEM), (2, apples), (3, pasted)]
+    rows = [(1, FILL + ITEM.lower()), (2, FILL + ". Peter has 7 apples and eats 3."),
+            (3, FILL + "where Peter has 7 apples and eats 3."), (4, FILL + "Red foxes cross the frozen river " + FILL),
+            (5, FILL + ". The has 7 apples and eats 3."), (6, FILL + ". Blue foxes cross a frozen river")]
+    expected = [(1, 1, 1, True), (2, 1, 2, False), (3, 1, 2, False), (4, 1, 3, True), (5, 0, None, False),
+                (6, 0, None, False)]
+    assert found(spark, rows, items) == expected
+    assert found(spark, rows, items, lookup_windows=0) == expected
+
+
 def test_query_finds_the_planted_items(spark):
     sf = "/root/testdata/sf0.01"
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
