@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeflow.llm import (
+    audit,
     decontamination,
     jaccard,
     mixing,
+    onehash,
     pii,
     preferences,
     quality,
+    resampling,
     revisits,
     substrings,
     toxicity,
@@ -205,3 +208,77 @@ def op9_quality(spark, sf):
 @query
 def op10_jaccard_join(spark, sf):
     return jaccard.similar_groups(table(spark, sf, "documents"))
+
+
+@query
+def op11_importance_resampling(spark, sf):
+    return resampling.importance_sample(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op12_minhash_dedup(spark, sf):
+    return onehash.near_duplicates(table(spark, sf, "documents"))
+
+
+ORACLES["op12_minhash_dedup"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+           ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s
+    FROM words),
+classes AS (SELECT s, min(doc_id) AS node, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+shingles AS (SELECT node, n, unnest(s) AS shingle FROM classes),
+common AS (
+    SELECT a.node AS a, b.node AS b, count(*) AS both_have, any_value(a.n) AS an, any_value(b.n) AS bn
+    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.node < b.node
+         AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.node, b.node),
+links AS (SELECT a, b FROM common WHERE 100 * both_have >= 80 * (an + bn - both_have)),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(node, other) AS (SELECT node, node FROM classes UNION SELECT r.node, s.b FROM reach r JOIN sides s ON r.other = s.a),
+component AS (SELECT node, min(other) AS low FROM reach GROUP BY node)
+SELECT x.doc_id, len(x.s)::BIGINT AS n_shingles, coalesce(m.low, x.doc_id) AS component_id,
+       x.doc_id = coalesce(m.low, x.doc_id) AS kept
+FROM sets x LEFT JOIN classes c ON c.s = x.s LEFT JOIN component m ON m.node = c.node
+"""
+
+
+@query
+def op13_filter_audit(spark, sf):
+    return audit.audit_filters(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+ORACLES["op13_filter_audit"] = r"""
+WITH RECURSIVE texts AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS low FROM texts),
+fails AS (
+    SELECT doc_id, part, concat(
+        CASE WHEN len(w) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' END,
+        CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' END,
+        CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > low THEN 'E' END) AS failed FROM words),
+marks AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic
+          FROM labels GROUP BY doc_id),
+counted AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x
+            FROM fails LEFT JOIN marks USING (doc_id) GROUP BY part, failed),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter),
+orders(filter_order) AS (SELECT '' UNION ALL SELECT filter_order || letter FROM orders, letters WHERE NOT contains(filter_order, letter)),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders WHERE length(filter_order) = 5),
+each AS (
+    SELECT c.*, s.filter_order, s.step, substr(s.filter_order, s.step, 1) AS letter,
+           contains(failed, substr(s.filter_order, s.step, 1)) AS here,
+           regexp_matches(substr(s.filter_order, 1, s.step - 1), '[' || failed || 'x]') AS earlier
+    FROM counted c, steps s),
+summed AS (
+    SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT here AND NOT earlier), 0) AS kept,
+           coalesce(sum(n) FILTER (here AND NOT earlier), 0) AS removed, coalesce(sum(n) FILTER (here AND earlier), 0) AS redundant,
+           coalesce(sum(n) FILTER (failed = letter), 0) AS unique_fails,
+           coalesce(sum(g) FILTER (here AND NOT earlier), 0) AS good_lost,
+           coalesce(sum(x) FILTER (here AND NOT earlier), 0) AS toxic_lost
+    FROM each GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley
+FROM summed
+"""

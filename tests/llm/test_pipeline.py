@@ -7,7 +7,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_registered():
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in entry.queries()) == 1
 
 
