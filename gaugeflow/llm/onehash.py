@@ -5,7 +5,8 @@
   random bins meets, so that texts with few shingles still agree bin by bin as often as they are similar.
 * Texts with equal shingle sets are one class. Classes that agree on all bins of a band share a bucket. A
   bucket becomes a star: an edge from its least class to every other, never all its pairs.
-* Edges whose sizes or signatures rule out a link go; the rest are confirmed on the full sets.
+* Edges whose sizes or signatures rule out a link go; the rest are confirmed on the full sets. Each class's edge to
+  the least centre it meets comes first; of the others only those between components are left to test.
 * What stars leave open is settled exactly: in a bucket whose classes are not yet connected, blocks of classes
   are compared by signature, and what may be linked is verified on full sets in blocks of bounded bytes. Only
   pairs of different components are looked at, and only links that connect something leave a task.
@@ -219,14 +220,15 @@ def _full_sets(signed: DataFrame, classes: DataFrame, nodes: DataFrame, size: in
         run, "node BIGINT, shingles ARRAY<BIGINT>")
 
 
-def _star_links(signed: DataFrame, classes: DataFrame, buckets: DataFrame, percent: int, size: int, bins: int) -> DataFrame:
-    """Links (a, b) between the least class of a bucket and the others, confirmed on full sets."""
-    edges = buckets.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+def _confirmed(edges: DataFrame, signed: DataFrame, classes: DataFrame, percent: int, size: int, bins: int) -> DataFrame:
+    """Those of the edges (a, b) that are links: first by sizes and signatures, then on full sets."""
     sides = {s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("code").alias(f"c{s}"))
              for s in "ab"}
-    stars, _ = stored(
+    stars, seen = stored(
         edges.join(sides["a"], "a").join(sides["b"], "b").mapInArrow(_possible(percent, bins), "a BIGINT, b BIGINT"),
         "stars")
+    if not seen["rows"]:
+        return stars
     ends = stars.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets, _ = stored(_full_sets(signed, classes, ends, size), "sets")
     whole = stars
@@ -237,12 +239,25 @@ def _star_links(signed: DataFrame, classes: DataFrame, buckets: DataFrame, perce
         F.col("both") * 100 >= F.col("either") * percent).select("a", "b")
 
 
+def _merged(named: DataFrame, links: DataFrame) -> DataFrame:
+    """``named`` (node, component) after further links (a, b). The graph of its components is what is
+    connected, so the many links between two components count once."""
+    pairs = links
+    for side in "ab":
+        pairs = pairs.join(named.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side)
+    pairs, seen = stored(pairs.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "pairs")
+    if not seen["rows"]:
+        return named
+    moved = components(pairs).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return stored(named.join(moved, "component", "left").select(
+        "node", F.coalesce("joined", "component").alias("component")), "named")[0]
+
+
 def _open_links(signed: DataFrame, classes: DataFrame, buckets: DataFrame, named: DataFrame, percent: int, size: int,
                 bins: int) -> DataFrame | None:
     """Links across components inside buckets, beyond the stars; None if there is nothing to compare."""
     # All pairs with a bucket's centre are settled.
-    rest = buckets.where("size > 2 AND node <> centre").select("key", "node").join(named, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component"))
+    rest = buckets.where("size > 2 AND node <> centre").select("key", "node").join(named, "node")
     split = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"),
                                     F.max("component").alias("most")).where("least < most").select("key", "size")
     rest, seen = stored(rest.join(split, "key"), "rest")
@@ -257,8 +272,7 @@ def _open_links(signed: DataFrame, classes: DataFrame, buckets: DataFrame, named
         return None
     grouped = components(likely).withColumnRenamed("component", "component_group")
     members, _ = stored(
-        grouped.join(classes.select("node", "n", "code"), "node").join(named, "node", "left")
-        .withColumn("component", F.coalesce("component", "node")), "members")
+        grouped.join(classes.select("node", "n", "code"), "node").join(named, "node"), "members")
     sizes = members.groupBy("component_group").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("many"))
     sets = _full_sets(signed, classes, members.select("node"), size)
@@ -293,15 +307,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     ends = classes.select("node", F.explode("keys").alias("key"))
     met = ends.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     buckets, _ = stored(ends.join(met, "key"), "buckets")
-    links, seen = stored(_star_links(signed, classes, buckets, percent, size, bins), "links")
-    named, _ = stored(components(links), "named")
+    arms = buckets.where("node <> centre").select("node", "centre")
+    # One edge of each class first, to the least centre it meets. That connects most of what belongs together,
+    # and of the other edges only those between different components are left to test.
+    first, _ = stored(arms.groupBy("node").agg(F.min("centre").alias("tested")), "first")
+    named = classes.select("node", F.col("node").alias("component"))
+    named = _merged(named, _confirmed(
+        first.select(F.col("node").alias("a"), F.col("tested").alias("b")), signed, classes, percent, size, bins))
+    other = arms.join(first, "node").where("centre <> tested").select("node", "centre").distinct().join(named, "node").join(
+        named.select(F.col("node").alias("centre"), F.col("component").alias("theirs")), "centre").where(
+        "component <> theirs").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    named = _merged(named, _confirmed(other, signed, classes, percent, size, bins))
     more = _open_links(signed, classes, buckets, named, percent, size, bins)
     if more is not None:
-        more, seen = stored(more, "links")
-        if seen["rows"]:
-            named, _ = stored(components(links.unionByName(more)), "named")
-    labelled = classes.select("node", "high", "low", "least").join(named, "node", "left").withColumn(
-        "component", F.coalesce("component", "node"))
+        named = _merged(named, more)
+    labelled = classes.select("node", "high", "low", "least").join(named, "node")
     least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     info = labelled.select("high", "low", "component").join(least, "component").select("high", "low", "component_id")
     found = signed.where("n > 0").select("doc_id", "n", "high", "low").join(info, ["high", "low"], "left")
