@@ -160,17 +160,23 @@ def _open_pairs(column: dict, code: np.ndarray, first: np.ndarray, percent: int,
 
 
 def _likely(percent: int, bins: int):
-    """In blocks of a bucket: edges that connect all classes which may be linked across components."""
+    """In blocks of a bucket: the classes that may be linked across components (``node``), and edges (a, b)
+    that connect the components concerned, a forest of them."""
 
     def compute(table: pa.Table, first: np.ndarray) -> pa.Table:
         column = {c: table.column(c).to_numpy() for c in ("i", "j", "own", "node", "n", "component")}
-        # Here all pairs of different components count, connected by a likely edge or not: a forest of them.
-        joined = _Joined(np.arange(len(first)))
+        met, joined = np.zeros(len(first), bool), _Joined(column["component"])
         for x, near in _open_pairs(column, _codes(table.column("code"), bins), first, percent,
                                    lambda: column["component"]):
+            met[x] = True
+            met[near] = True
             joined.link(x, near)
-        return pa.table({"a": column["node"][joined.left], "b": column["node"][joined.right]},
-                        schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        none = [None] * len(joined.left)
+        nodes = np.unique(column["node"][met])
+        return pa.table({
+            "node": pa.array([*nodes.tolist(), *none], pa.int64()),
+            "a": pa.array([None] * len(nodes) + column["component"][joined.left].tolist(), pa.int64()),
+            "b": pa.array([None] * len(nodes) + column["component"][joined.right].tolist(), pa.int64())})
 
     return gathered(compute, ("key", "i", "j"), 8 << 20)
 
@@ -267,12 +273,14 @@ def _open_links(signed: DataFrame, classes: DataFrame, buckets: DataFrame, named
     likely, seen = stored(
         _in_blocks(rest.join(classes.select("node", "n", "code"), "node"), F.ceil(F.col("size") / BLOCK))
         .select("key", *columns).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
-        .mapInArrow(_likely(percent, bins), "a BIGINT, b BIGINT"), "likely")
+        .mapInArrow(_likely(percent, bins), "node BIGINT, a BIGINT, b BIGINT"), "likely")
     if not seen["rows"]:
         return None
-    grouped = components(likely).withColumnRenamed("component", "component_group")
+    groups = components(likely.where("a IS NOT NULL").select("a", "b").distinct()).select(
+        F.col("node").alias("component"), F.col("component").alias("component_group"))
     members, _ = stored(
-        grouped.join(classes.select("node", "n", "code"), "node").join(named, "node"), "members")
+        likely.where("node IS NOT NULL").select("node").distinct().join(named, "node").join(groups, "component")
+        .join(classes.select("node", "n", "code"), "node"), "members")
     sizes = members.groupBy("component_group").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).alias("many"))
     sets = _full_sets(signed, classes, members.select("node"), size)
