@@ -25,11 +25,6 @@ from gaugeflow.session import lookup_table, materialize, measured
 PROMINENCE = 5.0
 DISTANCE = 20
 
-# Groups of chunks are this many times larger at each further level of the prominence search.
-FANOUT = 1024
-# The records of a series are searched in one task only up to this many.
-MAX_RECORDS = 2_000_000
-
 # Zones of the distance rule grow up to this many samples from round to round.
 MAX_ZONE = 4_194_304
 
@@ -267,40 +262,37 @@ def min_distance(peaks: DataFrame, distance: int = DISTANCE, rows: int = CHUNK_R
 
 def _look_left(height: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each sample the minimum back to the last strictly higher one of its group, and whether
-    there was none. A stack of falling heights, cleared at every group start."""
-    lowest = height.copy()
-    open_end = np.zeros(len(height), dtype=bool)
-    values = height.tolist()
-    low = values[:]
-    begins = starts.tolist()
-    stack: list[int] = []
-    for i, h in enumerate(values):
-        if begins[i]:
-            stack.clear()
-        floor = h
-        while stack and values[stack[-1]] <= h:
-            floor = min(floor, low[stack.pop()])
-        low[i] = floor
-        open_end[i] = not stack
-        stack.append(i)
-    lowest[:] = low
-    return lowest, open_end
+    there was none.
+
+    Every sample points to the one before what it has seen, and jumps on over what that one has
+    seen while it is not higher; all samples jump at once.
+    """
+    low = height.copy()
+    back = np.arange(len(height)) - 1
+    back[starts] = -1
+    moving = np.flatnonzero(back >= 0)
+    while len(moving):
+        onto = back[moving]
+        passes = height[onto] <= height[moving]
+        moving, onto = moving[passes], onto[passes]
+        low[moving], back[moving] = np.minimum(low[moving], low[onto]), back[onto]
+        moving = moving[back[moving] >= 0]
+    return low, back < 0
 
 
 def _records(height: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Samples strictly higher than all earlier ones of their group."""
-    record = np.zeros(len(height), dtype=bool)
-    best = -np.inf
-    begins = starts.tolist()
-    for i, h in enumerate(height.tolist()):
-        if begins[i] or h > best:
-            record[i], best = True, h
+    rank = np.unique(height, return_inverse=True)[1]
+    # Every group's ranks lie above those of the groups before it.
+    key = rank + (np.cumsum(starts) - 1) * (len(height) + 1)
+    record = np.ones(len(height), dtype=bool)
+    record[1:] = key[1:] > np.maximum.accumulate(key)[:-1]
     return record
 
 
 def _scan_groups(table: pa.Table, first: np.ndarray) -> pa.Table:
-    """Valley floors of the queried samples inside their group, and the group's summary: records
-    from both sides with the lowest sample between any two of them."""
+    """Valley floors of the queried samples inside their part, and the part's summary: its records
+    from both sides and its lowest sample."""
     height = table.column("height").to_numpy()
     ends = np.concatenate((first[1:], [True]))
     left, left_open = _look_left(height, first)
@@ -310,13 +302,10 @@ def _scan_groups(table: pa.Table, first: np.ndarray) -> pa.Table:
     from_right = _records(height[::-1], ends[::-1])[::-1]
 
     keep = from_left | from_right
-    kept = np.flatnonzero(keep)
-    gap = np.cumsum(keep) - 1
-    inner = np.flatnonzero(~keep)
-    lowest = inner[np.lexsort((height[inner], gap[inner]))]
-    valleys = lowest[np.concatenate(([True], np.diff(gap[lowest]) != 0))] if len(lowest) else lowest
+    lowest = np.lexsort((height, np.cumsum(first)))[np.flatnonzero(first)]
+    keep[lowest] = True
+    summary = np.flatnonzero(keep)
     queried = np.flatnonzero(table.column("query").to_numpy(zero_copy_only=False))
-    summary = np.sort(np.concatenate((kept, valleys)))
     rows = np.concatenate((queried, summary))
     is_query = np.concatenate((np.ones(len(queried), bool), np.zeros(len(summary), bool)))
     out = table.select(["series", "sign", "part", "pos", "tag", "height"]).take(pa.array(rows))
@@ -335,41 +324,188 @@ _SCAN_SCHEMA = (
     "from_left BOOLEAN, from_right BOOLEAN"
 )
 
+# What a part sees to one side: ``target``, the first part that holds anything higher than a height
+# from ``above`` on and below the target's ``top``; ``floor``, the lowest sample of the parts between;
+# no target for heights that nothing on that side exceeds. ``own_top`` is the part's own highest sample.
+_SIGHT_SCHEMA = (
+    "series STRING, sign INT, side INT, part BIGINT, target BIGINT, above DOUBLE, top DOUBLE, "
+    "floor DOUBLE, own_top DOUBLE"
+)
+_SIGHT_BATCH = 10_000
+
+
+def _sights(batches):
+    """Sights of every part from one row per part, in the order of looking (sides apart).
+
+    A stack of parts with falling tops. A part sees those that it takes off the stack, and the first
+    that is higher than itself; each part is taken off once, so there are two sights per part and side
+    at most, whatever the series looks like. Only the stack is held.
+    """
+    names = ["series", "sign", "side", "part", "target", "above", "top", "floor", "own_top"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 4]
+    now, stack, out = None, [], []
+
+    def flushed():
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(values), kind) for values, kind in zip(zip(*out), types)], names)
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("series", "sign", "side", "part", "top", "low")]
+        for *key, part, top, low in zip(*columns):
+            if key != now:
+                now, stack = key, []
+            above, floor = -np.inf, np.inf
+            while stack:
+                target, target_top, target_low = stack[-1]
+                out.append((*key, part, target, above, target_top, floor, top))
+                if target_top > top:
+                    break
+                above, floor = max(above, target_top), min(floor, target_low)
+                stack.pop()
+            else:
+                out.append((*key, part, None, above, np.inf, floor, top))
+            stack.append((part, top, min(low, floor)))
+            if len(out) >= _SIGHT_BATCH:
+                yield flushed()
+                out = []
+    if out:
+        yield flushed()
+
+
+QUERY, RECORD, SEES, SEEN = 0, 1, 2, 3
+
+_MEETING_SCHEMA = (
+    "series STRING, sign INT, side INT, part BIGINT, target BIGINT, role INT, pos BIGINT, tag BIGINT, "
+    "height DOUBLE, floor DOUBLE"
+)
+
+
+def _meetings(table: pa.Table, first: np.ndarray) -> pa.Table:
+    """Send the open samples of each part, and the records of each part that is seen, to where they meet.
+
+    Groups are (series, sign, side, here). The height ranges in which different parts see the same
+    target do not overlap, so a record is sent once, but for one more at the end of each range.
+    """
+    role, height, floor, above, top, own_top = (
+        table.column(c).to_numpy() for c in ("role", "height", "floor", "above", "top", "own_top"))
+    rows, parts, targets, floors = [], [], [], []
+    here = table.column("here").to_numpy()
+    other = table.column("other")
+    none = other.is_null().to_numpy()
+    other = other.fill_null(-1).to_numpy()
+    starts = np.flatnonzero(first)
+    for a, b in zip(starts, np.append(starts[1:], len(first))):
+        kinds = role[a:b]
+        asked, record, sees, seen = (np.flatnonzero(kinds == k) + a for k in (QUERY, RECORD, SEES, SEEN))
+        if len(asked):
+            sees = sees[np.argsort(top[sees], kind="stable")]
+            sight = sees[np.searchsorted(top[sees], height[asked], "right")]
+            rows.append(asked)
+            parts.append(here[asked])
+            targets.append(np.where(none[sight], -1, other[sight]))
+            floors.append(floor[sight])
+        if len(record) and len(seen):
+            record = record[np.argsort(height[record], kind="stable")]
+            low = np.searchsorted(height[record], above[seen], "right")
+            high = np.minimum(np.searchsorted(height[record], own_top[seen], "right") + 1, len(record))
+            count = np.maximum(high - low, 0)
+            at = np.arange(count.sum()) + np.repeat(low - (np.cumsum(count) - count), count)
+            rows.append(record[at])
+            parts.append(np.repeat(other[seen], count))
+            targets.append(here[record[at]])
+            floors.append(floor[record[at]])
+    rows, parts, targets = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, parts, targets))
+    out = table.select(["series", "sign", "side"]).take(pa.array(rows))
+    for name, values in (("part", pa.array(parts, pa.int64())), ("target", pa.array(targets, pa.int64(), mask=targets < 0))):
+        out = out.append_column(name, values)
+    for name in ("role", "pos", "tag", "height"):
+        out = out.append_column(name, table.column(name).take(pa.array(rows)))
+    return out.append_column("floor", pa.array(np.concatenate(floors) if floors else np.zeros(0), pa.float64()))
+
+
+def _met(table: pa.Table, first: np.ndarray) -> pa.Table:
+    """Floors of open samples up to the last higher sample of the part that they see."""
+    height, floor = table.column("height").to_numpy(), table.column("floor").to_numpy().copy()
+    asked = table.column("role").to_numpy() == QUERY
+    starts = np.flatnonzero(first)
+    for a, b in zip(starts, np.append(starts[1:], len(first))):
+        own = np.flatnonzero(asked[a:b]) + a
+        records = np.flatnonzero(~asked[a:b]) + a
+        if len(own) and len(records):
+            records = records[np.argsort(height[records], kind="stable")]
+            last = records[np.searchsorted(height[records], height[own], "right")]
+            floor[own] = np.minimum(floor[own], floor[last])
+    out = table.select(["series", "sign", "side", "pos", "tag"]).filter(pa.array(asked))
+    return out.append_column("floor", pa.array(floor[asked]))
+
+
+def _beyond(scanned: DataFrame) -> DataFrame:
+    """Meetings of open samples and records, one group for each pair of parts that see each other:
+    (series, sign, side, part, target) with at most two parts' rows each."""
+    key = ["series", "sign", "side"]
+    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("side")
+    extents = scanned.where("NOT query").groupBy("series", "sign", "part").agg(
+        F.max("height").alias("top"), F.min("height").alias("low")).select("*", sides)
+    # The right side is looked at from the last part to the first.
+    looking = F.when(F.col("side") == 0, F.col("part")).otherwise(-F.col("part"))
+    sights = materialize(
+        extents.repartition(*key).withColumn("order", looking).sortWithinPartitions(*key, "order")
+        .mapInArrow(_sights, _SIGHT_SCHEMA), "sights")
+
+    def rows(df: DataFrame, role: int, here: str, other, **columns) -> DataFrame:
+        given = {"pos": "bigint", "tag": "bigint", "height": "double", "floor": "double",
+                 "above": "double", "top": "double", "own_top": "double"}
+        return df.select(
+            *key, F.col(here).alias("here"), other.cast("bigint").alias("other"), F.lit(role).alias("role"),
+            *[columns.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in given.items()])
+
+    nothing, c = F.lit(None), F.col
+    parts = []
+    for side, (towards, back, back_floor) in enumerate(
+            (("left_open", "from_right", "right"), ("right_open", "from_left", "left"))):
+        sided = scanned.withColumn("side", F.lit(side))
+        parts.append(rows(sided.where(c("query") & c(towards)), QUERY, "part", nothing,
+                          pos=c("pos"), tag=c("tag"), height=c("height")))
+        parts.append(rows(sided.where(~c("query") & c(back)), RECORD, "part", nothing,
+                          pos=c("pos"), height=c("height"), floor=c(back_floor)))
+    bounds = {name: c(name) for name in ("above", "top", "own_top", "floor")}
+    parts.append(rows(sights, SEES, "part", c("target"), **bounds))
+    parts.append(rows(sights.where("target IS NOT NULL"), SEEN, "target", c("part"), **bounds))
+    together = parts[0]
+    for more in parts[1:]:
+        together = together.unionByName(more)
+    return (
+        together.repartition(*key, "here").sortWithinPartitions(*key, "here")
+        .mapInArrow(over_groups(_meetings, (*key, "here")), _MEETING_SCHEMA))
+
 
 def _floors(samples: DataFrame) -> DataFrame:
     """Valley floors (``left``, ``right``) of the queried samples over the whole series.
 
     ``samples`` has series, sign, part, pos, tag, height and query. Each part is scanned alone. A
-    sample that is open to a side is at least as high as everything on that side of its part, so
-    what lies beyond depends on its height only, and the part's record of that height stands for
-    it. Records and the valleys between them are scanned again in larger parts, until a part is a
-    whole series.
+    sample that is open to a side is at least as high as everything on that side of its part. From
+    one row per part (its highest and lowest sample) it is known which other part ends its view, and
+    there only that part's records count, those higher than all that follows in it. So a group
+    never holds more than two parts' rows, even if every sample of the series is a record.
     """
     scanned, seen = measured(
         samples.repartition("series", "sign", "part")
         .sortWithinPartitions("part", "series", "sign", "pos")
         .mapInArrow(over_groups(_scan_groups, ("series", "sign", "part")), _SCAN_SCHEMA), "scan",
-        records=F.count(F.when(~F.col("query"), 1)), last=F.max("part"))
-    asked = scanned.where("query")
-    records = scanned.where("NOT query")
+        last=F.max("part"))
+    asked = scanned.where("query").select("series", "sign", "pos", "tag", "height", "left", "right")
     if not seen["last"]:
-        return asked.select("series", "sign", "pos", "tag", "height", "left", "right")
-    whole = seen["records"] <= MAX_RECORDS or seen["last"] < FANOUT
-    part = F.lit(0).cast("bigint") if whole else floor_div(F.col("part"), FANOUT)
-    flags = F.col("from_left").cast("bigint") * 2 + F.col("from_right").cast("bigint")
-    beyond = _floors(records.select(
-        "series", "sign", part.alias("part"), "pos", (F.col("part") * 4 + flags).alias("tag"),
-        "height", (F.col("from_left") | F.col("from_right")).alias("query")))
-    outer = beyond.select("series", "sign", F.expr("tag div 4").alias("part"), "height",
-                          F.expr("(tag & 2) <> 0").alias("from_left"),
-                          F.expr("(tag & 1) <> 0").alias("from_right"), "left", "right")
-    key = ["series", "sign", "part", "height"]
-    lefts = outer.where("from_left").select(*key, F.col("left").alias("outer_left"))
-    rights = outer.where("from_right").select(*key, F.col("right").alias("outer_right"))
-    return asked.join(lefts, key, "left").join(rights, key, "left").select(
-        "series", "sign", "pos", "tag", "height",
-        F.when(F.col("left_open"), F.least("left", "outer_left")).otherwise(F.col("left")).alias("left"),
-        F.when(F.col("right_open"), F.least("right", "outer_right")).otherwise(F.col("right")).alias("right"))
+        return asked
+    key = ["series", "sign", "side", "part", "target"]
+    outer = (
+        _beyond(scanned).repartition(*key).sortWithinPartitions(*key)
+        .mapInArrow(over_groups(_met, key), "series STRING, sign INT, side INT, pos BIGINT, tag BIGINT, floor DOUBLE"))
+    floor = {name: F.when(F.col("side") == side, F.col("floor")) for side, name in enumerate(("left", "right"))}
+    return asked.unionByName(outer.select(
+        "series", "sign", "pos", "tag", F.lit(None).cast("double").alias("height"),
+        *[column.alias(name) for name, column in floor.items()],
+    )).groupBy("series", "sign", "pos", "tag").agg(
+        F.max("height").alias("height"), F.min("left").alias("left"), F.min("right").alias("right"))
 
 
 def prominences(points: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import brute
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,11 +164,17 @@ def test_extrema_are_brute_force(spark, chunk_rows):
             assert sorted(mine["mid"]) == brute.maxima(list(sign * x)), (name, kind)
 
 
-@pytest.mark.parametrize("records,fanout", [(2_000_000, 1024), (1, 2)])
-def test_prominence_is_brute_force(spark, chunk_rows, monkeypatch, records, fanout):
-    monkeypatch.setattr(extrema, "MAX_RECORDS", records)
-    monkeypatch.setattr(extrema, "FANOUT", fanout)
-    series = random_series(np.random.default_rng(4))
+def test_prominence_is_brute_force(spark, chunk_rows):
+    rng = np.random.default_rng(4)
+    series = random_series(rng)
+    # Views over many parts: rising and falling peaks, a lone top, stairs seen from far, equal tops.
+    teeth = np.tile([0.0, 1.0], 300)
+    series |= {
+        "rising": np.arange(600) + 40 * teeth, "falling": -np.arange(600) + 40 * teeth,
+        "vee": np.abs(np.arange(600) - 300) + 9 * teeth, "roof": -np.abs(np.arange(600) - 300) + 9 * teeth,
+        "stairs": np.where(np.arange(600) == 590, 999.0, 600 - np.arange(600) // 40 * 40) * teeth,
+        "equal": 5 * teeth, "walk": np.cumsum(rng.integers(-5, 6, 600)).astype(float),
+    }
     smooth = smooth_frame(spark, series, chunk_rows)
     got = extrema.prominences(materialize(extrema.turning_points(smooth))).toPandas()
     for name, x in series.items():
@@ -178,6 +185,43 @@ def test_prominence_is_brute_force(spark, chunk_rows, monkeypatch, records, fano
             assert mine["mid"].tolist() == brute.maxima(signed)
 
 
+def sawtooth(spark, peaks):
+    """One series in which every peak is higher, and every valley lower or higher, than all before."""
+    pos = F.col("id")
+    high = F.when(pos % 2 == 1, pos.cast("double")).otherwise(pos.cast("double") - 1.5)
+    return spark.range(2 * peaks).select(
+        F.lit("s").alias("series"), F.lit(1).alias("sign"), chunks.floor_div(pos, chunks.CHUNK_ROWS).alias("part"),
+        pos.alias("pos"), pos.alias("tag"), high.alias("height"), (pos % 2 == 1).alias("query"))
+
+
+def test_rising_peaks_stay_in_bounded_groups(spark):
+    """Every peak is a record of its part and of the series; still no group holds more than two parts."""
+    peaks = 500_000
+    samples = materialize(sawtooth(spark, peaks))
+    floors = extrema._floors(samples)
+    # To the left everything is lower, so the floor is the series' first sample; to the right the next
+    # peak is higher, so it is the valley before that.
+    wrong = floors.where((F.col("left") != -1.5) | (F.col("right") != F.when(
+        F.col("pos") == 2 * peaks - 1, F.col("height")).otherwise(F.col("pos") - 0.5)))
+    assert floors.count() == peaks and wrong.count() == 0
+    scanned = materialize(samples.repartition("series", "sign", "part").sortWithinPartitions(
+        "part", "series", "sign", "pos").mapInArrow(
+        chunks.over_groups(extrema._scan_groups, ("series", "sign", "part")), extrema._SCAN_SCHEMA))
+    met = extrema._beyond(scanned).groupBy("side", "part", "target").count().toPandas()
+    assert met["count"].max() <= 2 * chunks.CHUNK_ROWS
+    assert len(met) > peaks // chunks.CHUNK_ROWS
+
+
+def test_sights_are_two_per_part_and_side():
+    """Whatever the tops, parts are taken off the stack once each."""
+    rng = np.random.default_rng(9)
+    for tops in (np.arange(500.0), -np.arange(500.0), rng.normal(size=500), np.zeros(500), np.append(-np.arange(499.0), 9)):
+        rows = pa.record_batch({
+            "series": ["s"] * 500, "sign": pa.array([1] * 500, pa.int32()), "side": pa.array([0] * 500, pa.int32()),
+            "part": list(range(500)), "top": tops, "low": tops - 1})
+        assert sum(b.num_rows for b in extrema._sights([rows])) <= 2 * 500
+
+
 @pytest.mark.parametrize("rows,halo", [(40, 20), (100, 60), (65_536, 1000)])
 def test_min_distance_is_greedy(spark, rows, halo):
     rng = np.random.default_rng(5)
