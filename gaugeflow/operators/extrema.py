@@ -25,10 +25,13 @@ from gaugeflow.session import lookup_table, materialize, measured
 PROMINENCE = 5.0
 DISTANCE = 20
 
-# Zones of the distance rule grow up to this many samples from round to round.
-MAX_ZONE = 4_194_304
+# Zones of the distance rule grow from round to round while none holds more undecided peaks than this.
+MAX_OPEN = 1_000_000
+GROWTH = 8
 
 UNDECIDED, KEPT, DROPPED = 0, 1, 2
+# Looks at all peaks at once before what is left is followed peak by peak.
+SWEEPS = 6
 
 
 # What is known about a run from its own chunk. ``turn`` is 1 or -1 for a maximum or minimum that lies
@@ -186,7 +189,7 @@ def _decide(at: np.ndarray, height: np.ndarray, state: np.ndarray, exposed: np.n
         return state
     high = np.concatenate([p[0] for p in pairs])
     low = np.concatenate([p[1] for p in pairs])
-    while True:
+    for _ in range(SWEEPS):
         state[low[(state[high] == KEPT) & (state[low] == UNDECIDED)]] = DROPPED
         waiting = exposed.copy()
         waiting[low[state[high] != DROPPED]] = True
@@ -194,6 +197,25 @@ def _decide(at: np.ndarray, height: np.ndarray, state: np.ndarray, exposed: np.n
         if not stays.any():
             return state
         state[stays] = KEPT
+    return _follow(high, low, height, state, exposed)
+
+
+def _follow(high: np.ndarray, low: np.ndarray, height: np.ndarray, state: np.ndarray, exposed: np.ndarray) -> np.ndarray:
+    """Settle chains, where each peak waits for the next: the undecided peaks once each, highest first."""
+    asks = state[low] == UNDECIDED
+    order = np.argsort(low[asks], kind="stable")
+    higher = high[asks][order].tolist()
+    open_ = np.flatnonzero(state == UNDECIDED)
+    begin, end = (np.searchsorted(low[asks][order], open_, side).tolist() for side in ("left", "right"))
+    turn = np.lexsort((open_, height[open_]))[::-1].tolist()
+    peak, now, outside = open_.tolist(), state.tolist(), exposed.tolist()
+    for k in turn:
+        seen = [now[h] for h in higher[begin[k]:end[k]]]
+        if KEPT in seen:
+            now[peak[k]] = DROPPED
+        elif not outside[peak[k]] and UNDECIDED not in seen:
+            now[peak[k]] = KEPT
+    return np.array(now, dtype=state.dtype)
 
 
 def _distance_round(distance: int, rows: int, halo: int):
@@ -205,7 +227,8 @@ def _distance_round(distance: int, rows: int, halo: int):
         key = (np.cumsum(first) - 1) * (rows + 4 * (halo + distance)) + at
         state = _decide(key, table.column("height").to_numpy(), table.column("state").to_numpy(),
                         exposed, distance)
-        core = np.flatnonzero(table.column("core").to_numpy(zero_copy_only=False))
+        core = np.flatnonzero(table.column("core").to_numpy(zero_copy_only=False)
+                              & (table.column("state").to_numpy() == UNDECIDED))
         kept = table.select(["series", "kind", "mid", "height", "us", "ord"]).take(pa.array(core))
         return kept.append_column("state", pa.array(state[core], pa.int64()))
 
@@ -218,9 +241,9 @@ def min_distance(peaks: DataFrame, distance: int = DISTANCE, rows: int = CHUNK_R
 
     ``peaks`` has series, kind, mid and height, and us and ord to pass on. Each zone of ``rows``
     samples is settled with a halo of neighbouring peaks, and a decision is taken only if nothing
-    outside the view could change it. What stays open, in long chains of rising peaks, is settled
-    in further rounds over the zones concerned, which are larger and see the decisions of their
-    neighbours. So chains of any length are exact, and no task holds a whole series.
+    outside the view could change it. What stays open, in long chains of rising peaks, goes to another
+    round with the peaks that stay nearby, in larger zones as long as these hold few open peaks. So
+    chains of any length are exact, a settled peak is written once, and no task holds a whole series.
     """
     halo = 50 * distance if halo is None else halo
     if not distance <= halo <= rows:
@@ -228,7 +251,7 @@ def min_distance(peaks: DataFrame, distance: int = DISTANCE, rows: int = CHUNK_R
     key = ["series", "kind", "zone"]
     columns = ["series", "kind", "mid", "height", "us", "ord", "state"]
     current = peaks.select(*columns[:-1], F.lit(UNDECIDED).cast("bigint").alias("state"))
-    rest = affected = None
+    kept = None
     while True:
         def zone(shift: int):
             return floor_div(F.col("mid") + shift, rows)
@@ -238,24 +261,26 @@ def min_distance(peaks: DataFrame, distance: int = DISTANCE, rows: int = CHUNK_R
             .where("zone >= 0")
             .select(*columns, "zone", (F.col("zone") == zone(0)).alias("core"))
         )
-        if affected is not None:
-            spread = spread.join(affected, key, "left_semi")
-            rest = current.withColumn("zone", zone(0)).join(affected, key, "left_anti").select(*columns)
-        settled = (
+        # Only peaks that were undecided come back.
+        settled, seen = measured(
             spread.repartition(*key).sortWithinPartitions("zone", "series", "kind", "mid")
             .mapInArrow(
                 _distance_round(distance, rows, halo),
-                "series STRING, kind STRING, mid BIGINT, height DOUBLE, us BIGINT, ord BIGINT, state BIGINT")
-        )
-        current, seen = measured(
-            settled if rest is None else rest.unionByName(settled), "distance",
-            undecided=F.count(F.when(F.col("state") == UNDECIDED, 1)))
+                "series STRING, kind STRING, mid BIGINT, height DOUBLE, us BIGINT, ord BIGINT, state BIGINT"),
+            "distance", undecided=F.count(F.when(F.col("state") == UNDECIDED, 1)))
+        stays = settled.where(F.col("state") == KEPT)
+        kept = stays if kept is None else kept.unionByName(stays)
         if not seen["undecided"]:
-            return current.where(F.col("state") == KEPT).drop("state")
-        rows = min(rows * 8, max(rows, MAX_ZONE))
-        affected = lookup_table(
-            current.where(F.col("state") == UNDECIDED).select("series", "kind", zone(0).alias("zone"))
-            .distinct(), "zones")
+            return kept.drop("state")
+        still = settled.where(F.col("state") == UNDECIDED)
+        cell = floor_div(F.col("mid"), distance)
+        cells = lookup_table(
+            still.select("series", "kind", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct(), "cells")
+        near = kept.withColumn("cell", cell).join(cells, ["series", "kind", "cell"], "left_semi")
+        current = still.unionByName(near.select(*columns))
+        most = still.groupBy("series", "kind", zone(0)).count().agg(F.max("count")).first()[0]
+        if most * GROWTH <= MAX_OPEN:
+            rows *= GROWTH
 
 
 # -- prominence ------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.operators import chunks, extrema, medians, segments
 from gaugeflow.plans import analysis
-from gaugeflow.session import materialize
+from gaugeflow.session import materialize, measured
 
 START = pd.Timestamp("2024-01-01")
 
@@ -241,6 +241,23 @@ def test_min_distance_is_greedy(spark, rows, halo):
         assert sorted(got[got.series == name]["mid"]) == brute.spaced(list(ps), list(hs), 20), name
 
 
+def test_long_chains_settle_and_are_written_once(spark, monkeypatch):
+    """Each peak of a chain waits for the next one; the last one decides all the others."""
+    count, step, distance = 200_000, 7, 20
+    sizes = []
+    monkeypatch.setattr(extrema, "measured", lambda df, *a, **k: (lambda got: sizes.append(got[1]["rows"]) or got)(measured(df, *a, **k)))
+    rising = spark.range(count).select(
+        F.lit("up").alias("series"), F.lit("max").alias("kind"), (F.col("id") * step).alias("mid"), F.col("id").cast("double").alias("height"))
+    both = rising.unionByName(rising.withColumns({"series": F.lit("down"), "height": -F.col("height")})).withColumns(
+        {"us": F.lit(0).cast("bigint"), "ord": F.lit(0).cast("bigint")})
+    got = extrema.min_distance(both, distance).toPandas()
+    skip = -(-distance // step)
+    assert sorted(got[got.series == "up"]["mid"]) == [step * k for k in range((count - 1) % skip, count, skip)]
+    assert sorted(got[got.series == "down"]["mid"]) == [step * k for k in range(0, count, skip)]
+    # The first round settles little, later ones only what is left, in a few rounds.
+    assert sizes[0] == 2 * count and len(sizes) <= 5 and all(b <= a for a, b in zip(sizes, sizes[1:]))
+
+
 @pytest.mark.parametrize("copies,dense", [(False, False), (True, False), (True, True)])
 def test_analysis_is_brute_force(spark, monkeypatch, copies, dense):
     """``dense`` makes chunks as short as the windows allow and equal rows collapse."""
