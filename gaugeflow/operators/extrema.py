@@ -39,9 +39,15 @@ SWEEPS = 6
 # rows are counted from the chunk's first one.
 RUN_SCHEMA = (
     ", ord_in BIGINT, pos_in BIGINT, turn INT, run_until BIGINT, before DOUBLE, after DOUBLE, "
-    "mid_in BIGINT, mid_us BIGINT, mid_ord BIGINT"
+    "mid_in BIGINT, mid_us BIGINT, mid_ord BIGINT, "
+    "bin_rows BIGINT, bin_w DOUBLE, bin_x DOUBLE, bin_y DOUBLE, bin_xx DOUBLE, bin_xy DOUBLE"
 )
 
+# Rows of a bin. Bins begin with their chunk, and the first row of each holds the bin's moments: sums over
+# its samples of 1, x, y, x*x and x*y, with x in hours and y as differences from that first row.
+BIN_ROWS = 64
+_HOUR_US = 3_600_000_000
+
 
 def describe_runs(table: pa.Table) -> pa.Table:
     """Add the run columns to smooth rows of whole chunks, sorted by chunk and time."""
@@ -93,6 +99,19 @@ def describe_runs(table: pa.Table) -> pa.Table:
         "mid_us": on_first_row(us[holder], pa.int64()),
         "mid_ord": on_first_row(ord_in[holder], pa.int64()),
     }
+    heads = np.flatnonzero(ord_in % BIN_ROWS == 0)
+    bin_ = np.cumsum(ord_in % BIN_ROWS == 0) - 1
+    x = (us - us[heads][bin_]) / _HOUR_US if rows else np.zeros(0)
+    y = value - value[heads][bin_] if rows else np.zeros(0)
+
+    def on_head(values: np.ndarray, dtype) -> pa.Array:
+        full = np.zeros(rows, dtype=values.dtype)
+        full[heads] = np.add.reduceat(values, heads) if rows else full
+        return pa.array(full, dtype, mask=ord_in % BIN_ROWS != 0)
+
+    columns["bin_rows"] = on_head(np.ones(rows, np.int64), pa.int64())
+    for name, values in (("w", n), ("x", n * x), ("y", n * y), ("xx", n * x * x), ("xy", n * x * y)):
+        columns[f"bin_{name}"] = on_head(values.astype(float), pa.float64())
     for name, column in columns.items():
         table = table.append_column(name, column)
     return table
@@ -119,7 +138,9 @@ def place_chunks(instants: DataFrame, min_rows: int = 0) -> DataFrame:
         "series", "chunk", "us", (row + F.col("ord_in")).alias("ord"), (pos + F.col("pos_in")).alias("pos"),
         (pos + F.col("pos_in") + F.col("n") - 1).alias("until"), F.col("local_median").alias("smooth"),
         "turn", (pos + F.col("run_until")).alias("run_until"), "before", "after",
-        (pos + F.col("mid_in")).alias("mid"), "mid_us", (row + F.col("mid_ord")).alias("mid_ord"))
+        (pos + F.col("mid_in")).alias("mid"), "mid_us", (row + F.col("mid_ord")).alias("mid_ord"),
+        (row + F.col("ord_in") - F.pmod("ord_in", F.lit(BIN_ROWS))).alias("bin"),
+        "bin_rows", *[f"bin_{m}" for m in ("w", "x", "y", "xx", "xy")])
 
 
 def turning_points(smooth: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions.times import from_micros
 from gaugeflow.operators.chunks import CHUNK_ROWS, floor_div, number_rows
-from gaugeflow.session import materialize
+from gaugeflow.session import lookup_table, materialize
 
 # Fixed values of the analysis.
 MIN_POINTS = 20
@@ -21,6 +21,10 @@ HOUR_US = 3_600_000_000
 BIN_ROWS = 64
 BLOCK_ROWS = 65_536
 
+# Row numbers of a block of bins, and the moments kept of bins and blocks.
+MOMENT_ROWS = 4_096
+MOMENTS = ("w", "x", "y", "xx", "xy")
+
 
 def next_max(extrema: DataFrame) -> DataFrame:
     """Each minimum with the first maximum strictly after it; several minima may share one.
@@ -94,22 +98,72 @@ def segment_points(smooth: DataFrame, spans: DataFrame) -> DataFrame:
     ).select(*flat.columns, "pos", "us", "smooth", weight.cast("double").alias("w"))
 
 
+def edge_bins(bins: DataFrame, spans: DataFrame) -> DataFrame:
+    """Bins in the blocks around both ends of each span: ``inside`` it as a whole, or on its border."""
+    ends = F.array_distinct(F.array(
+        F.expr(f"begin_ord div {MOMENT_ROWS}") - 1, F.expr(f"begin_ord div {MOMENT_ROWS}"),
+        F.expr(f"end_ord div {MOMENT_ROWS}") - 1, F.expr(f"end_ord div {MOMENT_ROWS}")))
+    near = spans.withColumn("block", F.explode(ends))
+    reach = (F.col("last") >= F.col("begin_ord")) & (F.col("bin") <= F.col("end_ord"))
+    return bins.withColumnRenamed("block", "bin_block").join(
+        near, [F.col("bin_block") == F.col("block"), F.col("bin_series") == F.col("series")]).where(reach).withColumn(
+        "inside", (F.col("bin") > F.col("begin_ord")) & (F.col("last") < F.col("end_ord")))
+
+
 def span_slopes(smooth: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans with the least-squares slope of the value over hours since the span's start."""
-    points = segment_points(smooth, spans)
-    spent = [c for c in points.columns if c not in ("pos", "us", "smooth", "w")]
-    inside = points.select(
-        *spent, "w",
-        ((F.col("us") - F.col("begin_us")) / HOUR_US).alias("x"),
-        (F.col("smooth") - F.col("begin_value")).alias("y"))
+    """Spans with the least-squares slope of the value over hours since the span's start.
+
+    A span is put together from moments: of whole blocks of bins in its middle, of whole bins towards
+    its ends, and of rows only in the two bins that its ends cut. So what is shuffled does not grow with
+    the rows inside the spans. Moments are kept about an origin nearby and moved to the span's start, so
+    no digits are lost in long series.
+    """
+    flat = materialize(spans.select(
+        "series", "is_current", "id", "n_points",
+        *[F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("begin", "end")
+          for c in ("mid", "ord", "us", "value")]), "spans")
+    bins = smooth.where("bin_rows IS NOT NULL").select(
+        F.col("series").alias("bin_series"), "bin", (F.col("bin") + F.col("bin_rows") - 1).alias("last"),
+        F.expr(f"bin div {MOMENT_ROWS}").alias("block"), F.col("us").alias("us0"), F.col("smooth").alias("y0"),
+        *[F.col(f"bin_{m}").alias(f"m_{m}") for m in MOMENTS])
+    near = edge_bins(bins, flat)
+
+    # Blocks: the moments of their bins, about the first one's origin.
+    first = Window.partitionBy("bin_series", "block").orderBy("bin")
+    placed = bins.withColumns({"us1": F.first("us0").over(first), "y1": F.first("y0").over(first)})
+    blocks = placed.select(
+        "bin_series", "block", F.col("us1").alias("us0"), F.col("y1").alias("y0"),
+        *_moved((F.col("us0") - F.col("us1")) / HOUR_US, F.col("y0") - F.col("y1"))
+    ).groupBy("bin_series", "block").agg(
+        F.first("us0").alias("us0"), F.first("y0").alias("y0"), *[F.sum(f"m_{m}").alias(f"m_{m}") for m in MOMENTS])
+    low, high = F.expr(f"begin_ord div {MOMENT_ROWS} + 1"), F.expr(f"end_ord div {MOMENT_ROWS} - 2")
+    middle = flat.where(low <= high).withColumn("at", F.explode(F.sequence(low, high)))
+    whole = blocks.join(middle, [F.col("block") == F.col("at"), F.col("bin_series") == F.col("series")])
+
+    # Rows of the two bins that the ends of a span cut.
+    cut = lookup_table(near.where("NOT inside").select(*flat.columns, "bin"), "cut")
+    rows = smooth.select("series", "bin", "ord", "pos", "until", F.col("us").alias("us0"), F.col("smooth").alias("y0"))
+    weight = (F.least("until", "end_mid") - F.greatest("pos", "begin_mid") + 1).cast("double")
+    zero = F.lit(0.0)
+    single = rows.join(cut, ["series", "bin"]).where(F.col("ord").between(F.col("begin_ord"), F.col("end_ord"))).select(
+        *flat.columns, "us0", "y0", weight.alias("m_w"), *[zero.alias(f"m_{m}") for m in MOMENTS[1:]])
+
+    pieces = single
+    for part in (near.where("inside"), whole):
+        pieces = pieces.unionByName(part.select(*flat.columns, "us0", "y0", *[f"m_{m}" for m in MOMENTS]))
+    moved = pieces.select(*flat.columns, *_moved(
+        (F.col("us0") - F.col("begin_us")) / HOUR_US, F.col("y0") - F.col("begin_value")))
     key = ["series", "begin_mid", "is_current"]
-    sums = inside.groupBy(*key).agg(
-        *[F.first(c).alias(c) for c in spent if c not in key],
-        F.sum("w").alias("w"),
-        F.sum(F.expr("w * x")).alias("sx"), F.sum(F.expr("w * y")).alias("sy"),
-        F.sum(F.expr("w * x * y")).alias("sxy"), F.sum(F.expr("w * x * x")).alias("sxx"))
-    return sums.select(*spent, F.expr(
-        "try_divide(sxy - sx * sy / w, sxx - sx * sx / w)").alias("slope_mm_per_hr"))
+    sums = moved.groupBy(*key).agg(
+        *[F.first(c).alias(c) for c in flat.columns if c not in key], *[F.sum(f"m_{m}").alias(m) for m in MOMENTS])
+    return sums.select(*flat.columns, F.expr("try_divide(xy - x * y / w, xx - x * x / w)").alias("slope_mm_per_hr"))
+
+
+def _moved(dx, dy) -> list:
+    """Moments about an origin that lies ``dx`` and ``dy`` before that of the columns ``m_*``."""
+    w, x, y, xx, xy = (F.col(f"m_{m}") for m in MOMENTS)
+    values = (w, x + w * dx, y + w * dy, xx + 2 * dx * x + w * dx * dx, xy + dx * y + dy * x + w * dx * dy)
+    return [value.alias(f"m_{m}") for m, value in zip(MOMENTS, values)]
 
 
 def candidate_spans(

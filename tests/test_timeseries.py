@@ -339,3 +339,47 @@ def test_forecast_limits(spark):
     got = segments.refill_prediction(rows).collect()
     assert [(r.series, r.time_to_50mm_hours, str(r.predicted_refill_time)) for r in got] == [
         ("a", 2.0, "2024-01-01 02:00:00")]
+
+
+def spans_of(spark, pairs, values):
+    point = "STRUCT<mid: BIGINT, ord: BIGINT, us: BIGINT, value: DOUBLE>"
+    return spark.createDataFrame(
+        [(name, (a, a, a * 60_000_000, float(values[name][a])), (b, b, b * 60_000_000, float(values[name][b])), b - a + 1, k, False)
+         for k, (name, a, b) in enumerate(pairs)],
+        f"series STRING, begin {point}, end {point}, n_points BIGINT, id BIGINT, is_current BOOLEAN")
+
+
+@pytest.mark.parametrize("chunk,bin_rows,block", [(50, 8, 128), (7, 64, 64), (10_000, 64, 4_096), (1_000, 1, 1)])
+def test_slopes_from_moments(spark, monkeypatch, chunk, bin_rows, block):
+    """Any begin and end, in bins and blocks that end with chunks or not, far from the series' start."""
+    monkeypatch.setattr(extrema, "BIN_ROWS", bin_rows)
+    monkeypatch.setattr(segments, "MOMENT_ROWS", block)
+    rng = np.random.default_rng(12)
+    values = {"a": np.cumsum(rng.normal(0, 1, 6_000)) + 1e6, "b": rng.normal(0, 1, 300)}
+    pairs = [("a", 0, 5_999), ("a", 0, 1), ("a", 5_998, 5_999), ("a", 63, 64), ("a", 64, 128), ("b", 0, 299), ("b", 7, 12)]
+    starts = {("a", 0), ("a", 5_998), ("a", 63), ("a", 64), ("b", 0), ("b", 7)}
+    for begin in rng.choice(5_900, 40, replace=False).tolist():
+        if ("a", begin) not in starts:
+            pairs.append(("a", begin, int(rng.integers(begin + 1, 6_000))))
+    pairs = list({(name, a): (name, a, b) for name, a, b in pairs}.values())
+    got = segments.span_slopes(smooth_frame(spark, values, chunk), spans_of(spark, pairs, values)).collect()
+    assert len(got) == len(pairs)
+    for row in got:
+        a, b = row.begin_ord, row.end_ord
+        want = brute.slope(np.arange(b - a + 1) / 60, values[row.series][a:b + 1] - values[row.series][a])
+        assert row.slope_mm_per_hr == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_a_span_reads_its_ends_only(spark):
+    """Rows and bins that a span is joined with stay the same while it grows."""
+    values = {"a": np.arange(40_000) % 977 / 10}
+    smooth = smooth_frame(spark, values, 10_000)
+    bins = smooth.where("bin_rows IS NOT NULL").select(
+        F.col("series").alias("bin_series"), "bin", (F.col("bin") + F.col("bin_rows") - 1).alias("last"),
+        F.expr(f"bin div {segments.MOMENT_ROWS}").alias("block"))
+    bound = 4 * segments.MOMENT_ROWS // extrema.BIN_ROWS + 8
+    for length in (9_000, 39_000):
+        spans = spans_of(spark, [("a", 500, 500 + length)], values).select(
+            "series", F.col("begin.ord").alias("begin_ord"), F.col("end.ord").alias("end_ord"))
+        met = segments.edge_bins(bins, spans).toPandas()
+        assert len(met) <= bound and (~met.inside).sum() == 2
