@@ -22,6 +22,7 @@ import hashlib
 import re
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,10 +127,39 @@ _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTU
 _ALPHABET = {c: letters for letters in _ALPHABETS for c in letters}
 
 
+# Texts with more letters are permuted letter by letter: one number for all would outgrow a draw, and its
+# arithmetic takes time with the square of the length.
+NUMBER_LETTERS = 40
+
+
+def _permuted_long(key: bytes, text: str, letters: list, tweak: tuple) -> str:
+    """A Feistel network over the two halves of the letters, in linear time: each half is moved, letter by
+    letter in its own alphabet, by a stream drawn from all of the other half and the form."""
+    form = "".join(c if a is None else a[0] for c, a in zip(text, letters))
+    places = [k for k, a in enumerate(letters) if a]
+    sizes = np.array([len(letters[k]) for k in places], np.uint32)
+    index = {a: {c: i for i, c in enumerate(a)} for a in {letters[k] for k in places}}
+    digits = np.array([index[letters[k]][text[k]] for k in places], np.uint32)
+    half = len(digits) // 2
+    sides = (slice(0, half), slice(half, None))
+    said = hashlib.blake2b("\x1f".join(map(str, (form, *tweak))).encode(), key=key, digest_size=32).digest()
+    for turn in range(8):
+        moved, other = sides[turn % 2], sides[1 - turn % 2]
+        seed = hashlib.blake2b(said + bytes([turn]) + digits[other].tobytes(), key=key, digest_size=32).digest()
+        stream = np.frombuffer(hashlib.shake_256(seed).digest(4 * len(digits[moved])), np.uint32)
+        digits[moved] = (digits[moved] + stream % sizes[moved]) % sizes[moved]
+    out = list(text)
+    for k, digit in zip(places, digits.tolist()):
+        out[k] = letters[k][digit]
+    return "".join(out)
+
+
 def permuted_text(key: bytes, text: str, *tweak: object, letters_of: str | None = None) -> str:
     """A keyed permutation of the texts of one form: digits, small and capital letters in the same places
     and everything else as it is; or of all texts over the letters ``letters_of``."""
     letters = [letters_of or _ALPHABET.get(c) for c in text]
+    if sum(a is not None for a in letters) > NUMBER_LETTERS:
+        return _permuted_long(key, text, letters, tweak)
     form = text if not any(letters) else "".join(c if a is None else a[0] for c, a in zip(text, letters))
     x, size = 0, 1
     for c, a in zip(text, letters):

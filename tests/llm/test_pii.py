@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -157,3 +158,47 @@ def test_query_leaves_no_entity(spark, sf):
         assert not {x[2:] for x in pii.entities(row.text)} & values
         if not held:
             assert hashlib.sha256(row.text.encode()).digest() == hashlib.sha256(before[i].encode()).digest()
+
+
+@pytest.mark.parametrize("length", [16, 30, 40, 41, 64, 100, 128, 200, 284, 300, 3_100, 10_000])
+def test_long_secrets_share_no_more_than_chance(length):
+    """Hexadecimal numbers, letters of both cases with digits, and mail addresses of any length."""
+    draw, same, places = random.Random(length), 0, 0
+    for k in range(max(4, 4_000 // length)):
+        for alphabet in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+            value = "".join(draw.choice(alphabet) for _ in range(length))
+            new = pii.surrogate(b"key", "secret", value, 0)
+            assert len(new) == length and new != value and new == pii.surrogate(b"key", "secret", value, 0)
+            assert new != pii.surrogate(b"other", "secret", value, 0) and new != pii.surrogate(b"key", "secret", value, 1)
+            same += sum(a == b for a, b in zip(value, new))
+            places += length
+            if length >= 64:
+                runs = max(len(r) for r in "".join("=" if a == b else " " for a, b in zip(value, new)).split(" "))
+                assert runs < 12
+    # Chance: one in 16 for hexadecimal digits, between one in 26 and one in 10 for the others.
+    assert same / places < 0.11
+
+
+def test_a_long_value_changes_everywhere_with_one_letter():
+    a = "ab12" * 100
+    for at in (0, 199, 200, 399):
+        b = a[:at] + ("c" if a[at].isalpha() else "7") + a[at + 1:]
+        x, y = (pii.surrogate(b"key", "secret", v, 0) for v in (a, b))
+        assert sum(p == q for p, q in zip(x[:200], y[:200])) < 60 and sum(p == q for p, q in zip(x[200:], y[200:])) < 60
+
+
+def test_very_long_entities(spark):
+    """Longer than a decimal number may be printed, and a million characters; the rest of the text stays."""
+    draw = random.Random(1)
+    blobs = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+             for n in (3_100, 5_000, 1_000_000)]
+    rows = [(1, f"api_key = {blobs[0]} end"), (2, f"write to {blobs[0].lower()}@mail.test.org now"), (3, f"token={blobs[1]}"),
+            (4, f"token={blobs[2]}"), (5, f"again token={blobs[1]} here")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = {r.doc_id: r.text for r in pii.replace_entities(docs, b"key").collect()}
+    for k, text in rows:
+        old = max(re.findall(r"[A-Za-z0-9]+", text), key=len)
+        new = max(re.findall(r"[A-Za-z0-9]+", got[k]), key=len)
+        assert len(new) == len(old) and got[k] == text.replace(old, new) or "@" in text
+        assert sum(a == b for a, b in zip(old, new)) < 0.1 * len(old)
+    assert got[3][6:] == got[5][12:-5]
