@@ -12,6 +12,8 @@ sample; scoring is one pass over all texts without a shuffle.
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -100,6 +102,18 @@ class Network:
             np.zeros(hidden, np.float32),
             (draw.standard_normal(hidden) * np.sqrt(1 / hidden)).astype(np.float32), np.zeros(1, np.float32)]
 
+    def saved(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, self.mean, self.scale, *self.weights)
+        return out.getvalue()
+
+    @classmethod
+    def loaded(cls, saved: bytes) -> Network:
+        net = cls.__new__(cls)
+        with np.load(io.BytesIO(saved)) as arrays:
+            net.mean, net.scale, *net.weights = (arrays[name] for name in arrays.files)
+        return net
+
     def scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -8, 8).astype(np.float32)
 
@@ -174,6 +188,24 @@ def _featured(batches):
                 ["label", "order", "x"])
 
 
+def _fitted(prior: float):
+    """One row with the network fitted on all rows of a task; none if no text is labelled 1, or all are."""
+
+    def run(batches):
+        labels, rows = [], []
+        for batch in batches:
+            labels.append(batch.column("label").fill_null(-1).to_numpy())
+            rows.append(batch.column("x").flatten().to_numpy().reshape(-1, TRIGRAMS + SHAPES))
+        if rows:
+            label, x = np.concatenate(labels), np.concatenate(rows)
+            if (label == 1).any() and not (label == 1).all():
+                net = fit(x[label == 1], x, prior)
+                place_boundary(net, x, prior)
+                yield pa.RecordBatch.from_arrays([pa.array([net.saved()], pa.binary())], ["net"])
+
+    return run
+
+
 def _scored(net: Network | None, constant: float):
     def run(batches):
         powers = [Powers(21), Powers(22)]
@@ -201,22 +233,16 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_docs: i
     total = docs.count()
     order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
     kept = F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * min(1.0, 0.9 * sample_docs / max(total, 1)))
-    rows = (
+    sample = (
         docs.where(kept).join(known.where(kept), "doc_id", "left")
         .select("label", order.alias("order"), "text")
         .mapInArrow(_featured, "label INT, order BIGINT, x ARRAY<FLOAT>")
-        .orderBy("order", "label").limit(sample_docs).toArrow())
+        .orderBy("order", "label").limit(sample_docs))
     share = known.agg(F.avg("label")).first()[0]
     prior = min(0.98, max(0.02, PRIOR if share is None or share in (0.0, 1.0) else share))
-    if rows.num_rows == 0:
-        return None, prior
-    label = rows.column("label").fill_null(-1).to_numpy()
-    x = rows.column("x").combine_chunks().values.to_numpy().reshape(rows.num_rows, TRIGRAMS + SHAPES)
-    if not (label == 1).any() or (label == 1).all():
-        return None, prior
-    net = fit(x[label == 1], x, prior)
-    place_boundary(net, x, prior)
-    return net, prior
+    # The sample is fitted where it lies, in the one partition of its limit; only weights come back.
+    fitted = sample.mapInArrow(_fitted(prior), "net BINARY").first()
+    return None if fitted is None else Network.loaded(bytes(fitted["net"])), prior
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1,
