@@ -112,9 +112,9 @@ WHERE event_type NOT IN ('signup', 'error')"""
 _RESOLUTIONS = (("agg_1m", 1, "1 HOUR"), ("agg_5m", 5, "24 HOUR"), ("agg_1h", 60, None))
 
 
-def _multires() -> str:
+def _multires(source: str = "gappy") -> str:
     return " UNION ALL ".join(
-        f"({levels('gappy', m, recent('gappy', h) if h else 'true', f', {chr(39)}{name}{chr(39)} AS resolution')})"
+        f"({levels(source, m, recent(source, h) if h else 'true', f', {chr(39)}{name}{chr(39)} AS resolution')})"
         for name, m, h in _RESOLUTIONS)
 
 
@@ -473,3 +473,11 @@ ORACLES["threshold_alerts_below"] = alert_sql("value < 10.0", 1)
 ORACLES["stream_alerts"] = ORACLES["threshold_alerts"]
 ORACLES["stream_buckets"] = _with(MESSAGES) + levels("messages", 60)
 ORACLES["stream_dedup"] = _with(MESSAGES) + "SELECT id, timestamp, topic FROM messages"
+
+# -- folder tables kept by streams -------------------------------------------------------------------
+
+ORACLES["keep_routed"] = ORACLES["ingest_messages"]
+ORACLES["keep_unique"] = _with(MESSAGES) + f"SELECT {PLAIN} FROM messages"
+ORACLES["multires_fresh"] = _with(MESSAGES) + _multires("messages")
+ORACLES["archive_version"] = _with(MESSAGES) + f"""SELECT 'archive' AS part, {PLAIN},
+  CAST(timestamp AS DATE) AS date FROM messages"""

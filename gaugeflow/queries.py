@@ -29,9 +29,10 @@ from gaugeflow.operators import segments as S
 from gaugeflow.plans import analysis as A
 from gaugeflow.plans.snapshot import snapshot_batch
 from gaugeflow.session import materialize, scratch_path
-from gaugeflow.sources import archive, snapshots
+from gaugeflow.sources import archive, snapshots, versions
 from gaugeflow.sources import tables as T
 from gaugeflow.streaming import ingest, stateful
+from gaugeflow.streaming import tables as kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -832,3 +833,50 @@ def stream_dedup(spark, sf):
     rows = ingest.file_feed(spark, path, feed.schema, max_files=2)
     unique = _appended(stateful.stream_dedup(rows, watermark="60 days"), "unique")
     return unique.select("id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "topic")
+
+
+# -- folder tables kept by streams -------------------------------------------------------------------
+
+@query
+def keep_routed(spark, sf):
+    """All columns of routed rows, read back after merges have replaced the folders of the batches."""
+    rows = ingest.ingest_messages(_message_feed(spark, sf), PATTERNS)
+    path = scratch_path(spark, "kept")
+    kept.keep_routed(rows, path, f"{path}-state", seconds=None, most_folders=1).awaitTermination()
+    return _plain_messages(versions.read(spark, path, rows.schema))
+
+
+@query
+def keep_unique(spark, sf):
+    """Every message once, from a feed that repeats them all out of time order, without a watermark."""
+    path = scratch_path(spark, "feed")
+    feed = _messages(spark, sf)
+    feed.unionByName(feed).repartition(4).write.parquet(path)
+    rows = ingest.file_feed(spark, path, feed.schema, max_files=2)
+    kept.keep_unique(rows, f"{path}-kept", f"{path}-state", seconds=None, most_folders=1).awaitTermination()
+    return _plain_messages(versions.read(spark, f"{path}-kept", feed.schema))
+
+
+@query
+def multires_fresh(spark, sf):
+    """The statistics of ``multires`` for all messages, from summaries that a stream keeps."""
+    feed = _message_feed(spark, sf).withColumn("payload", values.decode_payload("payload"))
+    path = scratch_path(spark, "summaries")
+    kept.keep_summaries(feed, path, f"{path}-state", seconds=None, most_folders=1).awaitTermination()
+    partials, tagged = kept.read_summaries(spark, path), None
+    for name, df in kept.fresh_levels(partials, _messages(spark, sf)).items():
+        part = df.withColumn("resolution", F.lit(name))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    return _levels(tagged)
+
+
+@query
+def archive_version(spark, sf):
+    """All rows of an archive taken from a folder table, and those left in the table."""
+    live, store = scratch_path(spark, "live"), scratch_path(spark, "archive")
+    rows = _messages(spark, sf).withColumn("date", F.to_date("timestamp"))
+    versions.commit(spark, live, versions.write_folders(rows, live, "first", ("date",)))
+    archive.archive_version(spark, live, rows.schema, store, "2024-01")
+    left = versions.read(spark, live, rows.schema).select(F.lit("live").alias("part"), *rows.columns)
+    moved = spark.read.parquet(f"{store}/archive_month=2024-01").select(F.lit("archive").alias("part"), *rows.columns)
+    return _plain_messages(left.unionByName(moved))
