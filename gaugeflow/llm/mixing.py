@@ -5,7 +5,8 @@ sum(r_i * size_i) = target for every source and r_i <= ``CAP``. The dual is conv
 per source: r_i = min(CAP, exp(multiplier * size_i / mean size)). Newton iterations on all sources at
 once solve it; each iteration is one aggregation over (source, size, count), which Spark keeps small by
 summing equal sizes first. Rates are then rounded into whole copies by a hash of the document, and a few
-further aggregations shift the rounding of each source so that its taken words meet its target.
+further aggregations shift the rounding of each source so that its taken words meet its target. Equal rows
+are one group with a number; the group is rounded as a whole and its copies are then dealt to its rows.
 
 Everything is DataFrame functions. Sums that decide the result are exact decimals, so reruns agree.
 """
@@ -28,6 +29,8 @@ BRACKET = 4096.0
 # Grid points and rounds of the search for each source's rounding shift.
 GRID = 16
 ROUNDS = 5
+# Rows of a group of equal rows that one task writes in a run; larger groups are dealt over many tasks.
+BLOCK = 4096
 
 _EXACT = "decimal(38,9)"
 
@@ -109,7 +112,23 @@ def balance(counts: DataFrame, targets: DataFrame, cap: int = CAP, iterations: i
 
 
 def _copies(shift: Column, cap: int) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(cap), F.floor(F.col("rate") + F.col("u") + shift))).cast("bigint")
+    """Copies of all ``m`` equal rows of a group together.
+
+    If row j of them were rounded with the random number (j + u) / m, the sum of the rounded rates would be
+    just this, and no row would be above ``cap`` or below 0.
+    """
+    m = F.col("m")
+    return F.greatest(F.lit(0), F.least(cap * m, F.floor(m * (F.col("rate") + shift) + F.col("u")))).cast("bigint")
+
+
+def _each_row(groups: DataFrame) -> DataFrame:
+    """Every row of the groups, with its ``place`` from 0 in its group."""
+    few = groups.where(F.col("m") <= BLOCK).withColumn("place", F.explode(F.expr("sequence(0L, m - 1)")))
+    blocks = groups.where(F.col("m") > BLOCK).withColumn(
+        "block", F.explode(F.expr(f"sequence(0L, (m - 1) div {BLOCK})")))
+    many = blocks.repartition("doc_id", "u", "block").withColumn("place", F.explode(
+        F.expr(f"sequence(block * {BLOCK}, least(m, (block + 1) * {BLOCK}) - 1)"))).drop("block")
+    return few.unionByName(many)
 
 
 def _rounding(rated: DataFrame, dual: DataFrame, rows: int, cap: int) -> DataFrame:
@@ -145,25 +164,27 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int =
 
     ``docs`` has doc_id, text and source. Size is the number of words (null and empty texts: 0). Sources
     share all words by :func:`source_targets`. ``copies`` (0 to ``cap``) is the rate rounded by a hash of
-    doc_id and text, taken = copies * size. Equal rows get equal copies. A null source is a source. Documents
+    doc_id and text, taken = copies * size. Equal rows share the copies of their group, which differ by one
+    at most; which of them gets more is not told apart. A null source is a source. Documents
     of size 0 take nothing. Other columns are ignored; an empty table gives an empty result.
     """
     sized = pick(docs, "doc_id", "text", "source").select(
         "doc_id", "source", text_size().alias("size"),
         ((F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text"), F.lit(1 << 40)) + 0.5) / float(1 << 40)).alias("u"))
-    sized, _ = stored(sized, "sized")
-    counts, _ = stored(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    groups, _ = stored(sized.groupBy("doc_id", "source", "size", "u").agg(F.count(F.lit(1)).alias("m")), "sized")
+    counts, _ = stored(groups.groupBy("source", "size").agg(F.sum("m").alias("n")), "sizes")
     sources = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets, seen = stored(source_targets(sources, weights, cap), "targets")
     rows = seen["rows"]
     dual, _ = stored(balance(counts, targets, cap), "multipliers")
     rate = F.when(F.col("size") > 0, F.coalesce(
         _rate(F.col("multiplier"), F.col("size") / F.col("mean"), cap), F.lit(0.0))).otherwise(0.0)
-    rated = sized.alias("d").join(small(dual, rows).alias("m"), F.expr("d.source <=> m.source")).select(
-        "doc_id", "d.source", "size", "source_size", "target", rate.alias("rate"), "u")
+    rated = groups.alias("d").join(small(dual, rows).alias("m"), F.expr("d.source <=> m.source")).select(
+        "doc_id", "d.source", "size", "source_size", "target", rate.alias("rate"), "u", F.col("d.m").alias("m"))
     shifts = _rounding(rated, dual, rows, cap)
-    copies = _copies(F.col("shift"), cap)
-    return rated.alias("r").join(small(shifts, rows).alias("s"), F.expr("r.source <=> s.source")).select(
-        "doc_id", "r.source", "size", "source_size", "target", "rate",
-        F.when(F.col("size") > 0, copies).otherwise(0).cast("int").alias("copies"),
-        F.when(F.col("size") > 0, copies * F.col("size")).otherwise(0).cast("bigint").alias("taken"))
+    dealt = rated.alias("r").join(small(shifts, rows).alias("s"), F.expr("r.source <=> s.source")).select(
+        "r.*", F.when(F.col("size") > 0, _copies(F.col("shift"), cap)).otherwise(0).cast("bigint").alias("all"))
+    copies = F.expr("all div m + CASE WHEN place < all % m THEN 1 ELSE 0 END")
+    return _each_row(dealt).select(
+        "doc_id", "source", "size", "source_size", "target", "rate", copies.cast("int").alias("copies"),
+        (copies * F.col("size")).cast("bigint").alias("taken"))

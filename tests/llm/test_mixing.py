@@ -73,6 +73,21 @@ def test_edges(spark):
     assert [r.taken for r in mixing.mix_sources(spark.createDataFrame([(1, None, "a")], schema)).collect()] == [0]
 
 
+def test_repeated_rows(spark):
+    """Many equal rows, more than a block of them, still meet the target of their source."""
+    rows = [(7, "one two three four", "a")] * 1000 + [(8, "x " * 30, "b")] * 10_000 + [
+        (100 + i, "w " * (1 + i % 50), "c") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
+    once = mixing.mix_sources(docs.repartition(5)).collect()
+    assert len(once) == len(rows)
+    check(rows, once, 0.001)
+    for source in "ab":
+        copies = {r.copies for r in once if r.source == source}
+        assert len(copies) <= 2 and max(copies) - min(copies) <= 1
+    again = mixing.mix_sources(docs.repartition(3)).collect()
+    assert sorted(map(str, once)) == sorted(map(str, again))
+
+
 def test_query(spark, sf):
     result = registry.QUERIES["op5_mix"](spark, sf)
     rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
