@@ -32,6 +32,10 @@ SHORT_RANGE = 32
 # Per-series values of this many series are broadcast without being measured: a name and two numbers each.
 FEW_SERIES = 50_000
 
+# Rows of a series that are put in order for its median, and the parts of a bin that holds more.
+ORDERED_ROWS = 500_000
+SPLITS = 4096
+
 # A chunk is made shorter than a day when a series is so dense that more rows would fall in it.
 TARGET_CHUNK_ROWS = 500_000
 
@@ -213,30 +217,59 @@ def rolling_median(
 
 
 def exact_median(df: DataFrame, value: str, weight: str = "n") -> DataFrame:
-    """Exact weighted median per series, as (series, median); no task holds a whole series.
-
-    Equal values are summed first. A histogram over a monotone, purely arithmetic bin (sign and
-    scaled logarithm) has a bounded number of rows per series and shows which bins hold the two
-    middle ranks; only the distinct values of those bins are then ordered.
+    """Exact weighted median per series, as (series, median); no task holds a whole series. ``df`` should be
+    a stored table, since it is read once per round. Null values do not count.
+
+    A histogram over a monotone, purely arithmetic bin (sign and scaled logarithm) has a bounded number of rows
+    per series and shows which bins hold the two middle ranks. Ranks in two bins are the highest value of
+    one and the lowest of the next, and a bin of one value is that value; both settle a series. Every other
+    series goes on with the one bin left to it, split evenly between its lowest and its highest value, until
+    that bin has at most ``ORDERED_ROWS`` rows; only these are ordered. Equal doubles can not be split but
+    settle, and a round narrows a bin by ``SPLITS``, so even doubles next to each other end after a few rounds.
     """
-    distinct = (
-        df.groupBy("series", F.col(value).alias("v")).agg(F.sum(weight).alias("n"))
-        .withColumn("bin", _bin(F.col("v")))
-    )
-    histogram = distinct.groupBy("series", "bin").agg(F.sum("n").alias("n"))
+    rows = df.select("series", F.col(value).alias("v"), F.col(weight).alias("n")).where("v IS NOT NULL")
     whole = Window.partitionBy("series")
-    earlier = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = histogram.select(
-        "series", "bin", "n",
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"),
-        F.sum("n").over(whole).alias("total"),
-    ).withColumn("lo", F.expr("(total - 1) div 2")).withColumn("hi", F.expr("total div 2"))
-    targets = ranked.where("(before <= lo AND lo < before + n) OR (before <= hi AND hi < before + n)")
-    inside = (Window.partitionBy("series", "bin").orderBy("v")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    candidates = distinct.join(targets.select("series", "bin", "before", "lo", "hi"), ["series", "bin"])
-    placed = candidates.withColumn(
-        "at", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    total = F.sum("n").over(whole)
+    spans, seen = _middle_bins(
+        _histogram(rows.withColumn("bin", _bin(F.col("v"))), "series", "bin")
+        .withColumns({"lo": F.call_function("div", total - 1, F.lit(2)), "hi": F.call_function("div", total, F.lit(2))}))
+    found = spans.where("median IS NOT NULL").select("series", "median")
+    while seen["open"]:
+        left = per_series(spans.where("median IS NULL").select("series", "low", "high", "lo", "hi"), "open", seen["rows"])
+        inside = rows.join(left, "series").where("v BETWEEN low AND high")
+        if seen["open"] <= ORDERED_ROWS:
+            return found.unionByName(_ordered_median(inside))
+        part = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * SPLITS), F.lit(SPLITS - 1))
+        spans, seen = _middle_bins(_histogram(inside.withColumn("bin", part), "series", "lo", "hi", "bin"))
+        found = found.unionByName(spans.where("median IS NOT NULL").select("series", "median"))
+    return found
+
+
+def _histogram(binned: DataFrame, *keys: str) -> DataFrame:
+    return binned.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def _middle_bins(histogram: DataFrame) -> tuple[DataFrame, dict]:
+    """The bin that holds the ranks ``lo`` and ``hi`` of a series, with both counted from its start, or the
+    ``median`` where two bins hold them or the bin is one value. ``open`` is the most rows of a bin without one."""
+    earlier = Window.partitionBy("series").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = histogram.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    lower, upper = (F.expr(f"before <= {rank} AND {rank} < before + n") for rank in ("lo", "hi"))
+    bins = ranked.where(lower | upper).groupBy("series").agg(
+        F.count(F.lit(1)).alias("bins"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.max(F.when(lower, F.col("high"))).alias("last"), F.max(F.when(upper, F.col("low"))).alias("first"),
+        F.max(F.when(lower, F.col("lo") - F.col("before"))).alias("lo"),
+        F.max(F.when(upper, F.col("hi") - F.col("before"))).alias("hi"), F.max("rows").alias("rows"))
+    spans = bins.withColumn("median", F.when(F.col("bins") == 2, (F.col("last") + F.col("first")) / 2).when(
+        F.col("low") == F.col("high"), F.col("low")))
+    return measured(spans, "middle", open=F.max(F.when(F.col("median").isNull(), F.col("rows"))))
+
+
+def _ordered_median(inside: DataFrame) -> DataFrame:
+    earlier = Window.partitionBy("series").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = inside.groupBy("series", "lo", "hi", "v").agg(F.sum("n").alias("n")).withColumn(
+        "at", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     return placed.groupBy("series").agg(
         ((F.max(F.expr("CASE WHEN at <= lo AND lo < at + n THEN v END"))
           + F.max(F.expr("CASE WHEN at <= hi AND hi < at + n THEN v END"))) / 2).alias("median"))

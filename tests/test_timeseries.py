@@ -132,6 +132,38 @@ def test_exact_median(spark):
     assert {r.series: r.median for r in medians.exact_median(rows, "v").collect()} == want
 
 
+def test_median_of_a_dense_bin(spark, monkeypatch):
+    """Many different values in one bin, clumps within it, neighbouring doubles and hot values: no more
+    rows are ordered than allowed, whatever the rounds."""
+    monkeypatch.setattr(medians, "ORDERED_ROWS", 500)
+    ordered, order = [], medians._ordered_median
+    def watched(inside):
+        ordered.append(inside.groupBy("series").count().agg(F.max("count")).first()[0])
+        return order(inside)
+
+    monkeypatch.setattr(medians, "_ordered_median", watched)
+    rng = np.random.default_rng(12)
+    fine = 100 + np.arange(20_001) * 2.0 ** -46
+    data = {
+        "even": 100 + rng.random(40_000) * 0.01, "clump": np.concatenate([fine, 100 + rng.random(3_000) * 0.02]),
+        "next": np.nextafter(7.0, np.repeat([0.0, 8.0], 3_000)), "below": -fine, "few": np.array([3.0, 1.0, 2.0, 9.0]),
+        "tiny": rng.integers(1, 9_000, 9_001) * 5e-324, "endless": np.repeat([-np.inf, 1.5, np.inf], [2_000, 1, 2_000]),
+        "hot": np.repeat([1.0, 1.00001, 1.00002], [4_000, 1, 3_999])}
+    rows = spark.createDataFrame(pd.DataFrame({
+        "series": np.repeat(list(data), [len(v) for v in data.values()]), "v": np.concatenate(list(data.values()))}))
+    got = {r.series: r.median for r in medians.exact_median(rows.withColumn("n", F.lit(1).cast("bigint")), "v").collect()}
+    assert got == {k: np.median(v) for k, v in data.items()}
+    assert ordered and max(ordered) <= 500
+
+
+def test_median_of_many_close_values(spark):
+    """Ten million different values within a hundredth of a percent, then all of them with their weights."""
+    rows = spark.range(10_000_000).select(
+        F.lit("s").alias("series"), (F.lit(100.0) + F.col("id") * 1e-9).alias("v"), F.lit(3).cast("bigint").alias("n"))
+    middle = [100.0 + i * 1e-9 for i in (4_999_999, 5_000_000)]
+    assert medians.exact_median(rows, "v").first().median == sum(middle) / 2
+
+
 @pytest.mark.parametrize("target", [1, 500_000])
 def test_copies_survive_whatever_the_density(spark, monkeypatch, target):
     """Equal rows may be collapsed on the way; what comes out has them all."""
