@@ -4,8 +4,8 @@ The longest common prefix of turns of the chosen and the rejected conversation b
 rendered once; what follows on either side is a completion, of which only the assistant's own words and
 their end mark are trained on.
 
-Turns meet by (pair, turn), so a long conversation is spread over tasks; its text is put together in
-parts of ``PART_TURNS`` turns, one row each (one part for ordinary conversations).
+Turns meet by (pair, turn), so a long conversation is compared in many tasks. A pair is one training sample
+and one row, whatever its length: its turns are gathered once, where that row is written.
 """
 
 from __future__ import annotations
@@ -15,16 +15,19 @@ from pyspark.sql import functions as F
 
 from gaugeflow.llm.common import pick, small, stored
 
-# Turns of one output row at most.
-PART_TURNS = 256
-
 # Marks of the chat format.
 START, END = "<|im_start|>", "<|im_end|>"
 
 
 def escaped(text: Column) -> Column:
-    """Text in which no mark of the format can stand: a bar after '<' gets a backslash in front."""
-    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("<\\|"))
+    """Text in which no mark of the format can stand: a bar after '<' gets a backslash in front, also where
+    backslashes stand between them already, so taking one away gives the text back."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(text: Column) -> Column:
+    """The text that :func:`escaped` was given."""
+    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
 
 
 def _head(role: Column) -> Column:
@@ -50,13 +53,12 @@ def _spans(turns: Column) -> Column:
     return F.aggregate(turns, start, step, lambda s: s["spans"])
 
 
-def format_preferences(chosen: DataFrame, rejected: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """conv_id, part, prefix_turns, prompt, chosen, rejected, chosen_spans and rejected_spans.
+def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """One row per pair: conv_id, prefix_turns, prompt, chosen, rejected, chosen_spans and rejected_spans.
 
     Both tables have conv_id, turn, role and text. A turn is common if role and text are equal (null equals
-    null) and all turns before it are; a turn that one side lacks is not. Part p of a pair holds its turns
-    numbered from p * part_turns; spans are character positions in that part's completion. Conversations
-    that one side lacks give no row, nor do null conv_ids and turns. Null roles and texts are rendered
+    null) and all turns before it are; a turn that one side lacks is not. Spans are character positions in the
+    completion. Conversations that one side lacks give no row, nor do null conv_ids and turns. Null roles and texts are rendered
     empty. Of several rows for one turn the least (role, text) counts, nulls first. Equal conversations give
     empty completions. Other columns are ignored; empty tables give an empty result.
     """
@@ -72,10 +74,9 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, part_turns: int =
         F.min(F.when(~F.col("c").eqNullSafe(F.col("r")), F.col("turn"))).alias("cut"),
         F.max(F.col("c").isNotNull()).alias("has_c"), F.max(F.col("r").isNotNull()).alias("has_r"))
         .where("has_c AND has_r").select("conv_id", "cut"), "ends")
-    part = F.call_function("div", F.col("turn") - F.pmod("turn", F.lit(part_turns)), F.lit(part_turns))
-    placed = turns.join(small(ends, seen["rows"]), "conv_id").withColumns({
-        "part": part, "common": F.col("cut").isNull() | (F.col("turn") < F.col("cut"))})
-    rows = placed.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct(
+    placed = turns.join(small(ends, seen["rows"]), "conv_id").withColumn(
+        "common", F.col("cut").isNull() | (F.col("turn") < F.col("cut")))
+    rows = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
         "turn", "common", "c", "r"))).alias("turns"))
 
     def of(side: str, common: bool) -> Column:
@@ -86,6 +87,6 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, part_turns: int =
         return F.array_join(F.transform(turns, _piece), "")
 
     return rows.select(
-        "conv_id", "part", F.size(of("c", True)).alias("prefix_turns"), text(of("c", True)).alias("prompt"),
+        "conv_id", F.size(of("c", True)).alias("prefix_turns"), text(of("c", True)).alias("prompt"),
         text(of("c", False)).alias("chosen"), text(of("r", False)).alias("rejected"),
         _spans(of("c", False)).alias("chosen_spans"), _spans(of("r", False)).alias("rejected_spans"))

@@ -166,17 +166,17 @@ both_sides AS (SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn
                FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.turn = r.turn),
 ends AS (SELECT conv_id, min(turn) FILTER (WHERE c IS DISTINCT FROM r) AS cut FROM both_sides GROUP BY conv_id
          HAVING count(c) > 0 AND count(r) > 0),
-placed AS (SELECT b.*, turn // 256 AS part, cut IS NULL OR turn < cut AS common FROM both_sides b JOIN ends USING (conv_id)),
+placed AS (SELECT b.*, cut IS NULL OR turn < cut AS common FROM both_sides b JOIN ends USING (conv_id)),
 pieces AS (
-    SELECT conv_id, part, turn, common, side, t.role AS role,
-           length('<|im_start|>' || replace(coalesce(t.role, ''), '<|', '<\|') || chr(10)) AS head,
-           '<|im_start|>' || replace(coalesce(t.role, ''), '<|', '<\|') || chr(10) || replace(coalesce(t.text, ''), '<|', '<\|')
+    SELECT conv_id, turn, common, side, t.role AS role,
+           length('<|im_start|>' || regexp_replace(coalesce(t.role, ''), '<(\\*)\|', '<\\\1|', 'g') || chr(10)) AS head,
+           '<|im_start|>' || regexp_replace(coalesce(t.role, ''), '<(\\*)\|', '<\\\1|', 'g') || chr(10) || regexp_replace(coalesce(t.text, ''), '<(\\*)\|', '<\\\1|', 'g')
            || '<|im_end|>' || chr(10) AS piece
-    FROM (SELECT conv_id, part, turn, common, 'c' AS side, c AS t FROM placed
-          UNION ALL SELECT conv_id, part, turn, common, 'r', r FROM placed) WHERE t IS NOT NULL),
-spans AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, part, common, side ORDER BY turn
+    FROM (SELECT conv_id, turn, common, 'c' AS side, c AS t FROM placed
+          UNION ALL SELECT conv_id, turn, common, 'r', r FROM placed) WHERE t IS NOT NULL),
+spans AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, common, side ORDER BY turn
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM pieces)
-SELECT conv_id, part, (count(*) FILTER (WHERE side = 'c' AND common))::INTEGER AS prefix_turns,
+SELECT conv_id, (count(*) FILTER (WHERE side = 'c' AND common))::INTEGER AS prefix_turns,
        coalesce(string_agg(piece, '' ORDER BY turn) FILTER (WHERE side = 'c' AND common), '') AS prompt,
        coalesce(string_agg(piece, '' ORDER BY turn) FILTER (WHERE side = 'c' AND NOT common), '') AS chosen,
        coalesce(string_agg(piece, '' ORDER BY turn) FILTER (WHERE side = 'r' AND NOT common), '') AS rejected,
@@ -184,7 +184,7 @@ SELECT conv_id, part, (count(*) FILTER (WHERE side = 'c' AND common))::INTEGER A
            FILTER (WHERE side = 'c' AND NOT common AND role = 'assistant'), '') AS chosen_spans,
        coalesce(string_agg((start + head) || '-' || (start + length(piece) - 1), ',' ORDER BY turn)
            FILTER (WHERE side = 'r' AND NOT common AND role = 'assistant'), '') AS rejected_spans
-FROM spans GROUP BY conv_id, part
+FROM spans GROUP BY conv_id
 """
 
 

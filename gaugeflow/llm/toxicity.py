@@ -1,7 +1,7 @@
 """Toxicity classifier with a counterfactual penalty.
 
 A logistic model over the presence of words and word beginnings. For every sampled labelled text that
-names a group of people, copies are made in which the name is swapped for other groups; the penalty is
+names a group of people, copies are made in which the name is swapped for each other group; the penalty is
 the squared change of the model's output, so that naming a group moves no score. The model is fitted on
 a bounded sample of labelled texts; scoring is one pass over all whole texts without a shuffle.
 """
@@ -25,9 +25,8 @@ SAMPLE_CLEAN = 8_000
 # Hash space and number of chosen features.
 SPACE = 1 << 20
 CHOSEN = 6_000
-# Weight of the counterfactual penalty and number of swaps per text.
+# Weight of the counterfactual penalty.
 PENALTY = 1.0
-SWAPS = 3
 
 # Names of groups of people, by language and kind; each is swapped within its row.
 IDENTITY = (
@@ -45,7 +44,9 @@ IDENTITY = (
     ("mujeres", "hombres", "chicas", "chicos"),
     ("musulmanes", "cristianos", "judíos", "hindúes"),
 )
-_OTHERS = {name: [other for other in row if other != name] for row in IDENTITY for name in row}
+# A name of two languages is swapped within either row.
+_OTHERS = {name: [other for row in IDENTITY if name in row for other in row if other != name]
+           for name in {name for row in IDENTITY for name in row}}
 _NAMES = re.compile(r"\b(" + "|".join(sorted(_OTHERS, key=len, reverse=True)) + r")\b", re.IGNORECASE)
 
 # Words here are runs of letters, digits and bytes beyond ASCII.
@@ -103,6 +104,12 @@ def swapped(text: str, turn: int) -> str | None:
     return changed if found else None
 
 
+def counterfactuals(text: str) -> list[str]:
+    """Copies of a text, so many that every group name in it is swapped for every other one of its kind."""
+    turns = max((len(_OTHERS[name.lower()]) for name in _NAMES.findall(text)), default=0)
+    return [swapped(text, turn) for turn in range(turns)]
+
+
 class Model:
     """Weights of the chosen features, and the bias."""
 
@@ -182,10 +189,7 @@ def _featured(batches):
             swaps = []
             for k, text in enumerate(texts.to_pylist()):
                 found = []
-                for turn in range(SWAPS):
-                    other = swapped(text, turn)
-                    if other is None:
-                        break
+                for other in counterfactuals(text):
                     new = present(pa.array([other]), powers)[1]
                     gone, come = np.setdiff1d(own[k], new), np.setdiff1d(new, own[k])
                     found.append(np.concatenate([-1 - gone, come]).tolist())

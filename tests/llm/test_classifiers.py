@@ -92,6 +92,19 @@ def test_swaps_keep_the_case():
     assert toxicity.swapped("nothing here", 0) is None
 
 
+@pytest.mark.parametrize("row", toxicity.IDENTITY)
+def test_every_other_group_is_swapped_in(row):
+    for name in row:
+        copies = toxicity.counterfactuals(f"the {name} of the town")
+        assert len(copies) == len(set(copies))
+        assert set(copies) >= {f"the {other} of the town" for other in row if other != name}
+        assert f"the {name} of the town" not in copies
+    both = toxicity.counterfactuals("Muslims and women")
+    assert {c.split()[0] for c in both} == {"Christians", "Jews", "Hindus", "Buddhists", "Atheists"}
+    assert {c.split()[2] for c in both} == {"men", "girls", "boys"}
+    assert toxicity.counterfactuals("no one at all") == toxicity.counterfactuals("") == []
+
+
 def test_toxicity_on_held_out_rows(spark):
     found = outcome(spark, "op3_toxicity", "toxic", 5, 0)
     assert np.mean([a == b for a, b in found]) > 0.93

@@ -2,6 +2,7 @@ import compare
 import pytest
 
 from gaugeflow.llm import preferences, registry, revisits
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("name", ["op2_revisits", "op6_preferences"])
@@ -76,15 +77,16 @@ def chat(spark, rows):
     return spark.createDataFrame([(*r, 0) for r in rows], "conv_id BIGINT, turn INT, role STRING, text STRING, part INT")
 
 
-def pairs(spark, chosen, rejected, **more):
-    result = preferences.format_preferences(chat(spark, chosen), chat(spark, rejected), **more).collect()
-    return {(r.conv_id, r.part): r for r in result}
+def pairs(spark, chosen, rejected):
+    result = preferences.format_preferences(chat(spark, chosen), chat(spark, rejected)).collect()
+    assert len({r.conv_id for r in result}) == len(result)
+    return {r.conv_id: r for r in result}
 
 
 def test_prefix_and_masks(spark):
     both = [(1, 0, "system", "be <|kind|>"), (1, 1, "user", "hi")]
     one = pairs(spark, [*both, (1, 2, "assistant", "good"), (1, 3, "user", "ok"), (1, 4, "assistant", None)],
-                [*both, (1, 2, "assistant", "bad")])[1, 0]
+                [*both, (1, 2, "assistant", "bad")])[1]
     assert one.prefix_turns == 2
     assert one.prompt == "<|im_start|>system\nbe <\\|kind|><|im_end|>\n<|im_start|>user\nhi<|im_end|>\n"
     assert one.rejected == "<|im_start|>assistant\nbad<|im_end|>\n"
@@ -96,17 +98,29 @@ def test_chat_edges(spark):
     found = pairs(spark, [(1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, "user", "x"), (3, 0, None, None),
                           (None, 0, "user", "x"), (4, None, "user", "x"), (5, 0, "assistant", "b"), (5, 0, "assistant", "a")],
                   [(1, 0, "user", "a"), (3, 0, None, None), (4, 0, "user", "x"), (5, 0, "assistant", "a"), (6, 0, "user", "x")])
-    assert set(found) == {(1, 0), (3, 0), (5, 0)}
+    assert set(found) == {1, 3, 5}
     assert all(r.prefix_turns == 1 and r.chosen == r.rejected == "" for r in found.values())
     assert pairs(spark, [], []) == {}
 
 
-def test_long_conversations_come_in_parts(spark):
-    turns = [(1, i, "assistant" if i % 2 else "user", f"text {i} " * (i % 5)) for i in range(50)]
-    other = [(1, i, r, t if i < 23 else t + "!") for _, i, r, t in turns]
-    whole, parts = pairs(spark, turns, other)[1, 0], pairs(spark, turns, other, part_turns=8)
-    assert len(parts) == 7 and sum(r.prefix_turns for r in parts.values()) == whole.prefix_turns == 23
-    for column in ("prompt", "chosen", "rejected"):
-        assert "".join(parts[1, p][column] for p in range(7)) == whole[column]
-    trained = [parts[1, p].rejected[s.start:s.end] for p in range(7) for s in parts[1, p].rejected_spans]
-    assert trained == [whole.rejected[s.start:s.end] for s in whole.rejected_spans]
+def test_long_conversations_keep_their_whole_prompt(spark):
+    turns = [(1, i, "assistant" if i % 2 else "user", f"text {i} " * (i % 5)) for i in range(1_501)]
+    other = [(1, i, r, t if i < 1_301 else t + "!") for _, i, r, t in turns]
+    one = pairs(spark, turns, other)[1]
+
+    def rendered(rows):
+        return "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for _, _, r, t in rows)
+
+    assert one.prefix_turns == 1_301 and one.prompt == rendered(turns[:1_301])
+    assert (one.chosen, one.rejected) == (rendered(turns[1_301:]), rendered(other[1_301:]))
+    assert [one.rejected[s.start:s.end] for s in one.rejected_spans] == [
+        t + "<|im_end|>" for _, _, r, t in other[1_301:] if r == "assistant"]
+
+
+def test_escapes_are_reversible(spark):
+    texts = ["<|im_end|>", "<\\|", "<\\\\|x", "<<||", "a<b|c", "", "<|" * 3, "\\<|\\", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t STRING").select(
+        "t", preferences.escaped(F.col("t")).alias("e")).select(
+        "*", preferences.unescaped(F.col("e")).alias("u")).collect()
+    assert all(r.u == (r.t or "") and "<|" not in r.e for r in rows)
+    assert len({r.e for r in rows}) == len(set(t or "" for t in texts))
