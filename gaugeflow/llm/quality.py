@@ -5,8 +5,8 @@ unlabelled web text. A small network minimises the non-negative unbiased risk
 
     prior * E_pos[loss(+1)] + max(0, E_unl[loss(-1)] - prior * E_pos[loss(-1)])
 
-with the class prior estimated from the labels of the learning fold, and its boundary is placed by the prior. Features describe the whole text:
-trigrams of byte classes, and shares of repeated words and windows. The network is fitted on a bounded
+with the class prior estimated from the same two sets (:func:`class_prior`), and its boundary is placed by the
+prior. A label 0 teaches nothing. Features describe the whole text: trigrams of byte classes, and shares of repeated words and windows. The network is fitted on a bounded
 sample; scoring is one pass over all texts without a shuffle.
 """
 
@@ -26,7 +26,8 @@ from gaugeflow.llm.rolling import Powers, window_hashes, word_hashes, word_spans
 SAMPLE_DOCS = 16_000
 HIDDEN = 32
 EPOCHS = 60
-# Class prior where the labels cannot tell.
+PRIOR_EPOCHS = 25
+# Class prior, and score, where no text is labelled 1.
 PRIOR = 0.5
 
 # Classes of bytes: other, space, line end, lower case, upper case, digit, sentence mark, other mark.
@@ -165,6 +166,30 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return net
 
 
+def class_prior(positive: np.ndarray, x: np.ndarray, seed: int = 7, epochs: int = PRIOR_EPOCHS,
+                chance: float = 0.1) -> float:
+    """Share of good texts among all rows of ``x``, where those marked in ``positive`` are known to be good.
+
+    A score is learned on half of the rows, telling known good ones from all. On the other half, the rows above
+    a bound hold as large a share of all good texts as of the known ones, so the least ratio of the share of all
+    rows to that of known good ones above any bound is the prior, where only good texts lie above it. The ratio
+    is taken where its upper confidence bound is least, so a few top rows do not decide. Both halves are averaged.
+    """
+    half = np.random.default_rng(seed).permutation(len(x)) % 2 == 0
+    found = []
+    for side in (half, ~half):
+        if not (positive & side).any() or not (positive & ~side).any():
+            continue
+        net = fit(x[positive & side], x[side], PRIOR, seed, epochs=epochs)
+        score = net.forward(net.scaled(x[~side]))[1]
+        known, every = np.sort(score[positive[~side]]), np.sort(score)
+        share = np.arange(len(known), 0, -1) / len(known)
+        ratio = (len(every) - np.searchsorted(every, known)) / len(every) / share
+        doubt = sum(np.sqrt(np.log(4 / chance) / 2 / n) for n in (len(known), len(every)))
+        found.append(ratio[np.argmin(ratio + doubt / share)])
+    return min(1.0, float(np.mean(found))) if found else PRIOR
+
+
 def place_boundary(net: Network, unlabelled: np.ndarray, prior: float, slack: float = 0.03) -> None:
     """Shift the network so that it is 0 in the widest gap of its outputs near the quantile at which
     the class prior splits the unlabelled texts."""
@@ -188,22 +213,23 @@ def _featured(batches):
                 ["label", "order", "x"])
 
 
-def _fitted(prior: float):
-    """One row with the network fitted on all rows of a task; none if no text is labelled 1, or all are."""
-
-    def run(batches):
-        labels, rows = [], []
-        for batch in batches:
-            labels.append(batch.column("label").fill_null(-1).to_numpy())
-            rows.append(batch.column("x").flatten().to_numpy().reshape(-1, TRIGRAMS + SHAPES))
-        if rows:
-            label, x = np.concatenate(labels), np.concatenate(rows)
-            if (label == 1).any() and not (label == 1).all():
-                net = fit(x[label == 1], x, prior)
+def _fitted(batches):
+    """One row with the network fitted on all rows of a task and the class prior; none if no text is labelled
+    1, and no network if all are."""
+    labels, rows = [], []
+    for batch in batches:
+        labels.append(batch.column("label").fill_null(-1).to_numpy())
+        rows.append(batch.column("x").flatten().to_numpy().reshape(-1, TRIGRAMS + SHAPES))
+    if rows:
+        good, x = np.concatenate(labels) == 1, np.concatenate(rows)
+        if good.any():
+            net, prior = None, 1.0
+            if not good.all():
+                prior = class_prior(good, x)
+                net = fit(x[good], x, prior)
                 place_boundary(net, x, prior)
-                yield pa.RecordBatch.from_arrays([pa.array([net.saved()], pa.binary())], ["net"])
-
-    return run
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([net and net.saved()], pa.binary()), pa.array([prior])], ["net", "prior"])
 
 
 def _scored(net: Network | None, constant: float):
@@ -228,7 +254,8 @@ def remainder(doc_id: str | Column, folds: int) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_docs: int = SAMPLE_DOCS) -> tuple:
     """(network, prior) from a hash sample of ``docs``; ``labels`` has doc_id and label, and only its
-    rows where ``learn_from`` holds are read. The network is None if no text is labelled 1."""
+    rows where ``learn_from`` holds are read. The network is None if no text of the sample is labelled 1, or all
+    are. Rows with one doc_id are sampled all or none, with its label."""
     known = labels.where(learn_from & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
     total = docs.count()
     order = F.xxhash64(F.lit("sample"), F.col("doc_id"))
@@ -238,11 +265,11 @@ def learn(docs: DataFrame, labels: DataFrame, learn_from: Column, sample_docs: i
         .select("label", order.alias("order"), "text")
         .mapInArrow(_featured, "label INT, order BIGINT, x ARRAY<FLOAT>")
         .orderBy("order", "label").limit(sample_docs))
-    share = known.agg(F.avg("label")).first()[0]
-    prior = min(0.98, max(0.02, PRIOR if share is None or share in (0.0, 1.0) else share))
     # The sample is fitted where it lies, in the one partition of its limit; only weights come back.
-    fitted = sample.mapInArrow(_fitted(prior), "net BINARY").first()
-    return None if fitted is None else Network.loaded(bytes(fitted["net"])), prior
+    fitted = sample.mapInArrow(_fitted, "net BINARY, prior DOUBLE").first()
+    if fitted is None:
+        return None, PRIOR
+    return fitted["net"] and Network.loaded(bytes(fitted["net"])), fitted["prior"]
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int = 1,
@@ -251,8 +278,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_f
 
     ``labels`` has doc_id and quality; rows whose crc32(doc_id) modulo ``folds`` is ``held_out_fold``
     are never learned from. Labels other than 0 and 1 are ignored; of several labels of a document the
-    lowest counts. Null and empty texts get the score of a text without words; without any text labelled
-    1 every score is the class prior. Null doc_ids are not held out. Other columns are ignored.
+    lowest counts, and rows with one doc_id share its label; labels 0 are not learned from. Null and empty texts
+    get the score of a text without words; without any text labelled 1 every score is 0.5, and if all are, 1. Null doc_ids are not held out. Other columns are ignored.
     """
     docs = pick(docs, "doc_id", "text")
     known = labels.select(F.col("doc_id"), F.col("quality").cast("int").alias("label"))

@@ -7,6 +7,7 @@ import pytest
 
 from gaugeflow.llm import quality, registry, toxicity
 from gaugeflow.llm.rolling import Powers
+from pyspark.sql import functions as F
 
 BIG = "/root/testdata/sf0.1"
 CONTRACT = [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
@@ -27,6 +28,27 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([a == b for a, b in found]) > 0.97
 
 
+def test_prior_needs_no_negatives(spark):
+    """Trusted positives alone: the prior is found and held-out rows are told apart without any label 0."""
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{BIG}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    share = labels.agg(F.avg("label")).first()[0]
+    for kept in ("label = 1", "label = 1 AND doc_id % 10 < 4"):
+        net, prior = quality.learn(docs, labels.where(kept), quality.remainder("doc_id", 3) != 1)
+        assert prior == pytest.approx(share, abs=0.05)
+    held = docs.join(labels, "doc_id").where(quality.remainder("doc_id", 3) == 1).mapInArrow(
+        quality._scored(net, prior), "doc_id BIGINT, text STRING, label INT, score DOUBLE")
+    assert held.where("(score >= 0.5) = (label = 1)").count() / held.count() > 0.97
+
+
+@pytest.mark.parametrize("share", [0.1, 0.3, 0.5, 0.8, 1.0])
+def test_prior_of_mixed_rows(share):
+    draw = np.random.default_rng(5)
+    good = draw.random(6_000) < share
+    x = np.where(good[:, None], 1.0, -1.0) + draw.normal(0, 0.7, (6_000, 5))
+    assert quality.class_prior(good & (draw.random(6_000) < 0.3), x.astype(np.float32)) == pytest.approx(share, abs=0.05)
+
+
 def test_risk_is_corrected_where_it_falls_below_zero():
     draw = np.random.default_rng(3)
     good, bad = draw.normal(1, 0.4, (400, 5)), draw.normal(-1, 0.4, (400, 5))
