@@ -415,3 +415,31 @@ def test_a_span_reads_its_ends_only(spark):
             "series", F.col("begin.ord").alias("begin_ord"), F.col("end.ord").alias("end_ord"))
         met = segments.edge_bins(bins, spans).toPandas()
         assert len(met) <= bound and (~met.inside).sum() == 2
+
+
+def test_groups_wait_for_their_own_rows_only(monkeypatch):
+    monkeypatch.setattr(chunks, "BATCH_ROWS", 100, raising=False)
+    sizes = [10] * 30 + [1000] + [10] * 200 + [60, 1, 149]
+    keys = np.repeat(np.arange(len(sizes)), sizes)
+    table = pa.table({"g": keys, "x": np.arange(len(keys))})
+    calls = []
+
+    def compute(part, first):
+        calls.append(part.num_rows)
+        found = part.column("g").to_numpy()
+        assert first.tolist() == [True, *(found[1:] != found[:-1])]
+        return part
+
+    out = list(chunks.over_groups(compute, ("g",))(iter(table.to_batches(max_chunksize=50))))
+    assert pa.Table.from_batches(out).equals(table.combine_chunks())
+    # A call has the rows asked for and a batch, or the largest group and at most what stood before and behind it.
+    assert sorted(calls)[-1] <= 1000 + 100 + 50 and sorted(calls)[-2] <= 150
+
+
+def test_chunks_of_dense_series_are_short(spark):
+    us = F.col("id") * 200_000
+    values = spark.range(300_000).select(
+        F.lit("a").alias("series"), us.alias("us"), F.lit(1.0).alias("value"), F.lit(1).cast("bigint").alias("n"))
+    density = medians.series_density(values, 300_000_000)
+    rows = values.groupBy(chunks.floor_div(F.col("us"), density.chunk_us)).count().agg(F.max("count")).first()[0]
+    assert 50_000 < rows <= 100_000
