@@ -1,6 +1,8 @@
 """Time-series operators against direct versions, with chunks made small so that borders matter."""
 
 import brute
+import compare
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -8,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow.operators import chunks, extrema, medians, segments
+from gaugeflow.oracles import ORACLES
 from gaugeflow.plans import analysis
+from gaugeflow.queries import QUERIES
 from gaugeflow.session import materialize, measured
 
 START = pd.Timestamp("2024-01-01")
@@ -443,3 +447,29 @@ def test_chunks_of_dense_series_are_short(spark):
     density = medians.series_density(values, 300_000_000)
     rows = values.groupBy(chunks.floor_div(F.col("us"), density.chunk_us)).count().agg(F.max("count")).first()[0]
     assert 50_000 < rows <= 100_000
+
+
+@pytest.fixture(scope="module")
+def shared_times(tmp_path_factory):
+    """Events of which several come at one moment, and one moment that holds hundreds."""
+    rng = np.random.default_rng(11)
+    frames = []
+    for number, name in enumerate(("a", "b")):
+        ts, values = level_signal(rng, 1_500, copies=True)
+        ts, values = ts.append(pd.DatetimeIndex([ts[700]] * 300)), np.append(values, np.full(300, values[700]))
+        frames.append(pd.DataFrame({
+            "event_id": np.arange(len(ts)) * 2 + number, "ts": ts.astype("datetime64[us]"), "user_id": 7, "event_type": name,
+            "value": values, "props": "{}"}))
+    folder = tmp_path_factory.mktemp("events")
+    pd.concat(frames).astype({"user_id": "int64"}).to_parquet(folder / "events.parquet", index=False)
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["row_index"])
+def test_samples_at_one_moment_all_come(spark, monkeypatch, shared_times, name):
+    for module in (chunks, extrema, segments):
+        monkeypatch.setattr(module, "CHUNK_ROWS", 64)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{shared_times}/events.parquet'")
+    assert db.execute(f"SELECT count(*) - count(DISTINCT (series, timestamp)) FROM ({ORACLES[name]})").fetchone()[0] > 300
+    assert compare.differences(QUERIES[name](spark, shared_times), db, ORACLES[name]) == ""
