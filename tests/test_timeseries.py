@@ -465,7 +465,7 @@ def shared_times(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["row_index"])
+@pytest.mark.parametrize("name", ["row_index", "segment_points"])
 def test_samples_at_one_moment_all_come(spark, monkeypatch, shared_times, name):
     for module in (chunks, extrema, segments):
         monkeypatch.setattr(module, "CHUNK_ROWS", 64)
