@@ -26,14 +26,21 @@ PIECE_BYTES = 4 << 20
 # Rows of an Arrow batch at most, while a table is written: a batch of texts stays at some megabytes.
 ARROW_ROWS = 2_000
 
+# For tables of rows of some megabytes each: Parquet's writer looks at its sizes every 100 rows, and readers hold a
+# page as a whole and rows of a row group.
+LARGE_ROWS = {"parquet.block.row.count.limit": "4", "parquet.page.row.count.limit": "1"}
+
 
 @contextmanager
-def _while_stored(spark: SparkSession):
+def _while_stored(spark: SparkSession, arrow_bytes: int | None = None):
     """Settings for the writing of a table: Spark removes the query's shuffle files when it ends, since
-    its result is a table by then, and sends texts to Python in small batches."""
+    its result is a table by then, and sends texts to Python in small batches, of about ``arrow_bytes``
+    where rows are large."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
                 rows: str(min(ARROW_ROWS, int(spark.conf.get(rows))))}
+    if arrow_bytes:
+        settings["spark.sql.execution.arrow.maxBytesPerBatch"] = str(arrow_bytes)
     before = {name: spark.conf.get(name, None) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
@@ -44,18 +51,20 @@ def _while_stored(spark: SparkSession):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def stored(df: DataFrame, label: str, **metrics: Column) -> tuple[DataFrame, dict]:
+def stored(
+    df: DataFrame, label: str, arrow_bytes: int | None = None, options: dict[str, str] | None = None, **metrics: Column,
+) -> tuple[DataFrame, dict]:
     """Write ``df`` to the shared folder and read it back, with its row count and other metrics.
 
-    The lineage ends here: a lost executor costs a re-read of the table.
+    The lineage ends here: a lost executor costs a re-read of the table. ``options`` are those of the writer.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     watch = Observation()
     named = [column.alias(name) for name, column in metrics.items()]
-    with _while_stored(spark):
+    with _while_stored(spark, arrow_bytes):
         (df.observe(watch, F.count(F.lit(1)).alias("rows"), *named)
-         .write.option("compression", "zstd").parquet(path))
+         .write.options(**(options or {})).option("compression", "zstd").parquet(path))
     return spark.read.schema(df.schema).parquet(path), watch.get
 
 

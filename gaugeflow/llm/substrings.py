@@ -9,7 +9,8 @@ first stays and the others are marked. Marked windows merge into maximal interva
 * One row per (batch, bucket) carries the hashes as an array of 8 bytes each. The bucket number comes
   from a second, independent hash and the number of buckets grows with the windows, so two windows
   count as equal if 64 + log2(buckets) bits agree.
-* A bucket answers with one bit per window. Bits and batches meet in one join.
+* A bucket answers with one bit per window. Bits and batches meet by batch number, one batch at a time.
+* Nothing holds more than a few batches: row groups and Arrow batches of packed texts are cut by bytes.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeflow.llm.common import partitions, pick, pieces, stored, text_bytes
+from gaugeflow.llm.common import LARGE_ROWS, partitions, pick, pieces, stored, text_bytes
 from gaugeflow.llm.rolling import Powers, window_hashes, word_hashes, word_spans
 
 # Words of a window.
@@ -33,6 +34,12 @@ WINDOW = 20
 # Windows that one bucket holds on average.
 BUCKET_WINDOWS = 1_500_000
 
+# Text bytes of a batch; hashing takes about 50 times as much memory.
+BATCH_BYTES = 2 << 20
+
+# Bytes of hashes that Python hands to Spark at once.
+SENT_BYTES = 1 << 20
+
 _NO_ID = np.iinfo(np.int64).min
 _BATCH = "batch BIGINT, ids ARRAY<BIGINT>, texts ARRAY<STRING>, windows BIGINT"
 
@@ -43,7 +50,7 @@ def _pack(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=BATCH_BYTES):
                 table = pa.Table.from_batches([part]).sort_by([("doc_id", "ascending"), ("text", "ascending")])
                 ids, texts = (table.column(c).combine_chunks() for c in ("doc_id", "text"))
                 if ids.null_count:
@@ -94,31 +101,60 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(values)))
 
 
+def _texts(packed: DataFrame) -> DataFrame:
+    """A row for every text of stored batches: rows of some megabytes would pass through Spark as one object each."""
+    return packed.select("batch", F.posexplode(F.arrays_zip("ids", "texts")).alias("pos", "doc")).select(
+        "batch", "pos", F.col("doc.ids").alias("doc_id"), F.col("doc.texts").alias("text"))
+
+
+def _batch(table: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """doc_ids and texts of one batch, in the order in which it was packed."""
+    pos = table.column("pos").to_numpy()
+    if (np.diff(pos) < 0).any():
+        table = table.take(pa.array(np.argsort(pos)))
+    return tuple(pa.concat_arrays(table.column(c).chunks) for c in ("doc_id", "text"))
+
+
+def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
+    """Number and texts of each batch. The rows of a batch follow each other, if need be in several Arrow batches."""
+    held, number = [], None
+    for part in rows:
+        numbers = part.column("batch").to_numpy()
+        for a, n in zip(*_runs(numbers)):
+            if held and numbers[a] != number:
+                yield number, pa.Table.from_batches(held)
+                held = []
+            number = int(numbers[a])
+            held.append(part.slice(a, n))
+    if held:
+        yield number, pa.Table.from_batches(held)
+
+
 def _send(length: int, buckets: int):
     """One row for each bucket that a batch has windows in: documents, windows of each, hashes."""
 
-    def run(batches):
+    def run(rows):
         hasher = _Hasher(length, buckets)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                texts, ids = batch.column("texts")[i].values, batch.column("ids")[i].values
-                *_, first, hashes, at, bucket, _, sent = hasher(texts)
-                if not len(sent):
-                    continue
-                row = np.searchsorted(first, at[sent], "right") - 1
-                doc = ids.fill_null(_NO_ID).to_numpy()
-                out = {"bucket": [], "docs": [], "counts": [], "hashes": []}
-                for a, n in zip(*_runs(bucket[sent])):
-                    run_at, run_n = _runs(row[a:a + n])
-                    out["bucket"].append(int(bucket[sent[a]]))
-                    out["docs"].append(doc[row[a:a + n][run_at]].tobytes())
-                    out["counts"].append(run_n.astype(np.int32).tobytes())
-                    out["hashes"].append(hashes[sent[a:a + n]].tobytes())
-                number = pa.array([batch.column("batch")[i].as_py()] * len(out["bucket"]), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out["bucket"], pa.int64()), number,
-                     *[pa.array(out[c], pa.binary()) for c in ("docs", "counts", "hashes")]],
-                    ["bucket", "batch", "docs", "counts", "hashes"])
+        for number, table in _batches(rows):
+            ids, texts = _batch(table)
+            *_, first, hashes, at, bucket, _, sent = hasher(texts)
+            if not len(sent):
+                continue
+            row = np.searchsorted(first, at[sent], "right") - 1
+            doc = ids.fill_null(_NO_ID).to_numpy()
+            out = {"bucket": [], "docs": [], "counts": [], "hashes": []}
+            for a, n in zip(*_runs(bucket[sent])):
+                run_at, run_n = _runs(row[a:a + n])
+                out["bucket"].append(int(bucket[sent[a]]))
+                out["docs"].append(doc[row[a:a + n][run_at]].tobytes())
+                out["counts"].append(run_n.astype(np.int32).tobytes())
+                out["hashes"].append(hashes[sent[a:a + n]].tobytes())
+            whole = pa.RecordBatch.from_arrays(
+                [pa.array(out["bucket"], pa.int64()), pa.array([number] * len(out["bucket"]), pa.int64()),
+                 *[pa.array(out[c], pa.binary()) for c in ("docs", "counts", "hashes")]],
+                ["bucket", "batch", "docs", "counts", "hashes"])
+            step = max(1, SENT_BYTES * whole.num_rows // max(1, whole.nbytes))
+            yield from (whole.slice(a, step) for a in range(0, whole.num_rows, step))
 
     return run
 
@@ -150,15 +186,15 @@ def _judge(table: pa.Table) -> pa.Table:
         "bits": pa.array(bits, pa.binary())})
 
 
-def _covered(texts, marks, hasher: _Hasher, length: int):
+def _covered(texts, marks: pa.Table, hasher: _Hasher, length: int):
     """Words of a batch and which of them marked windows cover."""
     data, offsets, starts, ends, first, hashes, at, bucket, again, sent = hasher(texts)
     later = again
     run_at, run_n = _runs(bucket[sent])
     where = {int(bucket[sent[a]]): (int(a), int(n)) for a, n in zip(run_at, run_n)}
-    for mark in marks or ():
-        a, n = where[mark["bucket"]]
-        later[sent[a:a + n]] |= np.unpackbits(np.frombuffer(mark["bits"], np.uint8), count=n).astype(bool)
+    for number, bits in zip(marks.column("bucket").to_pylist(), marks.column("bits").to_pylist()):
+        a, n = where[number]
+        later[sent[a:a + n]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
     cover = np.zeros(len(starts) + 1, np.int64)
     np.add.at(cover, at[later], 1)
     np.add.at(cover, at[later] + length, -1)
@@ -166,29 +202,29 @@ def _covered(texts, marks, hasher: _Hasher, length: int):
 
 
 def _cut(length: int, buckets: int):
-    def run(batches):
-        hasher = _Hasher(length, buckets)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, texts = batch.column("ids")[i].values, batch.column("texts")[i].values
-                data, offsets, first, gone = _covered(texts, batch.column("marks")[i].as_py(), hasher, length)
-                raw = data.tobytes()
-                out = {"n_words": [], "n_removed": [], "text": [], "spans": []}
-                for k in range(len(ids)):
-                    words = raw[offsets[k]:offsets[k + 1]].split()
-                    mask = gone[first[k]:first[k + 1]]
-                    removed = int(mask.sum())
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
-                    out["n_words"].append(len(words))
-                    out["n_removed"].append(removed)
-                    out["text"].append(b" ".join(compress(words, (~mask).tolist()) if removed else words))
-                    out["spans"].append(edges.reshape(-1, 2).tolist())
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()),
-                     pa.array(out["text"], pa.binary()).cast(pa.string()),
-                     pa.array([hashlib.sha256(t).hexdigest() for t in out["text"]], pa.string()),
-                     pa.array(out["spans"], pa.list_(pa.list_(pa.int32())))],
-                    ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "removed"])
+    """One batch with its marks: the texts without the marked words."""
+    hasher = _Hasher(length, buckets)
+
+    def run(packed: pa.Table, marks: pa.Table) -> pa.Table:
+        ids, texts = _batch(packed)
+        data, offsets, first, gone = _covered(texts, marks, hasher, length)
+        raw = data.tobytes()
+        out = {"n_words": [], "n_removed": [], "text": [], "spans": []}
+        for k in range(len(ids)):
+            words = raw[offsets[k]:offsets[k + 1]].split()
+            mask = gone[first[k]:first[k + 1]]
+            removed = int(mask.sum())
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.astype(np.int8), [0]))))
+            out["n_words"].append(len(words))
+            out["n_removed"].append(removed)
+            out["text"].append(b" ".join(compress(words, (~mask).tolist()) if removed else words))
+            out["spans"].append(edges.reshape(-1, 2).tolist())
+        return pa.table(
+            [ids, pa.array(out["n_words"], pa.int64()), pa.array(out["n_removed"], pa.int64()),
+             pa.array(out["text"], pa.binary()).cast(pa.string()),
+             pa.array([hashlib.sha256(t).hexdigest() for t in out["text"]], pa.string()),
+             pa.array(out["spans"], pa.list_(pa.list_(pa.int32())))],
+            ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256", "removed"])
 
     return run
 
@@ -205,15 +241,15 @@ def remove_repeats(docs: DataFrame, length: int = WINDOW, bucket_windows: int =
     """
     spark = docs.sparkSession
     packed, seen = stored(
-        pick(docs, "doc_id", "text").mapInArrow(_pack(length), _BATCH), "batches", windows=F.sum("windows"))
+        pick(docs, "doc_id", "text").mapInArrow(_pack(length), _BATCH), "batches",
+        arrow_bytes=BATCH_BYTES, options=LARGE_ROWS, windows=F.sum("windows"))
     buckets = max(2 * partitions(spark), -(-(seen["windows"] or 0) // bucket_windows))
-    sent = packed.select("batch", "ids", "texts").mapInArrow(
+    sent = _texts(packed).mapInArrow(
         _send(length, buckets), "bucket BIGINT, batch BIGINT, docs BINARY, counts BINARY, hashes BINARY")
     judged, _ = stored(
-        sent.groupBy("bucket").applyInArrow(_judge, "batch BIGINT, bucket BIGINT, bits BINARY"), "marks")
-    marks = judged.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("marks"))
+        sent.groupBy("bucket").applyInArrow(_judge, "batch BIGINT, bucket BIGINT, bits BINARY"), "marks",
+        arrow_bytes=BATCH_BYTES)
     return (
-        packed.select("batch", "ids", "texts").join(marks.hint("shuffle_hash"), "batch", "left")
-        .select("ids", "texts", "marks")
-        .mapInArrow(_cut(length, buckets), "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_text STRING, "
-                                           "kept_sha256 STRING, removed ARRAY<ARRAY<INT>>"))
+        _texts(packed).groupBy("batch").cogroup(judged.groupBy("batch"))
+        .applyInArrow(_cut(length, buckets), "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_text STRING, "
+                                             "kept_sha256 STRING, removed ARRAY<ARRAY<INT>>"))

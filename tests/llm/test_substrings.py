@@ -1,6 +1,10 @@
 import hashlib
 import random
 import re
+import urllib.parse
+
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from gaugeflow.llm import registry, substrings
 
@@ -50,3 +54,17 @@ def test_query_equals_brute_force(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     result = registry.QUERIES["op8_substring_dedup"](spark, sf).collect()
     assert sorted(map(tuple, result)) == sorted(brute(rows, substrings.WINDOW))
+
+
+def test_packed_texts_are_read_a_few_at_a_time(spark, monkeypatch):
+    """Row groups of packed texts do not grow with the partition."""
+    packed, seen = [], substrings.stored
+    monkeypatch.setattr(substrings, "stored", lambda df, label, *a, **k: (
+        lambda got: packed.append((label, got[0].inputFiles())) or got)(seen(df, label, *a, **k)))
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16_000)), lambda i: F.sha2(F.concat("id", F.lit("-"), i), 256)), " ")
+    docs = spark.range(40).coalesce(1).select(F.col("id").alias("doc_id"), words.alias("text"))
+    found = substrings.remove_repeats(docs)
+    assert found.agg(F.sum("n_words"), F.sum("n_removed")).first() == (640_000, 0)
+    groups = [pq.ParquetFile(urllib.parse.urlparse(f).path).metadata for label, files in packed if label == "batches" for f in files]
+    sizes = [m.row_group(i).total_byte_size for m in groups for i in range(m.num_row_groups)]
+    assert sum(sizes) > 35 << 20 and max(sizes) < 24 << 20
