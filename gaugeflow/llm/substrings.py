@@ -34,7 +34,7 @@ WINDOW = 20
 # Windows that one bucket holds on average.
 BUCKET_WINDOWS = 1_500_000
 
-# Text bytes of a batch; hashing takes about 50 times as much memory.
+# Text bytes of a batch; its windows take many times as much in a Python worker.
 BATCH_BYTES = 2 << 20
 
 # Bytes of hashes that Python hands to Spark at once.
